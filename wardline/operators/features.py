@@ -125,14 +125,14 @@ def hash_block(df: DataFrame, key: str, text: str, dim: int = 32) -> DataFrame:
         words(F.col(text)),
         lambda tokens: F.transform(
             term_counts(tokens),
-            lambda t: F.struct(t["term"].alias("term"), (t["n"] / F.size(tokens)).alias("share")),
+            lambda t: F.struct(t["term"].alias("term"), t["n"].alias("n"), F.size(tokens).alias("words")),
         ),
     )
     return (
         df.filter(F.col(text).isNotNull())
-        .select(key, F.inline(counted).alias("term", "share"))
+        .select(key, F.inline(counted).alias("term", "n", "words"))
         .groupBy(key, bucket.cast("int").alias("idx"))
-        .agg(F.sum("share").alias("value"))
+        .agg((F.sum("n") / F.max("words")).alias("value"))
     )
 
 

@@ -399,7 +399,7 @@ def category_probs(spark, sf):
     rows = fixtures.complaints(spark, sf).select("complaint_id", listed.alias("scores"))
     return rows.select(
         "complaint_id", F.posexplode(scores.category_probabilities(F.col("scores"))).alias("pos", "x")
-    ).select("complaint_id", "pos", "x.label", _r("x.score").alias("score"))
+    ).select("complaint_id", "pos", "x.label", _r("x.score", 9).alias("score"))
 
 
 def _fusion(spark, sf, labels, zero_guard):
@@ -409,7 +409,7 @@ def _fusion(spark, sf, labels, zero_guard):
     fused = fixtures.document_scores(spark, sf).select(
         "doc_id", F.posexplode(scores.fuse_hint(F.col("scores"), target, minimum, zero_guard)).alias("pos", "x")
     )
-    return fused.select("doc_id", "pos", "x.label", _r("x.score").alias("score"))
+    return fused.select("doc_id", "pos", "x.label", _r("x.score", 9).alias("score"))
 
 
 FUSION_TARGETS = ["Low", "Medium", "High", "Severe"]
@@ -429,7 +429,7 @@ def _decided(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(
         key,
         "d.label",
-        _r("d.confidence").alias("confidence"),
+        _r("d.confidence", 9).alias("confidence"),
         F.array_join(
             F.transform(
                 "d.scores", lambda x: F.format_string("%s=%.4f", x["label"], F.round(x["score"] + 1e-9, 4))

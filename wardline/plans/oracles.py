@@ -718,7 +718,7 @@ _add(
 _add(
     "category_probs",
     f"""select complaint_id, cast(row_number() over (partition by complaint_id order by seen) - 1 as integer) as pos, label,
-      round(s / sum(s) over (partition by complaint_id), 6) as score
+      round(s / sum(s) over (partition by complaint_id), 9) as score
     from (select complaint_id, {_civic('l.label')} as label, min(k) as seen, sum({_raw('complaint_id', 'k')}) as s
           from cx cross join ml l group by all)""",
     "cx",
@@ -729,7 +729,7 @@ _FUSE_IDS = f"""select doc_id as id, ({catalog.FUSION_TARGETS!r})[doc_id % 4 + 1
 for _name, _guard in (("severity_fusion", True), ("urgency_fusion", False)):
     _add(
         _name,
-        "select id as doc_id, cast(pos as integer) as pos, label, round(score, 6) as score from fu_out",
+        "select id as doc_id, cast(pos as integer) as pos, label, round(score, 9) as score from fu_out",
         "px",
         extra=_fuse("fu", _FUSE_IDS, "select doc_id as id, pos, label, score from px", _guard),
     )
@@ -749,7 +749,7 @@ for _name, _labels, _hint, _least, _guard in (
 ):
     _add(
         _name,
-        f"""select d.id as complaint_id, d.label, round(d.confidence, 6) as confidence, s.scores from dec d
+        f"""select d.id as complaint_id, d.label, round(d.confidence, 9) as confidence, s.scores from dec d
         join (select id, {_SHOWN} as scores from dec_lists group by id) s using (id)""",
         "cn",
         extra=[
