@@ -97,9 +97,3 @@ def vector_error(vector: Column, dim: int | None = None) -> Column:
         .when(F.exists(vector, lambda x: F.abs(x) == float("inf")), F.lit("inf_value"))
     )
     return code if dim is None else code.when(F.size(vector) != dim, F.lit("wrong_dimension"))
-
-
-__all__ = [
-    "kept_scores", "prediction_error", "probability_warnings", "scores_error", "scores_warnings",
-    "unwrap", "vector_error",
-]

@@ -5,13 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
-from operator import add, or_
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardline import vocab
-from wardline.functions.text import WORD, civic_category, rule_text, weak_rule_text
+from wardline.functions.text import WORD, let, rule_text, weak_rule_text
 
 
 def any_word(text: Column, keywords: Iterable[str]) -> Column:
@@ -19,13 +19,21 @@ def any_word(text: Column, keywords: Iterable[str]) -> Column:
     return text.rlike(f"(?<!{WORD})(?:{_alternatives(keywords)})(?!{WORD})")
 
 
+# Long lists are constant arrays: one comparison per keyword written out would make generated
+# methods too large for the JIT compiler.
+
+
 def any_substring(text: Column, keywords: Iterable[str]) -> Column:
-    return text.rlike(_alternatives(keywords))
+    return F.exists(_constants(keywords), lambda kw: F.contains(text, kw))
 
 
 def hits(text: Column, keywords: Iterable[str]) -> Column:
     """How many different keywords occur in the text as substrings."""
-    return reduce(add, (text.contains(kw).cast("int") for kw in keywords))
+    return F.size(F.filter(_constants(keywords), lambda kw: F.contains(text, kw)))
+
+
+def _constants(values: Iterable[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
 
 
 def _alternatives(keywords: Iterable[str]) -> str:
@@ -39,45 +47,48 @@ def _power_fault(text: Column, faults: Sequence[str]) -> Column:
 
 def severity_hint(text: Column) -> Column:
     """High, Medium, Low or NULL from the raw text."""
-    low = rule_text(text)
-    return (
-        F.when(_power_fault(low, vocab.POWER_FAULTS) | any_word(low, vocab.SEVERITY_HIGH), "High")
+    return let(
+        rule_text(text),
+        lambda low: F.when(
+            _power_fault(low, vocab.POWER_FAULTS) | any_word(low, vocab.SEVERITY_HIGH), "High"
+        )
         .when(any_word(low, vocab.SEVERITY_MEDIUM), "Medium")
-        .when(any_word(low, vocab.SEVERITY_LOW), "Low")
+        .when(any_word(low, vocab.SEVERITY_LOW), "Low"),
     )
 
 
 def urgency_hint(text: Column) -> Column:
     """Angry/Urgent, Concerned or NULL."""
-    low = F.lower(text)
-    return F.when(any_substring(low, vocab.URGENCY_URGENT), "Angry/Urgent").when(
-        any_substring(low, vocab.URGENCY_CONCERNED), "Concerned"
+    return let(
+        F.lower(text),
+        lambda low: F.when(any_substring(low, vocab.URGENCY_URGENT), "Angry/Urgent").when(
+            any_substring(low, vocab.URGENCY_CONCERNED), "Concerned"
+        ),
     )
 
 
 def urgency_hits(text: Column) -> tuple[Column, Column]:
-    low = F.lower(text)
-    return hits(low, vocab.URGENCY_URGENT), hits(low, vocab.URGENCY_CONCERNED)
+    return (
+        let(F.lower(text), lambda low: hits(low, vocab.URGENCY_URGENT)),
+        let(F.lower(text), lambda low: hits(low, vocab.URGENCY_CONCERNED)),
+    )
 
 
 def keyword_category(
     text: Column, categories: Mapping[str, Sequence[str]] = vocab.CATEGORY_KEYWORDS
 ) -> Column:
-    """Category with most distinct keywords, the earlier one on a tie.
-
-    Hit count and rank share one integer, so the maximum names the winner and every keyword is
-    looked up once.
-    """
-    low = F.lower(text)
-    size = len(categories)
-    packed = [
-        hits(low, kws) * (size + 1) + F.lit(size - rank)
-        for rank, kws in enumerate(categories.values())
-    ]
-    best = F.greatest(*packed) if size > 1 else packed[0]
-    names = F.array(*[F.lit(name) for name in categories])
-    return F.when(best <= size, F.lit(vocab.GENERAL)).otherwise(
-        F.element_at(names, (F.lit(size) - best % (size + 1) + 1).cast("int"))
+    """Category with most distinct keywords, the earlier one on a tie."""
+    names = _constants(categories)
+
+    def winner(counts: Column) -> Column:
+        best = F.array_max(counts)
+        return F.when(best > 0, F.element_at(names, F.array_position(counts, best).cast("int"))).otherwise(
+            vocab.GENERAL
+        )
+
+    return let(
+        F.lower(text),
+        lambda low: let(F.array(*[hits(low, kws) for kws in categories.values()]), winner),
     )
 
 
@@ -85,14 +96,16 @@ def category_rationale(
     text: Column, category: Column, categories: Mapping[str, Sequence[str]] = vocab.CATEGORY_KEYWORDS
 ) -> Column:
     """The keywords that led to ``category``, in alphabetical order."""
-    low = F.lower(text)
-    result = F.when(category == vocab.GENERAL, F.lit(vocab.NO_KEYWORD_RATIONALE))
-    for name, keywords in categories.items():
-        found = [F.when(low.contains(kw), F.lit(kw)) for kw in sorted(set(keywords))]
-        result = result.when(
-            category == name, F.concat(F.lit(vocab.KEYWORD_RATIONALE), F.concat_ws(", ", *found))
+    def evidence(low: Column) -> Column:
+        keywords = F.coalesce(
+            *[F.when(category == name, _constants(sorted(set(kws)))) for name, kws in categories.items()]
         )
-    return result
+        found = F.filter(keywords, lambda kw: F.contains(low, kw))
+        return F.concat(F.lit(vocab.KEYWORD_RATIONALE), F.array_join(found, ", "))
+
+    return F.when(category == vocab.GENERAL, F.lit(vocab.NO_KEYWORD_RATIONALE)).otherwise(
+        let(F.lower(text), evidence)
+    )
 
 
 def keyword_overrides(model_category: Column, keyword: Column, confidence: Column) -> Column:
@@ -121,22 +134,26 @@ def fused_rationale(
 
 
 def weak_severity(sub_category: Column, remarks: Column) -> Column:
-    text = weak_rule_text(sub_category, remarks)
-    return (
-        F.when(_power_fault(text, vocab.POWER_FAULTS) | any_word(text, vocab.WEAK_HIGH), "HIGH")
+    return let(
+        weak_rule_text(sub_category, remarks),
+        lambda text: F.when(
+            _power_fault(text, vocab.POWER_FAULTS) | any_word(text, vocab.WEAK_HIGH), "HIGH"
+        )
         .when(any_word(text, vocab.WEAK_MEDIUM), "MEDIUM")
         .when(any_word(text, vocab.WEAK_LOW), "LOW")
-        .otherwise("MEDIUM")
+        .otherwise("MEDIUM"),
     )
 
 
 def weak_urgency(sub_category: Column, remarks: Column) -> Column:
-    text = weak_rule_text(sub_category, remarks)
-    return (
-        F.when(_power_fault(text, vocab.POWER_FAULTS[:1]) | any_word(text, vocab.WEAK_URGENT), "URGENT")
+    return let(
+        weak_rule_text(sub_category, remarks),
+        lambda text: F.when(
+            _power_fault(text, vocab.POWER_FAULTS[:1]) | any_word(text, vocab.WEAK_URGENT), "URGENT"
+        )
         .when(any_word(text, vocab.WEAK_CONCERNED), "CONCERNED")
         .when(any_word(text, vocab.WEAK_NEUTRAL), "NEUTRAL")
-        .otherwise("CONCERNED")
+        .otherwise("CONCERNED"),
     )
 
 
@@ -149,11 +166,6 @@ def recommendations(severity: Column, urgency: Column, issue: Column) -> Column:
             F.when(F.lower(issue).contains("road"), F.lit(vocab.REC_ROAD)),
         )
     )
-    return F.when(F.size(chosen) > 0, chosen).otherwise(F.array(F.lit(vocab.REC_QUEUE)))
-
-
-__all__ = [
-    "any_substring", "any_word", "category_rationale", "civic_category", "fused_category",
-    "fused_rationale", "hits", "keyword_category", "keyword_overrides", "recommendations",
-    "severity_hint", "urgency_hint", "urgency_hits", "weak_severity", "weak_urgency",
-]
+    return let(
+        chosen, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(F.lit(vocab.REC_QUEUE)))
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -147,37 +148,46 @@ def leftmost_longest(matches: Column) -> Column:
     )
 
 
+_CUT = "\x01"
+
+
 def gazetteer_spans(text: Column, gazetteer: Mapping[str, Sequence[str]]) -> Column:
     """Names from a short list found in the text, without a join or a shuffle.
 
-    ``gazetteer`` maps a label to lower-case names. Only names that occur in the text are looked at
-    more closely; ``operators.entities`` joins lists too long for that.
+    ``gazetteer`` maps a label to lower-case names. The list is one pattern, longer names first, so
+    matches are leftmost-longest; the lengths of the stretches between them give the offsets.
+    ``operators.entities`` joins lists too long for a pattern.
     """
-    names = F.array(
-        *[
-            F.struct(F.lit(term).alias("term"), F.lit(label).alias("label"))
-            for label, terms in gazetteer.items()
-            for term in terms
-        ]
-    )
-    low = F.lower(text)
-
-    def places(name: Column) -> Column:
-        # The pieces between the matches give the offsets.
-        pattern = F.concat(F.lit(f"(?<!{WORD})"), name["term"], F.lit(f"(?!{WORD})"))
-        size = F.length(name["term"])
-        return let(
-            F.split(low, pattern),
-            lambda pieces: F.transform(
-                F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-                lambda _, i: let(
-                    F.aggregate(
-                        F.slice(pieces, F.lit(1), i + 1), i * size, lambda acc, p: acc + F.length(p)
-                    ),
-                    lambda at: span(F.substring(text, at + 1, size), name["label"], at, at + size),
+    label_of = {term: label for label, terms in gazetteer.items() for term in terms}
+    names = "|".join(re.escape(t) for t in sorted(label_of, key=lambda t: (-len(t), t)))
+    pattern = f"(?iu)(?<!{WORD})(?:{names})(?!{WORD})"
+    labels = F.create_map(*[F.lit(x) for pair in label_of.items() for x in pair])
+    empty = F.array().cast("array<struct<at:int,hit:string>>")
+
+    def place(found: Column) -> Column:
+        cut = F.regexp_replace(F.translate(text, _CUT, " "), pattern, _CUT)
+        pairs = F.arrays_zip(F.split(cut, _CUT).alias("gap"), found.alias("hit"))
+        state = F.struct(F.lit(0).alias("free"), empty.alias("seen"))
+        return F.aggregate(
+            F.slice(pairs, F.lit(1), F.size(found)),
+            state,
+            lambda acc, z: let(
+                acc["free"] + F.length(z["gap"]),
+                lambda at: F.struct(
+                    (at + F.length(z["hit"])).alias("free"),
+                    F.concat(acc["seen"], F.array(F.struct(at.alias("at"), z["hit"].alias("hit")))).alias("seen"),
                 ),
             ),
+            lambda acc: acc["seen"],
+        )
+
+    def named(found: Column) -> Column:
+        return F.transform(
+            place(found),
+            lambda m: span(
+                m["hit"], F.element_at(labels, F.lower(m["hit"])), m["at"], m["at"] + F.length(m["hit"])
+            ),
         )
 
-    present = F.filter(names, lambda n: F.contains(low, n["term"]))
-    return leftmost_longest(F.flatten(F.transform(present, places)))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(hits, lambda h: F.when(F.size(h) > 0, named(h)).otherwise(F.array().cast(SPANS)))

@@ -41,10 +41,6 @@ def train_naive_bayes(
     that head. Counting is one aggregation by word, combined before the shuffle.
     """
     slots = [(head, label) for head, labels in heads.items() for label in labels]
-    first_slot, at = {}, 0
-    for head, labels in heads.items():
-        first_slot[head] = at
-        at += len(labels)
 
     def is_label(head: str, label: str) -> Column:
         return F.col(f"`{head}`").cast("string") == F.lit(label)
@@ -56,25 +52,28 @@ def train_naive_bayes(
         .agg(
             F.count("*").alias("_all"),
             *[
-                F.coalesce(F.sum(is_label(*slot).cast("bigint")), F.lit(0)).alias(f"_n{i}")
-                for i, slot in enumerate(slots)
+                F.array(
+                    *[F.coalesce(F.sum(is_label(head, x).cast("bigint")), F.lit(0)) for x in labels]
+                ).alias(f"_{head}")
+                for head, labels in heads.items()
             ],
         )
     )
     if max_terms is not None:
         counts = counts.orderBy(F.desc("_all"), "term").limit(max_terms)
 
-    def in_head(head: str) -> Column:
-        start = first_slot[head]
-        return sum((F.col(f"_n{i}") for i in range(start, start + len(heads[head]))), F.lit(0)) > 0
+    def cells(head: str) -> Column:
+        """Counts of one head, each with whether the head knows the term at all."""
+        return let(
+            F.array_max(f"_{head}") > 0,
+            lambda known: F.transform(
+                f"_{head}", lambda n: F.struct(n.alias("n"), known.alias("known"))
+            ),
+        )
 
-    cells = F.array(
-        *[
-            F.struct(F.col(f"_n{i}").alias("n"), in_head(head).alias("known"))
-            for i, (head, _) in enumerate(slots)
-        ]
+    long = counts.select("term", F.posexplode(F.concat(*[cells(h) for h in heads])).alias("slot", "c")).select(
+        "term", "slot", "c.*"
     )
-    long = counts.select("term", F.posexplode(cells).alias("slot", "c")).select("term", "slot", "c.*")
     totals = long.groupBy("slot").agg(
         (F.sum("n") + smoothing * F.sum(F.col("known").cast("bigint"))).alias("mass")
     )
@@ -106,6 +105,17 @@ def train_naive_bayes(
     return LinearHeads(packed, {h: list(ls) for h, ls in heads.items()}, None if max_terms is None else max_terms + 1)
 
 
+def store(model: LinearHeads, path: str) -> LinearHeads:
+    """Write the weights and go on from the written table.
+
+    Scoring then neither repeats the training nor depends on its lineage, and the number of terms
+    is known, so a small model is broadcast and a large one is not.
+    """
+    model.weights.write.mode("overwrite").parquet(path)
+    written = model.weights.sparkSession.read.parquet(path)
+    return LinearHeads(written, model.heads, written.count())
+
+
 def model_table(model: LinearHeads) -> DataFrame:
     """``term, head, label, weight``, one row per weight."""
     names = F.array(

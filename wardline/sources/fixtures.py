@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline import vocab
 from wardline.functions import rules, scores
-from wardline.functions.text import normalize_text
+from wardline.functions.text import let, normalize_text
+from wardline.sources.tables import spread
 
 SUBJECTS = [
     "The street light has not been working", "Street light not working",
@@ -35,8 +37,13 @@ REMARKS = [
 ]
 
 
+# Tables whose rows carry the heavy work, with the column to spread them by.
+_SPREAD = {"documents": "doc_id", "events": "event_id", "orders": "o_orderkey", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, _SPREAD[name]) if name in _SPREAD else df
 
 
 def phrase(phrases: list[str | None], number: Column) -> Column:
@@ -79,12 +86,13 @@ def log_from(complaint_rows: DataFrame) -> DataFrame:
     """A complaint log labelled by the rules; the model label stands where it is confident."""
     text = F.col("complaint_text")
     sure = F.col("model_confidence") >= 0.68
+    by_keyword = let(
+        rules.keyword_category(text), lambda c: F.when(c != vocab.GENERAL, c)
+    )
     return complaint_rows.select(
         "complaint_id",
         "created_at",
-        F.when(sure, F.col("model_label"))
-        .otherwise(F.nullif(rules.keyword_category(text), F.lit("General Complaint")))
-        .alias("issue_type"),
+        F.when(sure, F.col("model_label")).otherwise(by_keyword).alias("issue_type"),
         rules.severity_hint(text).alias("severity"),
         rules.urgency_hint(normalize_text(text)).alias("urgency"),
         "location",

@@ -13,6 +13,16 @@ from wardline.functions.spans import span
 LOG_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in vocab.LOG_COLUMNS])
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Split a small input by ``key`` when its files give fewer splits than there are cores.
+
+    Per-row work on text is heavy enough to pay for moving a few files. Tables with as many splits
+    as cores, that is all large ones, stay untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def pad_log(df: DataFrame) -> DataFrame:
     """Log columns first, blank where absent; further columns stay."""
     missing = {c: F.lit("") for c in vocab.LOG_COLUMNS if c not in df.columns}
