@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline import vocab
 from wardline.functions import rules, scores, spans
@@ -37,6 +40,45 @@ def joined_scorer(head_scores: DataFrame, key: str) -> Scorer:
     return lambda df: df.join(head_scores, key, "left")
 
 
+_SCORE_LIST = T.ArrayType(T.StructType().add("label", "string").add("score", "double"))
+
+# Maps a list of texts to one score matrix [text, label] per head; None where a head failed.
+Predictor = Callable[[list[str]], Mapping[str, np.ndarray | None]]
+
+
+def model_scorer(
+    load: Callable[[], Predictor], heads: Mapping[str, Sequence[str]], batch_size: int = 16
+) -> Scorer:
+    """Score with any model in Python, by Arrow batch and without a shuffle.
+
+    ``load`` runs once per task, inside the worker, so that only its name travels. A head that gave
+    nothing for a batch becomes NULL and takes the fallback answer.
+    """
+    def scorer(df: DataFrame) -> DataFrame:
+        schema = T.StructType(list(df.schema.fields))
+        for head in heads:
+            schema = schema.add(f"{head}_scores", _SCORE_LIST)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            predict = load()
+            for frame in frames:
+                texts = list(frame["cleaned_text"])
+                lists: dict[str, list] = {head: [] for head in heads}
+                for at in range(0, len(texts), batch_size):
+                    batch = texts[at : at + batch_size]
+                    given = predict(batch)
+                    for head, labels in heads.items():
+                        matrix = given.get(head)
+                        lists[head] += [None] * len(batch) if matrix is None else [
+                            [{"label": x, "score": float(v)} for x, v in zip(labels, row)] for row in matrix
+                        ]
+                yield frame.assign(**{f"{head}_scores": lists[head] for head in heads})
+
+        return df.mapInPandas(run, schema)
+
+    return scorer
+
+
 def _head_label(df: DataFrame, head: str) -> Column | None:
     return F.col(f"{head}_label") if f"{head}_label" in df.columns else None
 

@@ -310,7 +310,7 @@ def _fuse(prefix: str, ids: str, items: str, zero_guard: bool) -> list[tuple[str
     ]
 
 
-def _decide(prefix: str, labels, hint: str, minimum: str, zero_guard: bool) -> list[tuple[str, str]]:
+def _decide(prefix: str, minimum: str, zero_guard: bool) -> list[tuple[str, str]]:
     """CTEs that end in ``{prefix}(id, label, confidence)`` and ``{prefix}_lists(id, pos, label, score)``.
 
     Needs a relation ``{prefix}_hint(id, hint)`` and ``{prefix}_list(id, pos, label, score)``.
@@ -755,7 +755,7 @@ for _name, _labels, _hint, _least, _guard in (
         extra=[
             ("dec_hint", f"select complaint_id as id, {_hint} as hint from cn"),
             ("dec_list", _complaint_list(_labels)),
-            *_decide("dec", _labels, _hint, _least, _guard),
+            *_decide("dec", _least, _guard),
         ],
     )
 _add(
@@ -804,39 +804,63 @@ def _ordered(labels, column: str = "label") -> str:
     return f"list_position({[*labels]!r}, {column})"
 
 
-_add(
-    "enrich_complaints",
-    f"""select n.complaint_id, {_fused('m.model', 'm.score')}, round(m.score, 6) as issue_confidence,
-      s.label as severity, round(s.confidence, 6) as severity_confidence,
-      u.label as urgency, round(u.confidence, 6) as urgency_confidence,
-      coalesce(entities, '') as entities, coalesce(c.location, '') as location, cleaned as cleaned_text,
-      complaint_text as raw_text, 'production' as mode, cast(coalesce(entity_count, 0) as integer) as entity_count
-    from cn n join best m on m.id = n.complaint_id join sv s on s.id = n.complaint_id
-    join ur u on u.id = n.complaint_id left join capt c on c.complaint_id = n.complaint_id""",
-    "cn", "weak", "spotted",
-    extra=[
+def _enrich_live(
+    best: str, severity: str, urgency: str, extra: list[tuple[str, str]]
+) -> list[tuple[str, str]]:
+    """Relations for the best category and the two score lists lead to the enriched rows."""
+    return [
         ("capt", _CAPTIONED),
-        *_LIVE_MODEL,
-        (
-            "best",
-            f"""select id, {_civic('label')} as model, score from (select *, row_number() over
-              (partition by id order by score desc, {_ordered(vocab.CATEGORY_LABELS)}) as rn from wb_p where head = 'category') where rn = 1""",
-        ),
+        *extra,
+        ("best", best),
         ("sv_hint", f"select complaint_id as id, {_severity('complaint_text')} as hint from cn"),
-        (
-            "sv_list",
-            f"""select id, {_ordered(catalog.WEAK_HEADS['severity'])} as pos, {_title('label')} as label, score
-              from wb_p where head = 'severity'""",
-        ),
-        *_decide("sv", None, None, _MINIMUM, True),
+        ("sv_list", severity),
+        *_decide("sv", _MINIMUM, True),
         ("ur_hint", f"select complaint_id as id, {_urgency('cleaned')} as hint from cn"),
-        (
-            "ur_list",
-            f"""select id, {_ordered(catalog.WEAK_HEADS['urgency'])} as pos, {_urgency_label('label')} as label, score
-              from wb_p where head = 'urgency'""",
-        ),
-        *_decide("ur", None, None, _URGENT_MINIMUM, False),
-    ],
+        ("ur_list", urgency),
+        *_decide("ur", _URGENT_MINIMUM, False),
+    ]
+
+
+_ENRICH_LIVE = f"""select n.complaint_id, {_fused('m.model', 'm.score')}, round(m.score, 6) as issue_confidence,
+  s.label as severity, round(s.confidence, 6) as severity_confidence,
+  u.label as urgency, round(u.confidence, 6) as urgency_confidence,
+  coalesce(entities, '') as entities, coalesce(c.location, '') as location, cleaned as cleaned_text,
+  complaint_text as raw_text, 'production' as mode, cast(coalesce(entity_count, 0) as integer) as entity_count
+from cn n join best m on m.id = n.complaint_id join sv s on s.id = n.complaint_id
+join ur u on u.id = n.complaint_id left join capt c on c.complaint_id = n.complaint_id"""
+_add(
+    "enrich_complaints",
+    _ENRICH_LIVE,
+    "cn", "weak", "spotted",
+    extra=_enrich_live(
+        f"""select id, {_civic('label')} as model, score from (select *, row_number() over
+          (partition by id order by score desc, {_ordered(vocab.CATEGORY_LABELS)}) as rn from wb_p where head = 'category') where rn = 1""",
+        f"""select id, {_ordered(catalog.WEAK_HEADS['severity'])} as pos, {_title('label')} as label, score
+          from wb_p where head = 'severity'""",
+        f"""select id, {_ordered(catalog.WEAK_HEADS['urgency'])} as pos, {_urgency_label('label')} as label, score
+          from wb_p where head = 'urgency'""",
+        _LIVE_MODEL,
+    ),
+)
+
+
+def _length_list(labels) -> str:
+    raw = _raw("length(cleaned)", "k")
+    return f"""select complaint_id as id, k as pos, ({[*labels]!r})[k + 1] as label,
+      {raw} / sum({raw}) over (partition by complaint_id) as score from cn cross join (select unnest([0, 1, 2]) as k)"""
+
+
+_add(
+    "enrich_model",
+    _ENRICH_LIVE,
+    "cn", "spotted",
+    extra=_enrich_live(
+        f"""select id, {_civic('label')} as model, score from (select *, row_number() over
+          (partition by id order by score desc, pos) as rn from ({_length_list(catalog.MODEL_HEADS['category'])})) where rn = 1""",
+        _length_list(vocab.SEVERITY_LABELS),
+        _length_list(vocab.URGENCY_LABELS),
+        [],
+    ),
 )
 
 # Entities.
