@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -40,13 +41,13 @@ def _brute(texts):
     return result
 
 
-@pytest.mark.parametrize("stored", [True, False])
-def test_naive_bayes(spark, stored):
+@pytest.mark.parametrize("bounded", [True, False])
+def test_naive_bayes(spark, bounded):
     df = spark.createDataFrame(ROWS, "id int, text string, topic string, level string")
-    model = heads.train_naive_bayes(df, "text", HEADS)
-    if stored:
-        model = heads.store(model, shared_dir(spark, "model"))
-        assert model.max_terms == 8
+    model = heads.train_naive_bayes(df, "text", HEADS, shared_dir(spark, "model"))
+    assert model.max_terms == 8
+    if not bounded:
+        model = replace(model, max_terms=None)
     texts = [(10, "Water leak water"), (11, "unknown words"), (12, "dark light"), (13, "")]
     scored = heads.score_heads(spark.createDataFrame(texts, "id int, text string"), model, "id", "text")
     expected = _brute(texts)
@@ -61,7 +62,7 @@ def test_naive_bayes(spark, stored):
 
 def test_bounded_vocabulary(spark):
     df = spark.createDataFrame(ROWS, "id int, text string, topic string, level string")
-    model = heads.train_naive_bayes(df, "text", HEADS, max_terms=2)
+    model = heads.train_naive_bayes(df, "text", HEADS, shared_dir(spark, "model"), max_terms=2)
     assert {r.term for r in model.weights.collect()} == {"", "water", "light"}
     assert model.max_terms == 3
 

@@ -127,22 +127,26 @@ def words(text: Column, pattern: str = f"{WORD}{{2,}}") -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """All runs of ``n`` consecutive tokens, joined by blanks."""
-    count = F.size(tokens) - (n - 1)
-    return F.when(
-        count > 0,
-        F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(tokens, i, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    runs = F.slice(tokens, F.lit(1), count)
+    for shift in range(2, n + 1):
+        following = F.slice(tokens, F.lit(shift), count)
+        runs = F.zip_with(runs, following, lambda a, b: F.concat(a, F.lit(" "), b))
+    return runs
 
 
 def term_counts(terms: Column) -> Column:
-    """Distinct terms with their counts, by sorting inside the row instead of a shuffle."""
+    """Distinct terms with their counts, by sorting inside the row instead of a shuffle.
+
+    NULL stays NULL.
+    """
     def runs(ordered: Column) -> Column:
         def is_first(i: Column) -> Column:
             return (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
 
         heads = F.when(
             F.size(ordered) > 0, F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), is_first)
-        ).otherwise(F.array().cast("array<int>"))
+        ).when(F.size(ordered) == 0, F.array().cast("array<int>"))
         return let(
             heads,
             lambda hs: F.transform(

@@ -23,9 +23,7 @@ def _grams(text: Column, orders: Sequence[int] = (1, 2)) -> Column:
 
 
 def _term_rows(df: DataFrame, key: str, text: str, orders: Sequence[int]) -> DataFrame:
-    return df.filter(F.col(text).isNotNull()).select(
-        key, F.inline(term_counts(_grams(F.col(text), orders))).alias("term", "n")
-    )
+    return df.select(key, F.inline(term_counts(_grams(F.col(text), orders))).alias("term", "n"))
 
 
 def fit_tfidf(
@@ -43,8 +41,7 @@ def fit_tfidf(
     every_text = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("n")))
     counts = term_counts(_grams(F.col(text), orders))
     ranked = (
-        df.filter(F.col(text).isNotNull())
-        .select(F.inline(F.concat(counts, every_text)).alias("term", "n"))
+        df.select(F.inline(F.concat(counts, every_text)).alias("term", "n"))
         .groupBy("term")
         .agg(F.sum("n").alias("cf"), F.count(F.lit(1)).alias("df"))
         .orderBy((F.col("term") != "").cast("int"), F.desc("cf"), "term")
@@ -129,8 +126,7 @@ def hash_block(df: DataFrame, key: str, text: str, dim: int = 32) -> DataFrame:
         ),
     )
     return (
-        df.filter(F.col(text).isNotNull())
-        .select(key, F.inline(counted).alias("term", "n", "words"))
+        df.select(key, F.inline(counted).alias("term", "n", "words"))
         .groupBy(key, bucket.cast("int").alias("idx"))
         .agg((F.sum("n") / F.max("words")).alias("value"))
     )

@@ -6,6 +6,7 @@ The empty term carries the label priors, and every text has it once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ Heads = Mapping[str, Sequence[str]]
 
 @dataclass(frozen=True)
 class LinearHeads:
-    """Weights of all heads; ``max_terms`` is set where training bounded the vocabulary."""
+    """Weights of all heads and their number of rows, where it is known."""
 
     weights: DataFrame
     heads: Heads
@@ -33,87 +34,70 @@ class LinearHeads:
 
 
 def train_naive_bayes(
-    df: DataFrame, text: str, heads: Heads, smoothing: float = 1.0, max_terms: int | None = None
+    df: DataFrame,
+    text: str,
+    heads: Heads,
+    path: str,
+    smoothing: float = 1.0,
+    max_terms: int | None = None,
 ) -> LinearHeads:
     """Multinomial naive Bayes for several heads in one pass over the words.
 
     Each head is a column of ``df`` with its possible labels; a NULL label leaves the row out of
-    that head. Counting is one aggregation by word, combined before the shuffle.
+    that head. Words are counted per combination of labels first, which combines before its shuffle
+    and spreads a frequent word over those combinations, and then set out by label. The counts are
+    written to ``path``: both the totals and the weights read them, and a lost executor costs no
+    retraining. Only the totals, one number per label, pass through the driver.
     """
-    slots = [(head, label) for head, labels in heads.items() for label in labels]
+    def hits(head: str) -> Column:
+        value = F.col(f"`{head}`").cast("string")
+        return F.array(
+            *[F.sum(F.when(value == x, F.col("_n")).otherwise(0)) for x in heads[head]]
+        ).alias(head)
 
-    def is_label(head: str, label: str) -> Column:
-        return F.col(f"`{head}`").cast("string") == F.lit(label)
-
-    rows = df.filter(F.col(text).isNotNull())
+    every_text = F.when(F.col(text).isNotNull(), F.array(F.lit("")))
     counts = (
-        rows.select(*heads, F.explode(words(F.col(text))).alias("term"))
+        df.select(*heads, F.explode(F.concat(words(F.col(text)), every_text)).alias("term"))
+        .groupBy("term", *heads)
+        .agg(F.count(F.lit(1)).alias("_n"))
         .groupBy("term")
-        .agg(
-            F.count("*").alias("_all"),
-            *[
-                F.array(
-                    *[F.coalesce(F.sum(is_label(head, x).cast("bigint")), F.lit(0)) for x in labels]
-                ).alias(f"_{head}")
-                for head, labels in heads.items()
-            ],
-        )
+        .agg(F.sum("_n").alias("_all"), *[hits(head) for head in heads])
     )
     if max_terms is not None:
-        counts = counts.orderBy(F.desc("_all"), "term").limit(max_terms)
-
-    def cells(head: str) -> Column:
-        """Counts of one head, each with whether the head knows the term at all."""
-        return let(
-            F.array_max(f"_{head}") > 0,
-            lambda known: F.transform(
-                f"_{head}", lambda n: F.struct(n.alias("n"), known.alias("known"))
-            ),
+        counts = counts.orderBy((F.col("term") != "").cast("int"), F.desc("_all"), "term").limit(max_terms + 1)
+    counts.write.mode("overwrite").parquet(path)
+    written = df.sparkSession.read.parquet(path)
+
+    is_word = F.col("term") != ""
+
+    def known(head: str) -> Column:
+        return F.array_max(F.col(f"`{head}`")) > 0
+
+    sums = [F.count(F.lit(1)).alias("rows")]
+    for number, (head, labels) in enumerate(heads.items()):
+        sums.append(F.count_if(is_word & known(head)).alias(f"k{number}"))
+        for at in range(len(labels)):
+            n = F.get(F.col(f"`{head}`"), F.lit(at))
+            sums.append(F.sum(F.when(is_word, n).otherwise(0)).alias(f"n{number}_{at}"))
+            sums.append(F.sum(F.when(is_word, 0).otherwise(n)).alias(f"d{number}_{at}"))
+    totals = written.agg(*sums).first().asDict()
+
+    parts = []
+    for number, (head, labels) in enumerate(heads.items()):
+        mass = [totals[f"n{number}_{i}"] + smoothing * totals[f"k{number}"] for i in range(len(labels))]
+        texts = [totals[f"d{number}_{i}"] for i in range(len(labels))]
+        prior = [math.log(n / sum(texts)) if n else -math.inf for n in texts]
+        word = F.zip_with(
+            F.col(f"`{head}`"),
+            F.array(*[F.lit(float(m)) for m in mass]),
+            lambda n, m: F.log((n + smoothing) / m),
         )
-
-    long = counts.select("term", F.posexplode(F.concat(*[cells(h) for h in heads])).alias("slot", "c")).select(
-        "term", "slot", "c.*"
-    )
-    totals = long.groupBy("slot").agg(
-        (F.sum("n") + smoothing * F.sum(F.col("known").cast("bigint"))).alias("mass")
-    )
-    # One row per slot: the number of labels bounds this broadcast.
-    weight = F.when(F.col("known"), F.log((F.col("n") + smoothing) / F.col("mass"))).otherwise(0.0)
-    weighted = long.join(F.broadcast(totals), "slot").select("term", "slot", weight.alias("w"))
-
-    heads_of = F.array(*[F.lit(head) for head, _ in slots])
-    label_hits = F.array(*[is_label(*slot).cast("bigint") for slot in slots])
-    per_slot = (
-        rows.select(F.posexplode(label_hits).alias("slot", "hit"))
-        .groupBy("slot")
-        .agg(F.sum("hit").alias("n"))
-        .withColumn("head", F.get(heads_of, F.col("slot")))
-    )
-    per_head = per_slot.groupBy("head").agg(F.sum("n").alias("total"))
-    share = F.col("n") / F.col("total")
-    priors = per_slot.join(F.broadcast(per_head), "head").select(
-        F.lit("").alias("term"),
-        "slot",
-        F.when(F.col("n") > 0, F.log(share)).otherwise(float("-inf")).alias("w"),
-    )
-    packed = (
-        weighted.unionByName(priors)
-        .groupBy("term")
-        .agg(F.sort_array(F.collect_list(F.struct("slot", "w"))).alias("cells"))
-        .select("term", F.transform("cells", lambda c: c["w"]).alias("weights"))
-    )
-    return LinearHeads(packed, {h: list(ls) for h, ls in heads.items()}, None if max_terms is None else max_terms + 1)
-
-
-def store(model: LinearHeads, path: str) -> LinearHeads:
-    """Write the weights and go on from the written table.
-
-    Scoring then neither repeats the training nor depends on its lineage, and the number of terms
-    is known, so a small model is broadcast and a large one is not.
-    """
-    model.weights.write.mode("overwrite").parquet(path)
-    written = model.weights.sparkSession.read.parquet(path)
-    return LinearHeads(written, model.heads, written.count())
+        unknown = F.array(*[F.lit(0.0)] * len(labels))
+        parts.append(
+            F.when(~is_word, F.array(*[F.lit(p) for p in prior])).when(known(head), word).otherwise(unknown)
+        )
+    weights = written.select("term", F.concat(*parts).alias("weights"))
+    return LinearHeads(weights, {h: list(labels) for h, labels in heads.items()}, totals["rows"])
 
 
 def model_table(model: LinearHeads) -> DataFrame:
@@ -151,7 +135,8 @@ def score_heads(df: DataFrame, model: LinearHeads, key: str, text: str) -> DataF
         term_counts(words(F.col(text))),
         F.array(F.struct(F.lit("").alias("term"), F.lit(1).alias("n"))),
     )
-    facts = df.filter(F.col(text).isNotNull()).select(key, F.inline(terms).alias("term", "n"))
+    # A missing text has no list and so no rows; a filter would compute a derived text twice.
+    facts = df.select(key, F.inline(terms).alias("term", "n"))
     joined = lookup_join(facts, model.weights, "term", spread_by=key, max_rows=model.max_terms)
     sums = joined.groupBy(key).agg(
         *[

@@ -312,11 +312,9 @@ def _labelled_documents(spark, sf):
 
 
 def _document_model(spark, sf):
-    return heads.train_naive_bayes(_labelled_documents(spark, sf), "text", DOCUMENT_HEADS)
-
-
-def _stored_document_model(spark, sf):
-    return heads.store(_document_model(spark, sf), shared_dir(spark, "document-heads"))
+    return heads.train_naive_bayes(
+        _labelled_documents(spark, sf), "text", DOCUMENT_HEADS, shared_dir(spark, "document-heads")
+    )
 
 
 def _long_scores(df: DataFrame, key: str, names) -> DataFrame:
@@ -339,7 +337,7 @@ def nb_train(spark, sf):
 @query
 def nb_score(spark, sf):
     scored = heads.score_heads(
-        fixtures.table(spark, sf, "documents"), _stored_document_model(spark, sf), "doc_id", "text"
+        fixtures.table(spark, sf, "documents"), _document_model(spark, sf), "doc_id", "text"
     )
     return _long_scores(scored, "doc_id", DOCUMENT_HEADS).select(
         "doc_id", "head", "label", _r("score").alias("score")
@@ -349,7 +347,7 @@ def nb_score(spark, sf):
 @query
 def eval_metrics(spark, sf):
     truth = _labelled_documents(spark, sf)
-    scored = heads.score_heads(truth, _stored_document_model(spark, sf), "doc_id", "text")
+    scored = heads.score_heads(truth, _document_model(spark, sf), "doc_id", "text")
     both = scored.join(truth.select("doc_id", *DOCUMENT_HEADS), "doc_id")
     per_head = F.array(
         *[
@@ -525,9 +523,7 @@ def enrich_stub(spark, sf):
 def trained_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     """Heads trained on the weakly labelled grievances, applied to the complaints."""
     weak = weak_labels.build_weak_labels(fixtures.grievances(spark, sf))
-    model = heads.store(
-        heads.train_naive_bayes(weak, "text", WEAK_HEADS), shared_dir(spark, "weak-heads")
-    )
+    model = heads.train_naive_bayes(weak, "text", WEAK_HEADS, shared_dir(spark, "weak-heads"))
     rows = fixtures.complaints(spark, sf).select("complaint_id", "complaint_text")
     cleaned = rows.withColumn("cleaned_text", text.normalize_text(F.col("complaint_text")))
     raw = heads.score_heads(cleaned, model, "complaint_id", "cleaned_text")

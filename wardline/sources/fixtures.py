@@ -38,7 +38,7 @@ REMARKS = [
 
 
 # Tables whose rows carry the heavy work, with the column to spread them by.
-_SPREAD = {"documents": "doc_id", "events": "event_id", "orders": "o_orderkey", "conversations": "conv_id"}
+_SPREAD = {"documents": "doc_id", "events": "event_id", "conversations": "conv_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,7 +112,8 @@ def grievances(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Nations are few and Spark sees that from their file size.
     home = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     key, customer_key = F.col("o_orderkey"), F.col("o_custkey")
-    return orders.join(home, F.col("c_custkey") == customer_key).select(
+    placed = orders.join(home, F.col("c_custkey") == customer_key)
+    return spread(placed, "o_orderkey", scan=orders).select(
         key.alias("grievance_id"),
         phrase(CATEGORIES, key).alias("Category"),
         phrase(SUB_CATEGORIES, key).alias("Sub Category"),

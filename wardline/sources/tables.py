@@ -13,14 +13,16 @@ from wardline.functions.spans import span
 LOG_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in vocab.LOG_COLUMNS])
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str, scan: DataFrame | None = None) -> DataFrame:
     """Split a small input by ``key`` when its files give fewer splits than there are cores.
 
     Per-row work on text is heavy enough to pay for moving a few files. Tables with as many splits
-    as cores, that is all large ones, stay untouched.
+    as cores, that is all large ones, stay untouched. ``scan`` is the table that tells, where ``df``
+    is more than a scan of it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    splits = (df if scan is None else scan).rdd.getNumPartitions()
+    return df if splits >= cores else df.repartition(cores, key)
 
 
 def pad_log(df: DataFrame) -> DataFrame:
