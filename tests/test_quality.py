@@ -85,3 +85,4 @@ def test_vectors(spark):
     got = [r.e for r in df.select(checks.vector_error(F.col("v"), 2).alias("e")).collect()]
     assert got == [None, "null_vector", "nan_value", "inf_value", "wrong_dimension"]
     assert df.filter(checks.vector_error(F.col("v")).isNull()).count() == 2
+    assert df.select(checks.as_vector(F.col("v"), "float").alias("v")).schema["v"].dataType.simpleString() == "array<float>"

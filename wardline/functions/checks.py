@@ -89,6 +89,11 @@ def probability_warnings(
     return F.array_compact(F.array(*codes))
 
 
+def as_vector(vector: Column, element: str = "double") -> Column:
+    """The vector with elements of the wanted type."""
+    return vector.cast(f"array<{element}>")
+
+
 def vector_error(vector: Column, dim: int | None = None) -> Column:
     """Code of the first error of a feature vector."""
     code = (

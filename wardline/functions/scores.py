@@ -102,9 +102,17 @@ def fuse_hint(scores: Column, target: Column, minimum: Column, zero_guard: bool
                 F.slice(items, i + 2, F.size(items)), lambda y: y["label"] == x["label"]
             ),
         )
-        return let(last, lambda kept: rescale(items, kept))
+        labels = F.array_distinct(F.transform(items, lambda x: x["label"]))
+        unique = F.when(F.size(labels) == F.size(items), items).otherwise(last)
+        return let(unique, lambda kept: let(rescale(kept), lambda moved: restore(items, moved)))
+
+    def restore(items: Column, moved: Column) -> Column:
+        """Repeated labels again, all with the score of their label."""
+        return F.when(F.size(items) == F.size(moved), moved).otherwise(
+            F.transform(items, lambda x: entry(x["label"], score_of(moved, x["label"])))
+        )
 
-    def rescale(items: Column, kept: Column) -> Column:
+    def rescale(kept: Column) -> Column:
         facts = F.struct(
             score_of(kept, target).alias("own"),
             total(F.filter(kept, lambda x: x["label"] != target)).alias("others"),
@@ -113,7 +121,7 @@ def fuse_hint(scores: Column, target: Column, minimum: Column, zero_guard: bool
         return let(
             facts,
             lambda f: F.transform(
-                items, lambda x: entry(x["label"], fused(x["label"] == target, score_of(kept, x["label"]), f))
+                kept, lambda x: entry(x["label"], fused(x["label"] == target, x["score"], f))
             ),
         )
 

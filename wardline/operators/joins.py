@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 # A lookup table is broadcast only if its row count is known to stay below this.
 BROADCAST_ROWS = 200_000
-SALTS = 16
+# Copies of the lookup rows beyond that: as many as there are cores, within limits.
+SALTS = (16, 128)
+
+
+def salts(df: DataFrame) -> int:
+    fewest, most = SALTS
+    return max(fewest, min(most, df.sparkSession.sparkContext.defaultParallelism))
 
 
 def lookup_join(
@@ -17,11 +23,13 @@ def lookup_join(
 
     ``max_rows`` is a bound the caller can prove. Within ``BROADCAST_ROWS`` the lookup side is
     broadcast and the facts stay where they are. Otherwise both sides are shuffled on the key and
-    a salt taken from ``spread_by``: a key that holds a third of the facts is spread over ``SALTS``
-    tasks, at the price of that many copies of each lookup row.
+    a salt taken from ``spread_by``: a key that holds a third of the facts is spread over ``salts``
+    tasks, at the price of that many copies of each lookup row. Adaptive execution splits what is
+    still too large.
     """
     if max_rows is not None and max_rows <= BROADCAST_ROWS:
         return facts.join(F.broadcast(lookup), key)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    n = salts(facts)
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(n)).cast("int"))
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return salted.join(copies, [key, "_salt"]).drop("_salt")
