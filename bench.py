@@ -10,12 +10,12 @@ from wardline.plans.catalog import QUERIES
 from wardline.session import build_session
 
 HEADLINE = [
-    "enrich_complaints", "enrich_stub", "weak_label_etl", "dashboard_rollup", "log_summary",
-    "normalize_text", "severity_rule", "urgency_rule", "category_fusion", "rules_documents",
-    "severity_decision", "category_probs", "nb_train", "nb_score", "gazetteer_entities",
-    "token_tags", "text_segments", "severity_urgency", "daily_urgency", "latest_complaints",
-    "top_terms_documents", "location_hotspots", "validate_scores", "violation_report", "tfidf_fit",
-    "tfidf_transform", "mean_pool", "encode_hash",
+    "severity_urgency", "daily_urgency", "latest_complaints", "location_hotspots", "log_summary",
+    "dashboard_rollup", "normalize_text", "severity_rule", "urgency_rule", "category_fusion",
+    "rules_documents", "weak_label_etl", "severity_decision", "category_probs", "validate_scores",
+    "violation_report", "text_segments", "token_tags", "gazetteer_entities", "top_terms_documents",
+    "mean_pool", "encode_hash", "tfidf_fit", "tfidf_transform", "nb_train", "nb_score", "enrich_stub",
+    "enrich_documents", "enrich_model", "enrich_complaints",
 ]
 
 

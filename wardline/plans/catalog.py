@@ -520,6 +520,16 @@ def enrich_stub(spark, sf):
     )
 
 
+@query
+def enrich_documents(spark, sf):
+    rows = fixtures.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("complaint_id"), F.col("text").alias("complaint_text")
+    )
+    return _flat(
+        enrich.enrich_complaints(rows, enrich.stub_scorer, profile="stub", keep=["complaint_id"])
+    )
+
+
 def trained_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     """Heads trained on the weakly labelled grievances, applied to the complaints."""
     weak = weak_labels.build_weak_labels(fixtures.grievances(spark, sf))

@@ -221,14 +221,20 @@ def _keyword_winner(source: str, key: str, text: str) -> str:
             join kw k on contains(lower(s.{text}), k.keyword) group by all)) where rn = 1"""
 
 
-_cte("kc", _keyword_winner("cx", "complaint_id", "complaint_text"), "cx", "kw(category, rank, keyword)")
-_cte(
-    "cn",
-    f"""select cx.*, {_norm('complaint_text')} as cleaned,
-      coalesce(kc.category, {_q(vocab.GENERAL)}) as keyword, kc.evidence
-    from cx left join kc using (complaint_id)""",
-    "cx", "kc",
-)
+_cte("dd", "select doc_id as complaint_id, text as complaint_text from documents")
+for _winner, _named, _source in (("kc", "cn", "cx"), ("dk", "dn", "dd")):
+    _cte(
+        _winner,
+        _keyword_winner(_source, "complaint_id", "complaint_text"),
+        _source, "kw(category, rank, keyword)",
+    )
+    _cte(
+        _named,
+        f"""select s.*, {_norm('complaint_text')} as cleaned,
+          coalesce(k.category, {_q(vocab.GENERAL)}) as keyword, k.evidence
+        from {_source} s left join {_winner} k using (complaint_id)""",
+        _source, _winner,
+    )
 _cte(
     "lx",
     f"""select complaint_id, created_at,
@@ -453,25 +459,26 @@ _cte(
     "names(term, label)",
     _values([(t, "LOCATION") for t in vocab.PLACES] + [(t, "PROBLEM") for t in vocab.PROBLEMS]),
 )
-_cte(
-    "found",
-    f"""select distinct complaint_id, label, p as s, p + length(term) as e,
-      substr(complaint_text, p + 1, length(term)) as text
-    from (select complaint_id, complaint_text, term, label, unnest(range(0, length(complaint_text))) as p
-          from cx join names on contains(lower(complaint_text), term))
-    where substr(lower(complaint_text), p + 1, length(term)) = term
-      and not regexp_matches(substr(' ' || complaint_text, p + 1, 1), '{_WORD}')
-      and not regexp_matches(substr(complaint_text || ' ', p + 1 + length(term), 1), '{_WORD}')""",
-    "cx", "names(term, label)",
-)
-_cte(
-    "spotted",
-    """select complaint_id, cast(row_number() over (partition by complaint_id order by s) - 1 as integer) as pos,
-      text, label, cast(s as integer) as s, cast(e as integer) as e
-    from found f where not exists (select 1 from found g where g.complaint_id = f.complaint_id
-      and g.s <= f.s and g.e >= f.e and g.e - g.s > f.e - f.s)""",
-    "found",
-)
+for _found, _spotted, _source in (("found", "spotted", "cx"), ("dfound", "dspotted", "dd")):
+    _cte(
+        _found,
+        f"""select distinct complaint_id, label, p as s, p + length(term) as e,
+          substr(complaint_text, p + 1, length(term)) as text
+        from (select complaint_id, complaint_text, term, label, unnest(range(0, length(complaint_text))) as p
+              from {_source} join names on contains(lower(complaint_text), term))
+        where substr(lower(complaint_text), p + 1, length(term)) = term
+          and not regexp_matches(substr(' ' || complaint_text, p + 1, 1), '{_WORD}')
+          and not regexp_matches(substr(complaint_text || ' ', p + 1 + length(term), 1), '{_WORD}')""",
+        _source, "names(term, label)",
+    )
+    _cte(
+        _spotted,
+        f"""select complaint_id, cast(row_number() over (partition by complaint_id order by s) - 1 as integer) as pos,
+          text, label, cast(s as integer) as s, cast(e as integer) as e
+        from {_found} f where not exists (select 1 from {_found} g where g.complaint_id = f.complaint_id
+          and g.s <= f.s and g.e >= f.e and g.e - g.s > f.e - f.s)""",
+        _found,
+    )
 _cte(
     "dtok",
     f"""select doc_id, unnest(l) as term, generate_subscripts(l, 1) as n
@@ -768,9 +775,10 @@ _add(
     "cx",
 )
 
-_CAPTIONED = """select complaint_id, count(*) as entity_count,
-    string_agg(text || '(' || label || ')', ', ' order by pos) as entities,
-    first(text order by pos) filter (label = 'LOCATION') as location from spotted group by 1"""
+def _captioned(spotted: str) -> str:
+    return f"""select complaint_id, count(*) as entity_count,
+      string_agg(text || '(' || label || ')', ', ' order by pos) as entities,
+      first(text order by pos) filter (label = 'LOCATION') as location from {spotted} group by 1"""
 
 
 def _fused(model: str, confidence: str) -> str:
@@ -782,18 +790,21 @@ def _fused(model: str, confidence: str) -> str:
 
 _STUB_SEVERITY = """case hint when 'High' then 0.75::double when 'Low' then 0.75::double when 'Medium' then 0.6::double
   else round(1.0::double / 3, 6) end"""
-_ENRICH_STUB = (
-    f"""select n.complaint_id, {_fused('model', '(1.0 / 6)')}, round(1.0::double / 6, 6) as issue_confidence,
-      coalesce(hint, stub_severity) as severity, {_STUB_SEVERITY} as severity_confidence,
-      stub_urgency as urgency, round(1.0::double / 3, 6) as urgency_confidence,
-      coalesce(entities, '') as entities, coalesce(c.location, '') as location, cleaned as cleaned_text,
-      complaint_text as raw_text, 'stub' as mode, cast(coalesce(entity_count, 0) as integer) as entity_count
-    from (select *, {_severity('complaint_text')} as hint, {_pick('cleaned', vocab.STUB_CATEGORY_LABELS)} as model,
-            {_pick('cleaned', vocab.SEVERITY_LABELS, 'sev')} as stub_severity,
-            {_pick('cleaned', vocab.URGENCY_LABELS, 'urg')} as stub_urgency from cn) n
-    left join capt c on c.complaint_id = n.complaint_id"""
-)
-_add("enrich_stub", _ENRICH_STUB, "cn", "spotted", extra=[("capt", _CAPTIONED)])
+for _name, _source, _spotted in (("enrich_stub", "cn", "spotted"), ("enrich_documents", "dn", "dspotted")):
+    _add(
+        _name,
+        f"""select n.complaint_id, {_fused('model', '(1.0 / 6)')}, round(1.0::double / 6, 6) as issue_confidence,
+          coalesce(hint, stub_severity) as severity, {_STUB_SEVERITY} as severity_confidence,
+          stub_urgency as urgency, round(1.0::double / 3, 6) as urgency_confidence,
+          coalesce(entities, '') as entities, coalesce(c.location, '') as location, cleaned as cleaned_text,
+          complaint_text as raw_text, 'stub' as mode, cast(coalesce(entity_count, 0) as integer) as entity_count
+        from (select *, {_severity('complaint_text')} as hint, {_pick('cleaned', vocab.STUB_CATEGORY_LABELS)} as model,
+                {_pick('cleaned', vocab.SEVERITY_LABELS, 'sev')} as stub_severity,
+                {_pick('cleaned', vocab.URGENCY_LABELS, 'urg')} as stub_urgency from {_source}) n
+        left join capt c on c.complaint_id = n.complaint_id""",
+        _source, _spotted,
+        extra=[("capt", _captioned(_spotted))],
+    )
 
 _LIVE_MODEL = _naive_bayes(
     "wb", "select grievance_id as id, text, category, severity, urgency from weak", catalog.WEAK_HEADS
@@ -809,7 +820,7 @@ def _enrich_live(
 ) -> list[tuple[str, str]]:
     """Relations for the best category and the two score lists lead to the enriched rows."""
     return [
-        ("capt", _CAPTIONED),
+        ("capt", _captioned("spotted")),
         *extra,
         ("best", best),
         ("sv_hint", f"select complaint_id as id, {_severity('complaint_text')} as hint from cn"),
