@@ -24,11 +24,6 @@ def test_no_python_and_no_cross_join(spark, name):
     assert python == (["MapInPandas"] if name in PYTHON_QUERIES else [])
 
 
-def _wide(spark, name, columns):
-    """A table with as many splits as a cluster would see."""
-    return fixtures.complaints(spark, SF).select(*columns).repartition(16)
-
-
 def test_stub_enrichment_is_narrow(spark, tmp_path):
     fixtures.complaints(spark, SF).repartition(8).write.parquet(str(tmp_path / "c"))
     df = spark.read.parquet(str(tmp_path / "c"))

@@ -42,7 +42,7 @@ def test_live_dashboard_takes_late_rows(spark, tmp_path):
         _arrive(spark, source, batch)
         stream = live.read_stream(spark, source, LOG)
         live.refresh_table(live.live_daily_urgency(stream), out, state).awaitTermination()
-    got = {tuple(r) for r in spark.read.parquet(out).collect()}
+    got = {tuple(r) for r in live.read_refreshed(spark, out).collect()}
     expected = {tuple(r) for r in dashboard.daily_urgency(spark.read.parquet(source)).collect()}
     assert got == expected and len(got) == 4
 

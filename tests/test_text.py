@@ -66,6 +66,11 @@ def test_term_counts_and_ngrams(spark):
     assert pairs[1] == pairs[2] == []
 
 
+def test_strip(spark):
+    texts = SAMPLES + _noise() + ["\x1c\u3000 a b\u2029\t"]
+    assert _apply(spark, text.strip, texts) == [t.strip() for t in texts]
+
+
 def test_keyword_counts_do_not_overlap(spark):
     got = _apply(spark, lambda c: text.keyword_counts(c, ["aa"])[0], ["aaaaa", "AA b aa", ""])
     assert got == [t.lower().count("aa") for t in ["aaaaa", "AA b aa", ""]]

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardline import vocab
-from wardline.functions.text import SPACE, WORD, let, token_spans
+from wardline.functions.text import WORD, let, strip, token_spans
 
 SPANS = "array<struct<text:string,label:string,start:int,end:int>>"
 
@@ -42,9 +42,6 @@ def first_location(entities: Column) -> Column:
 
 
 def entity_caption(entities: Column) -> Column:
-    def strip(text: Column) -> Column:
-        return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
-
     def caption(e: Column) -> Column:
         text, label = strip(e["text"]), strip(e["label"])
         return F.when(label == "", text).otherwise(F.concat(text, F.lit("("), label, F.lit(")")))

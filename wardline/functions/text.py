@@ -12,7 +12,6 @@ from wardline import vocab
 # Character classes are spelled out because ``\w``, ``\b`` and ``\s`` mean different things
 # to different Java releases.
 WORD = r"[\p{L}\p{N}_]"
-SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 NON_SPACE = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]"
 _SPACE_CHARS = [
     chr(code)
@@ -37,6 +36,11 @@ def _joined(text: Column, pattern: str) -> Column:
     return F.array_join(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), " ")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.trim(text, F.lit("".join(_SPACE_CHARS)))
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space to one blank, none at the ends."""
     return _joined(text, f"{NON_SPACE}+")
@@ -78,7 +82,7 @@ def title_case(text: Column) -> Column:
 
 def civic_category(label: Column) -> Column:
     """Readable category of a model label."""
-    plain = F.trim(F.replace(label, F.lit("_"), F.lit(" ")))
+    plain = strip(F.replace(label, F.lit("_"), F.lit(" ")))
     result = F.when(F.coalesce(plain, F.lit("")) == "", F.lit(vocab.GENERAL))
     for name, category in vocab.MODEL_LABEL_CATEGORY.items():
         result = result.when(label == name, F.lit(category))
@@ -95,7 +99,7 @@ def urgency_label(label: Column) -> Column:
 
 
 def preview(text: Column, width: int = 160) -> Column:
-    text = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    text = strip(text)
     cut = F.concat(F.left(text, F.lit(width - 3)), F.lit("..."))
     return F.when(F.length(text) > width, cut).otherwise(text)
 

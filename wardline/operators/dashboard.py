@@ -7,7 +7,7 @@ log therefore reaches the reducers as one row per task.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, datetime
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,7 +80,7 @@ def log_summary(
         event_time(df).alias("ts"),
         is_urgent(urgent_labels).alias("urgent"),
     )
-    start = F.lit(datetime(as_of.year, as_of.month, as_of.day)).cast(facts.schema["ts"].dataType)
+    start = F.lit(f"{as_of} 00:00:00").cast(facts.schema["ts"].dataType)
     sets = facts.groupingSets(
         [[], [F.col("issue")], [F.col("location")]], F.col("issue"), F.col("location")
     ).agg(

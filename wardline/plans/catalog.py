@@ -881,7 +881,7 @@ def stream_daily_urgency(spark, sf):
     out, checkpoint = shared_dir(spark, "daily"), shared_dir(spark, "checkpoint")
     log = fixtures.log_from(fixtures.complaints_from(_stream_events(spark, sf)))
     live.refresh_table(live.live_daily_urgency(log), out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+    return live.read_refreshed(spark, out)
 
 
 def _stream_windows(spark, sf, slide=None, width="1 day"):

@@ -44,12 +44,13 @@ def live_daily_urgency(stream: DataFrame) -> DataFrame:
 
 
 def refresh_table(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest complete result of a streaming aggregation as a Parquet table.
+    """Keep complete results of a streaming aggregation as versions of a Parquet table.
 
-    Each refresh replaces the table as a whole, so a repeated batch writes the same again.
+    Every refresh writes a version of its own, so readers never meet a half-replaced table and a
+    batch repeated after a failure writes its version again.
     """
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
 
     return (
         df.writeStream.foreachBatch(write)
@@ -60,6 +61,13 @@ def refresh_table(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def read_refreshed(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a refreshed table."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == newest).drop("version")
+
+
 def windowed_urgency(
     stream: DataFrame, lateness: str = "1 day", width: str = "1 day", slide: str | None = None
 ) -> DataFrame:
