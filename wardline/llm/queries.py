@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import line_dedup, secrets, warc
+from wardline.llm import decontaminate, line_dedup, packing, secrets, token_counts, warc
 from wardline.llm.common import Scratch
 
+PACK_TOKENIZER = "byte_bpe_50k.json"
+COUNT_VOCABULARY = "piece_bpe_32k.model"
+
+
+def public_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,10 +63,32 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_file(PACK_TOKENIZER)).drop("_rid")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document and benchmark item that it holds, as it is or with other parameters."""
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = ["item_tokens", "covered", "slots", "renamed", "kind"]
+    return leaks.select(F.col("_key").alias("doc_id"), F.col("item").alias("item_id"), *names)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_file(COUNT_VOCABULARY))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_line_dedup": op2_line_dedup, "op10_secrets": op10_secrets}
+QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_line_dedup": op2_line_dedup,
+    "op4_packing": op4_packing,
+    "op5_decontamination": op5_decontamination,
+    "op7_token_counts": op7_token_counts,
+    "op10_secrets": op10_secrets,
+}
 
 ORACLES: dict[str, str] = {}
