@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from wardline.session import shared_dir
 
 # A table is broadcast only after its rows have been counted and their bytes stay below this.
-BROADCAST_BYTES = 32_000_000
+BROADCAST_BYTES = 16_000_000
 
 
 class Scratch:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import decontaminate, line_dedup, packing, secrets, token_counts, warc
+from wardline.llm import decontaminate, line_dedup, ngram_join, packing, secrets, token_counts, warc
 from wardline.llm.common import Scratch
 
 PACK_TOKENIZER = "byte_bpe_50k.json"
@@ -78,6 +78,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_file(COUNT_VOCABULARY))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = ngram_join.link_documents(table(spark, sf_dir, "documents"))
+    # Components are numbered by rows; the smallest row's document names them.
+    ids = done.select("_rid", "n_shingles", "component", F.col("_row.doc_id").alias("doc_id"))
+    heads = ids.where("_rid = component").select("component", F.col("doc_id").alias("component_id"))
+    return ids.join(heads, "component").select("doc_id", "n_shingles", "component_id")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_spans(table(spark, sf_dir, "documents")))
 
@@ -88,6 +96,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_decontamination": op5_decontamination,
     "op7_token_counts": op7_token_counts,
+    "op9_ngram_join": op9_ngram_join,
     "op10_secrets": op10_secrets,
 }
 
