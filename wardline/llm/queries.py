@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import decontaminate, line_dedup, ngram_join, packing, secrets, token_counts, warc
+from wardline.llm import decontaminate, embed_join, line_dedup, ngram_join, packing, secrets, token_counts, warc
 from wardline.llm.common import Scratch
 
 PACK_TOKENIZER = "byte_bpe_50k.json"
@@ -63,6 +63,15 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = embed_join.link_vectors(table(spark, sf_dir, "embeddings"))
+    ids = done.select("_rid", "links", "component", F.col("_row.vec_id").alias("vec_id"))
+    heads = ids.where("_rid = component").select("component", F.col("vec_id").alias("component_id"))
+    return ids.join(heads, "component").select(
+        "vec_id", F.col("links").alias("n_links"), "component_id", (F.col("_rid") == F.col("component")).alias("kept")
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_file(PACK_TOKENIZER)).drop("_rid")
 
@@ -93,6 +102,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_line_dedup": op2_line_dedup,
+    "op3_embeddings": op3_embeddings,
     "op4_packing": op4_packing,
     "op5_decontamination": op5_decontamination,
     "op7_token_counts": op7_token_counts,
