@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import decontaminate, embed_join, line_dedup, ngram_join, packing, secrets, token_counts, warc
+from wardline.llm import decontaminate, embed_join, line_dedup, ngram_join, packing, quality, secrets, suffix_dedup, token_counts, warc
 from wardline.llm.common import Scratch
 
 PACK_TOKENIZER = "byte_bpe_50k.json"
@@ -83,10 +83,24 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select(F.col("_key").alias("doc_id"), F.col("item").alias("item_id"), *names)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select(F.col("_key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_file(COUNT_VOCABULARY))
 
 
+HEADS = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    judged = quality.judge(docs, labels, HEADS, whole_rows=False)
+    return judged.select(F.col("_key").alias("doc_id"), *[c for c in judged.columns if c[0] != "_"])
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = ngram_join.link_documents(table(spark, sf_dir, "documents"))
     # Components are numbered by rows; the smallest row's document names them.
@@ -105,7 +119,9 @@ QUERIES = {
     "op3_embeddings": op3_embeddings,
     "op4_packing": op4_packing,
     "op5_decontamination": op5_decontamination,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_quality": op8_quality,
     "op9_ngram_join": op9_ngram_join,
     "op10_secrets": op10_secrets,
 }
