@@ -8,8 +8,8 @@ variance is what is left of the variance between sites after sampling noise. A d
 probability is taken out of its site's sums before they speak about it. Its posterior log odds are
 the evidence with the prior of the training rows replaced by the rate of its path.
 
-Models are fitted on at most ``sample_rows`` labelled rows (the smallest hashes of their ids) with at
-most ``vocabulary`` words of at least ``min_docs`` of these rows; sums and rates cover all documents.
+Models are fitted on at most ``sample_rows`` labelled rows (the smallest hashes of their ids) and know
+at most ``most_words`` words a head; sums and rates cover all documents.
 
 Defined cases: a null text counts as empty and is judged like one; null hosts and paths are sites of
 their own; labels that are null are unlabelled, several labels of an id count as their largest; a head
@@ -19,67 +19,100 @@ rows with equal or null ids are judged one by one.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import Scratch, packed, small, unpacked
 
-MAKEUP = ["length", "symbols", "digits", "capitals", "distinct", "word_length", "line_length"]
+MAKEUP = ["length", "symbols", "digits", "capitals", "distinct", "word_length", "bursts", "bars", "repeats"]
 CLIP = 30.0
 
 
 def described(df: DataFrame) -> DataFrame:
-    """``df`` with ``words`` and the columns of ``MAKEUP`` from ``_text``."""
+    """``df`` with ``words`` (distinct) and the columns of ``MAKEUP`` from ``_text``."""
     text = F.coalesce("_text", F.lit(""))
-    chars = F.greatest(F.char_length(text), F.lit(1))
+    out = df.withColumn("all_words", F.split(F.lower(text), r"[^\p{L}']+"))
+    out = out.withColumns({"words": F.array_distinct("all_words"), "chars": F.greatest(F.char_length(text), F.lit(1))})
+    chars, number = F.col("chars"), F.size("all_words")
     left = lambda pattern: F.char_length(F.regexp_replace(text, pattern, ""))
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}']+"), lambda w: w != "")
-    out = df.withColumn("words", words)
-    number = F.size("words")
+    again = F.zip_with("all_words", F.slice("all_words", 2, number), lambda a, b: (a == b) & (a != ""))
     return out.withColumns({
         "length": F.log1p(number),
         "symbols": left(r"[\p{L}\p{N}\s]+") / chars,
         "digits": left(r"[^0-9]+") / chars,
         "capitals": left(r"[^\p{Lu}]+") / chars,
-        "distinct": F.size(F.array_distinct("words")) / F.greatest(number, F.lit(1)),
-        "word_length": F.least(chars / F.greatest(number, F.lit(1)), F.lit(50.0)),
-        "line_length": F.log1p(chars / (left(r"[^\n]+") + 1)),
-    })
+        "distinct": F.size("words") / number,
+        "word_length": F.least(chars / number, F.lit(50.0)),
+        "bursts": F.log1p(F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s]{2,}"))),
+        "bars": F.log1p(F.char_length(text) - F.char_length(F.replace(text, F.lit("|"), F.lit("")))),
+        "repeats": F.log1p(F.size(F.filter(again, lambda x: x))),
+    }).drop("all_words", "chars")
+
+
+def _told(telling: list[tuple[str, float]]) -> Column:
+    """The log odds of the telling words among ``words``, summed."""
+    if not telling:
+        return F.lit(0.0)
+    names = F.array(*[F.lit(w) for w, _ in telling])
+    odds = F.array(*[F.lit(o) for _, o in telling])
+    place = lambda w: (F.array_position(names, w) - 1).cast("int")
+    return F.aggregate(F.array_intersect("words", names), F.lit(0.0), lambda total, w: total + F.get(odds, place(w)))
 
 
 class Model:
-    """Word vocabulary and one logistic model per head; ``base`` are the heads' training log odds."""
+    """Telling words with their log odds and a logistic model per head; ``base`` are training log odds."""
 
-    def __init__(self, counter, heads: dict, base: dict[str, float]):
-        self.counter, self.heads, self.base = counter, heads, base
-        inputs = (["counts"] if counter else []) + MAKEUP
-        self.assembler = VectorAssembler(inputCols=inputs, outputCol="features")
+    def __init__(self, words: dict[str, list[tuple[str, float]]]):
+        self.words = words
+        self.heads: dict = dict.fromkeys(words)
+        self.base: dict[str, float] = {}
 
     def features(self, df: DataFrame) -> DataFrame:
-        return self.assembler.transform(self.counter.transform(df) if self.counter else df)
+        """``df`` with ``f_<head>``: the make-up and the summed log odds of the telling words in it."""
+        for head, telling in self.words.items():
+            df = df.withColumn(f"w_{head}", _told(telling))
+            df = VectorAssembler(inputCols=[*MAKEUP, f"w_{head}"], outputCol=f"f_{head}").transform(df)
+        return df
 
     def evidence(self, df: DataFrame) -> DataFrame:
         """``df`` (with ``_text``) and the log odds ``e_<head>``, null for a head without a model."""
-        keep = df.columns
-        out = self.features(described(df)) if any(self.heads.values()) else df
+        keep, out = df.columns, df
+        if any(self.heads.values()):
+            out = self.features(described(df))
         for name, head in self.heads.items():
             if head is None:
                 out = out.withColumn(f"e_{name}", F.lit(None).cast("double"))
                 continue
             raw, p, y = f"raw_{name}", f"p_{name}", f"y_{name}"
-            head = head.setRawPredictionCol(raw).setProbabilityCol(p).setPredictionCol(y)
-            out = head.transform(out)
+            out = head.setRawPredictionCol(raw).setProbabilityCol(p).setPredictionCol(y).transform(out)
             odds = F.get(vector_to_array(raw), 1)
             out = out.withColumn(f"e_{name}", F.greatest(F.least(odds, F.lit(CLIP)), F.lit(-CLIP))).drop(raw, p, y)
         return out.select(*keep, *[f"e_{name}" for name in self.heads])
 
 
+def telling_words(rows: DataFrame, head: str, positives: int, number: int, most: int, sure: float, strong: float) -> list[tuple[str, float]]:
+    """Words that mark bad rows, the surest first.
+
+    Their log odds ratio is at least ``strong``, so that words of a language or topic with somewhat
+    more bad rows stay out, and at least ``sure`` standard errors from nothing.
+    """
+    told = rows.where(F.col(head).isNotNull())
+    counts = told.select(head, F.explode("words").alias("w")).groupBy("w").agg(F.sum(head).alias("a"), F.count("*").alias("n"))
+    a, b = F.col("a"), F.col("n") - F.col("a")
+    odds = F.log((a + 0.5) / (positives - a + 0.5)) - F.log((b + 0.5) / (number - positives - b + 0.5))
+    scored = counts.where("w != ''").select("w", odds.alias("odds"), (odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))).alias("z"))
+    best = scored.where((F.col("z") >= sure) & (F.col("odds") >= strong)).orderBy(F.desc("z"), "w").limit(most)
+    return [(r.w, r.odds) for r in best.collect()]
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, heads: dict[str, Column], scratch: Scratch, key: str = "doc_id", text: str = "text",
-    sample_rows: int = 20_000, vocabulary: int = 50_000, min_docs: int = 8, label_key: str = "doc_id",
+    sample_rows: int = 20_000, most_words: int = 1000, sure: float = 2.5, strong: float = 3.0, label_key: str = "doc_id",
 ) -> Model:
     """``heads`` name 0/1 columns over ``labels``, 1 for bad."""
     told = labels.groupBy(F.col(f"`{label_key}`").alias("_key")).agg(*[F.max(c.cast("double")).alias(n) for n, c in heads.items()])
@@ -88,33 +121,19 @@ def fit(
     texts = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
     # The sample has a fixed bound.
     rows = described(texts.join(F.broadcast(sample), "_key")).select(*heads, "words", *MAKEUP)
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    rows = scratch.save(rows.repartition(cores), "fitted")
+    rows = scratch.save(rows.repartition(docs.sparkSession.sparkContext.defaultParallelism), "fitted")
     facts = rows.agg(*[F.count(h).alias(f"n_{h}") for h in heads], *[F.sum(h).alias(f"s_{h}") for h in heads]).first()
-    both = {h: 0 < (facts[f"s_{h}"] or 0) < facts[f"n_{h}"] for h in heads}
-    counter = None
-    if any(both.values()):
-        counter = CountVectorizer(inputCol="words", outputCol="counts", binary=True, minDF=float(min_docs), vocabSize=vocabulary)
-        frequent = rows.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count().where(F.col("count") >= min_docs)
-        counter = None if frequent.isEmpty() else counter.fit(rows)
-    model = Model(counter, dict.fromkeys(heads), {})
-    if any(both.values()):
-        ready = scratch.save(model.features(rows).select(*heads, "features"), "features")
-        for h in heads:
-            if both[h]:
-                learner = LogisticRegression(labelCol=h, featuresCol="features", maxIter=40, regParam=0.002)
-                model.heads[h] = learner.fit(ready.where(F.col(h).isNotNull()))
-                share = facts[f"s_{h}"] / facts[f"n_{h}"]
-                model.base[h] = _logit_number(share)
+    both = {h: (int(facts[f"s_{h}"]), facts[f"n_{h}"]) for h in heads if 0 < (facts[f"s_{h}"] or 0) < facts[f"n_{h}"]}
+    model = Model({h: telling_words(rows, h, *both[h], most_words, sure, strong) if h in both else [] for h in heads})
+    if both:
+        ready = scratch.save(model.features(rows).select(*heads, *[f"f_{h}" for h in heads]), "features")
+        for h, (positives, number) in both.items():
+            learner = LogisticRegression(labelCol=h, featuresCol=f"f_{h}", maxIter=25, regParam=1e-5)
+            model.heads[h] = learner.fit(ready.where(F.col(h).isNotNull()))
+            model.base[h] = math.log(positives / (number - positives))
     return model
 
 
-def _logit_number(p: float) -> float:
-    import math
-
-    return math.log(p / (1 - p))
-
-
 def _logit(p: Column) -> Column:
     safe = F.greatest(F.least(p, F.lit(1 - 1e-9)), F.lit(1e-9))
     return F.log(safe / (1 - safe))
