@@ -111,11 +111,11 @@ def telling_words(rows: DataFrame, head: str, positives: int, number: int, most:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, heads: dict[str, Column], scratch: Scratch, key: str = "doc_id", text: str = "text",
+    docs: DataFrame, labels: DataFrame, heads: dict[str, str], scratch: Scratch, key: str = "doc_id", text: str = "text",
     sample_rows: int = 20_000, most_words: int = 1000, sure: float = 2.5, strong: float = 3.0, label_key: str = "doc_id",
 ) -> Model:
-    """``heads`` name 0/1 columns over ``labels``, 1 for bad."""
-    told = labels.groupBy(F.col(f"`{label_key}`").alias("_key")).agg(*[F.max(c.cast("double")).alias(n) for n, c in heads.items()])
+    """``heads`` name 0/1 SQL expressions over the columns of ``labels``, 1 for bad."""
+    told = labels.groupBy(F.col(f"`{label_key}`").alias("_key")).agg(*[F.max(F.expr(c).cast("double")).alias(n) for n, c in heads.items()])
     told = told.where(F.col("_key").isNotNull() & F.coalesce(*heads).isNotNull())
     sample = scratch.save(told.orderBy(F.xxhash64("_key"), "_key").limit(sample_rows), "sample")
     texts = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
@@ -179,7 +179,7 @@ def site_rates(scored: DataFrame, heads: list[str], scratch: Scratch) -> tuple[D
 
 
 def judge(
-    docs: DataFrame, labels: DataFrame, heads: dict[str, Column], key: str = "doc_id", text: str = "text", host: str = "source",
+    docs: DataFrame, labels: DataFrame, heads: dict[str, str], key: str = "doc_id", text: str = "text", host: str = "source",
     path: str = "lang", threshold: float = 0.5, whole_rows: bool = True, **fitting,
 ) -> DataFrame:
     """``_row, _key`` with ``posterior_<head>``, ``rate_<head>`` (of the path) and ``keep``.
@@ -212,6 +212,6 @@ def judge(
     return out.select(*shown, (~rejected).alias("keep"))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, heads: dict[str, Column], **options) -> DataFrame:
+def kept_documents(docs: DataFrame, labels: DataFrame, heads: dict[str, str], **options) -> DataFrame:
     """The columns of the documents that no head rejects."""
     return unpacked(judge(docs, labels, heads, **options).where("keep"), docs.columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm import decontaminate, embed_join, line_dedup, ngram_join, packing, quality, secrets, suffix_dedup, token_counts, warc
 from wardline.llm.common import Scratch
+from wardline.llm.oracles import ORACLES  # noqa: F401
 
 PACK_TOKENIZER = "byte_bpe_50k.json"
 COUNT_VOCABULARY = "piece_bpe_32k.model"
@@ -92,7 +93,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_file(COUNT_VOCABULARY))
 
 
-HEADS = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+HEADS = {"low_quality": "1 - quality", "toxic": "toxic"}
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,5 +126,3 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_secrets": op10_secrets,
 }
-
-ORACLES: dict[str, str] = {}
