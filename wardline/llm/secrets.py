@@ -90,7 +90,8 @@ def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", reach:
     run = W.partitionBy("_rid", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
     end = F.sum(F.col("skip") + F.col("chars")).over(run)
     placed = dealt.withColumn("end", end).withColumn("start", F.col("end") - F.col("chars"))
-    placed = placed.where("kind is null or fits")
+    # What is too short is no part; its row stays, so that no text is lost.
+    placed = placed.withColumn("kind", F.when(F.col("fits"), F.col("kind")))
     return _linked(placed, reach).groupBy("_rid", "_key").agg(
         F.sort_array(
             F.collect_list(
