@@ -82,12 +82,46 @@ EXPECTED = {
 }
 
 
-@pytest.mark.parametrize("bound", [100, None])
-def test_gazetteer_join(spark, bound):
+@pytest.mark.parametrize("limit", [joins.BROADCAST_BYTES, 0])
+def test_gazetteer_join(spark, monkeypatch, limit):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
     df = spark.createDataFrame(TEXTS, "id int, text string")
-    found = entities.extract_entities(df, entities.seed_gazetteer(spark), "id", "text", max_terms=bound)
+    found = entities.extract_entities(df, entities.seed_gazetteer(spark), "id", "text")
     got = {r.id: [(e.text, e.start) for e in r.entities] for r in found.collect()}
-    assert got == EXPECTED
+    assert got == {2: [], **EXPECTED}
+
+
+def test_gazetteer_names_of_any_length(spark):
+    name = "old town hall of the lower eastern ward"
+    names = spark.createDataFrame([(name, "LOCATION"), ("hall", "PROBLEM")], "term string, label string")
+    df = spark.createDataFrame([(1, f"at Old town hall of the lower eastern ward, hall {name.replace(' ', '  ', 1)}")], "id int, text string")
+    got = entities.extract_entities(df, names, "id", "text").first().entities
+    assert [(e.text.lower(), e.start) for e in got] == [(name, 3), ("hall", 44), ("hall", 59)]
+
+
+def test_offsets_of_odd_characters(spark):
+    df = spark.createDataFrame([(1, "gas\x01leak near wall"), (2, "\u0130ndiranagar wall"), (3, None)], "id int, text string")
+    found = df.select("id", spans.gazetteer_spans(F.col("text"), enrich.SEED_GAZETTEER).alias("e")).collect()
+    got = {r.id: [(e.text, e.label, e.start, e.end) for e in r.e or []] for r in found}
+    assert [x for x in got[1] if x[0] == "wall"] == [("wall", "PROBLEM", 14, 18)]
+    assert got[2] == [("wall", "PROBLEM", 12, 16)]
+    assert all(label for hits in got.values() for _, label, _, _ in hits)
+
+
+def test_long_texts_stay_linear(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "wall in jayanagar " * n)], "id int, text string")
+        found = spans.gazetteer_spans(F.col("text"), enrich.SEED_GAZETTEER)
+        start = time.perf_counter()
+        assert df.select(F.size(found)).first()[0] == 2 * n
+        rows = entities.extract_entities(df, entities.seed_gazetteer(spark), "id", "text")
+        assert len(rows.first().entities) == 2 * n
+        return time.perf_counter() - start
+
+    seconds(10)
+    assert seconds(10_000) < 10 * max(seconds(2_000), 1)
 
 
 def test_gazetteer_inline(spark):
@@ -97,17 +131,20 @@ def test_gazetteer_inline(spark):
     assert got == {1: [], 2: [], 3: [], 4: [], **EXPECTED}
 
 
-def test_lookup_join_salts_a_hot_key(spark):
+def test_lookup_join_follows_measured_bytes(spark, monkeypatch):
     facts = spark.range(10_000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"))
     lookup = facts.select("k").distinct().withColumn("v", F.length("k"))
-    wide = joins.lookup_join(facts, lookup, "k", spread_by="id")
-    small = joins.lookup_join(facts, lookup, "k", spread_by="id", max_rows=10_000)
-    assert wide.count() == small.count() == 10_000
-    n = joins.salts(facts)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(n)))
-    shares = salted.filter("k = 'hot'").groupBy("_salt").count().collect()
-    assert len(shares) == n
-    assert max(r["count"] for r in shares) < 2 * 3334 / n
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    small = joins.lookup_join(facts, lookup, "k")
+    assert "BroadcastHashJoin" in plan(small)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 1000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        wide = joins.lookup_join(facts, lookup, "k")
+        assert "Broadcast" not in plan(wide)
+        assert wide.count() == small.count() == 10_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_captions_of_damaged_entities(spark):

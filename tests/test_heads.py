@@ -1,7 +1,6 @@
 import math
 import re
 from collections import Counter, defaultdict
-from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -9,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import scores
 from wardline.functions.text import normalize_text
-from wardline.operators import enrich, heads
+from wardline.operators import enrich, heads, joins
 from wardline.session import shared_dir
 
 ROWS = [
@@ -41,15 +40,15 @@ def _brute(texts):
     return result
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_naive_bayes(spark, bounded):
+@pytest.mark.parametrize("way", ["rows", "joined", "shuffled"])
+def test_naive_bayes(spark, monkeypatch, way):
     df = spark.createDataFrame(ROWS, "id int, text string, topic string, level string")
     model = heads.train_naive_bayes(df, "text", HEADS, shared_dir(spark, "model"))
-    assert model.max_terms == 8
-    if not bounded:
-        model = replace(model, max_terms=None)
+    if way == "shuffled":
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
     texts = [(10, "Water leak water"), (11, "unknown words"), (12, "dark light"), (13, "")]
-    scored = heads.score_heads(spark.createDataFrame(texts, "id int, text string"), model, "id", "text")
+    frame = spark.createDataFrame(texts, "id int, text string")
+    scored = heads.row_scorer(model, "text")(frame) if way == "rows" else heads.score_heads(frame, model, "id", "text")
     expected = _brute(texts)
     rows = scored.collect()
     assert sorted(r.id for r in rows) == [10, 11, 12, 13]
@@ -60,11 +59,23 @@ def test_naive_bayes(spark, bounded):
             assert [e.score for e in got] == pytest.approx(expected[row.id][head], abs=1e-9)
 
 
-def test_bounded_vocabulary(spark):
+def test_rows_with_equal_keys_and_missing_texts_keep_their_own_scores(spark):
     df = spark.createDataFrame(ROWS, "id int, text string, topic string, level string")
-    model = heads.train_naive_bayes(df, "text", HEADS, shared_dir(spark, "model"), max_terms=2)
-    assert {r.term for r in model.weights.collect()} == {"", "water", "light"}
-    assert model.max_terms == 3
+    model = heads.train_naive_bayes(df, "text", HEADS, shared_dir(spark, "model"))
+    frame = spark.createDataFrame([(2**53 + 1, "Water leak"), (2**53 + 1, "dark light"), (None, None)], "id long, text string")
+    rows = heads.row_scorer(model, "text")(frame.coalesce(1)).collect()
+    assert [r.id for r in rows] == [2**53 + 1, 2**53 + 1, None]
+    assert rows[0].topic_scores != rows[1].topic_scores and rows[2].topic_scores is None
+    none = heads.row_scorer(model, "text")(frame.limit(0))
+    assert none.collect() == []
+
+
+def test_a_head_without_labels_gives_nothing(spark):
+    df = spark.createDataFrame(ROWS, "id int, text string, topic string, level string").withColumn("level", F.lit(None).cast("string"))
+    model = heads.train_naive_bayes(df, "text", HEADS, shared_dir(spark, "model"))
+    frame = spark.createDataFrame([(1, "water")], "id int, text string")
+    for row in (heads.row_scorer(model, "text")(frame).first(), heads.score_heads(frame, model, "id", "text").first()):
+        assert row.level_scores is None and row.topic_scores is not None
 
 
 def test_evaluate(spark):

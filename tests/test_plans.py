@@ -2,13 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from wardline.operators import dashboard, enrich, entities
+from wardline.operators import dashboard, enrich, features
 from wardline.plans.catalog import QUERIES
 from wardline.sources import fixtures
 
 from conftest import SF
 
-PYTHON_QUERIES = {"encode_udf", "enrich_model"}
+PYTHON_QUERIES = {"encode_udf": "MapInPandas", "enrich_model": "MapInArrow", "enrich_complaints": "MapInArrow", "eval_metrics": "MapInArrow"}
 ACTIONS = {"stream_enrich", "stream_daily_urgency", "stream_windows", "stream_sliding_windows"}
 
 
@@ -20,8 +20,8 @@ def _plan(df):
 def test_no_python_and_no_cross_join(spark, name):
     plan = _plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    python = [x for x in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroups") if x in plan]
-    assert python == (["MapInPandas"] if name in PYTHON_QUERIES else [])
+    python = [x for x in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroups") if x in plan]
+    assert python == ([PYTHON_QUERIES[name]] if name in PYTHON_QUERIES else [])
 
 
 def test_stub_enrichment_is_narrow(spark, tmp_path):
@@ -48,13 +48,31 @@ def test_rollup_scans_once_with_two_shuffles_of_counts(spark, tmp_path):
     assert "complaint_text" not in plan
 
 
-def test_gazetteer_is_broadcast_only_within_its_bound(spark):
-    names = entities.seed_gazetteer(spark)
-    rows = fixtures.complaints(spark, SF)
-    bounded = entities.extract_entities(rows, names, "complaint_id", "complaint_text", max_terms=100)
-    assert "BroadcastHashJoin" in _plan(bounded)
-    unbounded = entities.extract_entities(rows, names, "complaint_id", "complaint_text")
-    assert "_salt" in _plan(unbounded)
+def test_a_large_vocabulary_is_not_broadcast(spark, tmp_path):
+    words = spark.range(2_000_000).select(F.format_string("word%08d", "id").alias("term"), F.col("id").cast("int").alias("idx"), F.lit(1.0).alias("idf"))
+    words.write.parquet(str(tmp_path / "v"))
+    plan = _plan(features.transform_tfidf(fixtures.table(spark, SF, "documents"), spark.read.parquet(str(tmp_path / "v")), "doc_id", "text"))
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def _stripped(plan):
+    return [w for w in ("Exchange", "SortMergeJoin", "BroadcastHashJoin", "Window") for _ in range(plan.count(w))]
+
+
+@pytest.mark.parametrize("name", ["encode_hash", "tfidf_transform", "enrich_stub", "token_tags", "nb_score"])
+def test_plans_do_not_depend_on_the_number_of_splits(spark, tmp_path, name):
+    plans = []
+    for splits in (1, 16):
+        folder = tmp_path / str(splits)
+        for t in ("documents", "labels", "events"):
+            spark.read.parquet(f"{SF}/{t}.parquet").repartition(splits).write.parquet(str(folder / f"{t}.parquet"))
+        plans.append(_stripped(_plan(QUERIES[name](spark, str(folder)))))
+    assert plans[0] == plans[1]
+
+
+def test_the_flagship_scans_once_and_moves_no_text(spark):
+    plan = _plan(QUERIES["enrich_complaints"](spark, SF))
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
 
 
 def test_contract(spark):

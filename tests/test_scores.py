@@ -133,13 +133,28 @@ def test_lists(spark):
     ]
 
 
-def test_missing_category_scores_stop_the_job(spark):
-    from wardline.operators.enrich import enrich_complaints
+def test_broken_scores_are_named_and_stop_no_other_row(spark):
+    from wardline.operators.enrich import enrich_complaints, violations
 
     def scorer(df):
         none = F.lit(None).cast(scores.SCORES)
         return df.withColumns({f"{h}_scores": none for h in ("category", "severity", "urgency")})
 
     df = spark.createDataFrame([("no water",)], "complaint_text string")
-    with pytest.raises(Exception, match="no category scores"):
-        enrich_complaints(df, scorer).collect()
+    row = enrich_complaints(df, scorer).first()
+    assert row.issue_type == "Water Supply Disruption"
+    assert (row.severity, row.urgency) == ("Medium", "Neutral")
+    assert row.violations == ["category:null_output", "severity:null_output", "urgency:null_output"]
+
+    def mixed(df):
+        def listed(h):
+            bad = scores.score_list([("a", float("nan")), ("b", 0.5)])
+            good = scores.score_list([("a", 0.5), ("b", 0.5)])
+            empty = F.array().cast(scores.SCORES)
+            return F.when(F.col("id") == 1, good).when(F.col("id") == 2, bad).when(F.col("id") == 3, empty)
+
+        return df.withColumns({f"{h}_scores": listed(h) for h in ("category", "severity", "urgency")})
+
+    rows = spark.createDataFrame([(i, "x") for i in (1, 2, 3)], "id int, complaint_text string")
+    found = violations(enrich_complaints(rows, mixed, keep=["id"])).collect()
+    assert {(r.id, r.violations[0]) for r in found} == {(2, "category:score_not_a_number"), (3, "category:empty_output")}

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from wardline import vocab
+from wardline.operators import dashboard
 from wardline.operators.weak_labels import build_weak_labels
 from wardline.sources import sinks, tables
 
@@ -71,8 +72,30 @@ def test_weak_labels(spark, tmp_path):
     assert without.text == "Lakes - Unknown in W."
 
 
-def test_spread(spark):
-    one = spark.range(100).coalesce(1)
-    assert tables.spread(one, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 100, 1, 9)
-    assert tables.spread(many, "id") is many
+def test_enriched_log_round_trip(spark, tmp_path):
+    rows = [("2025-11-24T23:30:00-05:00", ""), ("2025-11-25T10:00:00Z", "x"), ("no time", "")]
+    log = spark.createDataFrame(rows * 50, "created_at string, location string").repartition(8)
+    path = str(tmp_path / "log")
+    sinks.append_log(log, path)
+    back = tables.read_enriched_log(spark, path)
+    assert back.filter("location is null").count() == 100
+    day = dashboard.in_range(back, "2025-11-25", "2025-11-26")
+    assert day.count() == 100
+    assert "created_date#" in day._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    files = list((tmp_path / "log").rglob("*.parquet"))
+    assert len(files) <= 3 * 2
+
+
+def test_csv_is_split_unless_line_breaks_are_asked_for(spark, tmp_path):
+    rows = [(f"cat {i}", "line one\nline two") for i in range(3000)]
+    plain = spark.createDataFrame([(a, "text") for a, _ in rows], "Category string, `Staff Remarks` string").coalesce(1)
+    sinks.export_csv(plain, str(tmp_path / "plain"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        split = tables.read_grievances(spark, str(tmp_path / "plain"), schema=plain.schema)
+        assert split.rdd.getNumPartitions() > 1 and split.count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    broken = spark.createDataFrame(rows, "Category string, `Staff Remarks` string")
+    sinks.export_csv(broken, str(tmp_path / "broken"))
+    assert tables.read_grievances(spark, str(tmp_path / "broken"), multi_line=True).exceptAll(broken).count() == 0

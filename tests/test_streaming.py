@@ -64,3 +64,17 @@ def test_windows_drop_rows_beyond_the_watermark(spark, tmp_path):
         for r in spark.read.parquet(out).select(F.to_date("window_start").cast("string").alias("d"), "n").collect()
     }
     assert got == {("2024-01-05", 1), ("2024-01-08", 1), ("2024-01-09", 1)}
+
+
+def test_a_new_checkpoint_goes_on_above_old_versions(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for turn, rows in enumerate(([("2024-01-05T10:00:00", "Neutral")] * 2, [("2024-01-06T10:00:00", "Neutral")])):
+        _arrive(spark, source, rows)
+        stream = live.read_stream(spark, source, LOG)
+        live.refresh_table(live.live_daily_urgency(stream), out, str(tmp_path / f"state{turn}")).awaitTermination()
+    assert sum(r.n for r in live.read_refreshed(spark, out).collect()) == 3
+    for turn in range(3):
+        _arrive(spark, source, [("2024-01-07T10:00:00", "Neutral")])
+        live.refresh_table(live.live_daily_urgency(live.read_stream(spark, source, LOG)), out, str(tmp_path / "state1")).awaitTermination()
+    assert sum(r.n for r in live.read_refreshed(spark, out).collect()) == 6
+    assert len(list((tmp_path / "out").glob("version=*"))) == 2

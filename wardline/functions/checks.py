@@ -79,8 +79,9 @@ def probability_warnings(
     probabilities: Column, label: Column | None = None, expected_labels: Sequence[str] | None = None
 ) -> Column:
     """Warning codes of one row of class probabilities and, if given, its label."""
-    mass = F.aggregate(probabilities, F.lit(0.0), lambda acc, x: acc + x)
+    mass = F.aggregate(probabilities, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
     codes = [
+        F.when(F.exists(probabilities, lambda x: x.isNull()), F.lit("null_value")),
         F.when(F.exists(probabilities, _outside_unit), F.lit("probability_out_of_range")),
         F.when(F.abs(mass - 1.0) > SUM_TOLERANCE, F.lit("sum_not_one")),
     ]
@@ -98,6 +99,7 @@ def vector_error(vector: Column, dim: int | None = None) -> Column:
     """Code of the first error of a feature vector."""
     code = (
         F.when(vector.isNull(), F.lit("null_vector"))
+        .when(F.exists(vector, lambda x: x.isNull()), F.lit("null_value"))
         .when(F.exists(vector, F.isnan), F.lit("nan_value"))
         .when(F.exists(vector, lambda x: F.abs(x) == float("inf")), F.lit("inf_value"))
     )

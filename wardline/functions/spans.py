@@ -94,15 +94,19 @@ def text_segments(text: Column, entities: Column) -> Column:
         ),
     )
 
-    def cut(start: Column, end: Column) -> Column:
-        return F.substring(text, start + 1, end - start)
-
     def piece(body: Column, label: Column) -> Column:
         return F.struct(body.alias("piece"), label.cast("string").alias("label"))
 
     none = F.lit(None).cast("string")
 
     def build(ordered: Column) -> Column:
+        return let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda chars: assemble(ordered, chars))
+
+    def assemble(ordered: Column, chars: Column) -> Column:
+        def cut(start: Column, end: Column) -> Column:
+            # A slice: a substring walks from the start of the text for every piece.
+            return F.array_join(F.slice(chars, F.greatest(start, F.lit(0)) + 1, F.greatest(end - start, F.lit(0))), "")
+
         def pieces(e: Column, i: Column) -> Column:
             cursor = F.when(i > 0, F.get(ordered, i - 1)["end"]).otherwise(F.lit(0))
             own = F.array(piece(cut(e["start"], e["end"]), F.coalesce(e["label"], F.lit(""))))
@@ -110,7 +114,7 @@ def text_segments(text: Column, entities: Column) -> Column:
             return F.when(e["start"] > cursor, F.concat(gap, own)).otherwise(own)
 
         tail_from = F.coalesce(F.get(ordered, F.size(ordered) - 1)["end"], F.lit(0))
-        tail = F.array(piece(F.substring(text, tail_from + 1, F.length(text)), none))
+        tail = F.array(piece(cut(tail_from, F.size(chars)), none))
         cut_up = F.concat(F.flatten(F.transform(ordered, pieces)), tail)
         return F.filter(cut_up, lambda p: (p["piece"] != "") | p["label"].isNotNull())
 
@@ -151,40 +155,28 @@ _CUT = "\x01"
 def gazetteer_spans(text: Column, gazetteer: Mapping[str, Sequence[str]]) -> Column:
     """Names from a short list found in the text, without a join or a shuffle.
 
-    ``gazetteer`` maps a label to lower-case names. The list is one pattern, longer names first, so
-    matches are leftmost-longest; the lengths of the stretches between them give the offsets.
+    ``gazetteer`` maps a label to lower-case names; the case of ASCII letters in the text is ignored.
+    The list is one pattern, longer names first, so matches are leftmost-longest. A mark is put before
+    each match; the place of the k-th mark less the k marks before it is where the match starts.
     ``operators.entities`` joins lists too long for a pattern.
     """
     label_of = {term: label for label, terms in gazetteer.items() for term in terms}
     names = "|".join(re.escape(t) for t in sorted(label_of, key=lambda t: (-len(t), t)))
-    pattern = f"(?iu)(?<!{WORD})(?:{names})(?!{WORD})"
+    pattern = f"(?i)(?<!{WORD})(?:{names})(?!{WORD})"
     labels = F.create_map(*[F.lit(x) for pair in label_of.items() for x in pair])
-    empty = F.array().cast("array<struct<at:int,hit:string>>")
-
-    def place(found: Column) -> Column:
-        cut = F.regexp_replace(F.translate(text, _CUT, " "), pattern, _CUT)
-        pairs = F.arrays_zip(F.split(cut, _CUT).alias("gap"), found.alias("hit"))
-        state = F.struct(F.lit(0).alias("free"), empty.alias("seen"))
-        return F.aggregate(
-            F.slice(pairs, F.lit(1), F.size(found)),
-            state,
-            lambda acc, z: let(
-                acc["free"] + F.length(z["gap"]),
-                lambda at: F.struct(
-                    (at + F.length(z["hit"])).alias("free"),
-                    F.concat(acc["seen"], F.array(F.struct(at.alias("at"), z["hit"].alias("hit")))).alias("seen"),
-                ),
-            ),
-            lambda acc: acc["seen"],
-        )
+    # Match and mark in one text, in which the mark itself cannot occur.
+    plain = F.translate(text, _CUT, " ")
 
     def named(found: Column) -> Column:
-        return F.transform(
-            place(found),
-            lambda m: span(
-                m["hit"], F.element_at(labels, F.lower(m["hit"])), m["at"], m["at"] + F.length(m["hit"])
-            ),
+        def at_marks(chars: Column) -> Column:
+            return F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: F.get(chars, i) == _CUT)
+
+        marked = F.regexp_replace(plain, f"({pattern})", f"{_CUT}$1")
+        places = let(F.regexp_extract_all(marked, F.lit("(?s)."), F.lit(0)), at_marks)
+        starts = F.transform(places, lambda p, k: p - k)
+        return F.zip_with(
+            found, starts, lambda hit, at: span(hit, F.element_at(labels, F.lower(hit)), at, at + F.length(hit))
         )
 
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    hits = F.regexp_extract_all(plain, F.lit(pattern), F.lit(0))
     return let(hits, lambda h: F.when(F.size(h) > 0, named(h)).otherwise(F.array().cast(SPANS)))

@@ -26,8 +26,10 @@ def _count() -> Column:
 
 
 def event_time(df: DataFrame, strict: bool = False) -> Column:
-    """``created_at`` as a time, parsed where the log holds text."""
-    column = F.col("created_at")
+    """``created_at`` as a time, parsed where the log holds text without ``created_ts`` beside it."""
+    column = F.col("created_ts" if "created_ts" in df.columns else "created_at")
+    if "created_ts" in df.columns:
+        return column
     return parse_time(column, strict) if df.schema["created_at"].dataType.simpleString() == "string" else column
 
 
@@ -143,10 +145,14 @@ def severity_urgency(df: DataFrame) -> DataFrame:
 
 
 def severity_urgency_pivot(df: DataFrame, urgencies: Sequence[str] = tuple(URGENCY_ORDER)) -> DataFrame:
-    """Matrix form: one row per severity, one column per urgency, 0 where nothing was seen."""
+    """Matrix form: one row per severity, one column per urgency, 0 where nothing was seen.
+
+    Labels beyond ``urgencies`` count as ``other``, so that a row sums to its severity.
+    """
     known = df.filter(F.col("severity").isNotNull() & F.col("urgency").isNotNull())
     return known.groupBy("severity").agg(
-        *[F.count_if(F.col("urgency") == u).alias(u.lower().replace("/", "_")) for u in urgencies]
+        *[F.count_if(F.col("urgency") == u).alias(u.lower().replace("/", "_")) for u in urgencies],
+        F.count_if(~F.col("urgency").isin(list(urgencies))).alias("other"),
     )
 
 
@@ -171,10 +177,18 @@ def daily_urgency(df: DataFrame) -> DataFrame:
 
 
 def in_range(df: DataFrame, start: str, end: str) -> DataFrame:
-    """Rows with ``start <= created_at < end``; a plain comparison, so it prunes files."""
-    bound = df.schema["created_at"].dataType
-    ts = F.col("created_at")
-    return df.filter((ts >= F.lit(start).cast(bound)) & (ts < F.lit(end).cast(bound)))
+    """Rows with ``start <= created_at < end`` in UTC.
+
+    Times are compared as times, whatever offset their text has. A log in folders by day reads those
+    of the range only; stored times prune files.
+    """
+    ts = event_time(df)
+    kind = df.select(ts).schema[0].dataType
+    rows = df.filter((ts >= F.lit(start).cast(kind)) & (ts < F.lit(end).cast(kind)))
+    if "created_date" in df.columns:
+        days = [F.lit(x).cast("date").cast("string") for x in (start, end)]
+        rows = rows.filter(F.col("created_date").between(*days))
+    return rows
 
 
 def latest(
@@ -196,7 +210,7 @@ def recent_analyses(df: DataFrame, limit: int = 5, text: str = "complaint_text")
 def top_terms(
     df: DataFrame,
     text: str = "complaint_text",
-    limit: int = 100,
+    limit: int = 200,
     stop_words: Sequence[str] = tuple(vocab.STOP_WORDS),
 ) -> DataFrame:
     """Most frequent words of all texts together."""

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wardline import vocab
-from wardline.functions import rules, scores, spans
+from wardline.functions import checks, rules, scores, spans
 from wardline.functions.text import civic_category, normalize_text, title_case
+from wardline.operators.arrays import SCORE_LIST, score_column
 
 # A scorer adds ``category_scores``, ``severity_scores`` and ``urgency_scores`` to a frame.
 Scorer = Callable[[DataFrame], DataFrame]
@@ -21,18 +23,17 @@ SEED_GAZETTEER = {"LOCATION": vocab.PLACES, "PROBLEM": vocab.PROBLEMS}
 
 
 def stub_scorer(df: DataFrame) -> DataFrame:
-    """Even scores and labels picked by a hash of the cleaned text."""
+    """Even scores and labels picked by a hash of the cleaned text; nothing for a missing text."""
     text = F.col("cleaned_text")
-    return df.withColumns(
-        {
-            "category_label": scores.hash_pick(text, vocab.STUB_CATEGORY_LABELS),
-            "severity_label": scores.hash_pick(text, vocab.SEVERITY_LABELS, "sev"),
-            "urgency_label": scores.hash_pick(text, vocab.URGENCY_LABELS, "urg"),
-            "category_scores": scores.uniform_scores(vocab.STUB_CATEGORY_LABELS),
-            "severity_scores": scores.uniform_scores(vocab.SEVERITY_LABELS),
-            "urgency_scores": scores.uniform_scores(vocab.URGENCY_LABELS),
-        }
-    )
+    said = {
+        "category_label": scores.hash_pick(text, vocab.STUB_CATEGORY_LABELS),
+        "severity_label": scores.hash_pick(text, vocab.SEVERITY_LABELS, "sev"),
+        "urgency_label": scores.hash_pick(text, vocab.URGENCY_LABELS, "urg"),
+        "category_scores": scores.uniform_scores(vocab.STUB_CATEGORY_LABELS),
+        "severity_scores": scores.uniform_scores(vocab.SEVERITY_LABELS),
+        "urgency_scores": scores.uniform_scores(vocab.URGENCY_LABELS),
+    }
+    return df.withColumns({name: F.when(text.isNotNull(), value) for name, value in said.items()})
 
 
 def joined_scorer(head_scores: DataFrame, key: str) -> Scorer:
@@ -40,8 +41,6 @@ def joined_scorer(head_scores: DataFrame, key: str) -> Scorer:
     return lambda df: df.join(head_scores, key, "left")
 
 
-_SCORE_LIST = T.ArrayType(T.StructType().add("label", "string").add("score", "double"))
-
 # Maps a list of texts to one score matrix [text, label] per head; None where a head failed.
 Predictor = Callable[[list[str]], Mapping[str, np.ndarray | None]]
 
@@ -51,30 +50,32 @@ def model_scorer(
 ) -> Scorer:
     """Score with any model in Python, by Arrow batch and without a shuffle.
 
-    ``load`` runs once per task, inside the worker, so that only its name travels. A head that gave
-    nothing for a batch becomes NULL and takes the fallback answer.
+    ``load`` runs once per task, inside the worker, so that only its name travels. All other columns
+    pass through as they are, in Arrow. The model sees no missing text; such rows, rows with a score
+    that is no number, and batches for which a head gave nothing have NULL for that head.
     """
     def scorer(df: DataFrame) -> DataFrame:
         schema = T.StructType(list(df.schema.fields))
+        place = df.columns.index("cleaned_text")
         for head in heads:
-            schema = schema.add(f"{head}_scores", _SCORE_LIST)
+            schema = schema.add(f"{head}_scores", SCORE_LIST)
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             predict = load()
-            for frame in frames:
-                texts = list(frame["cleaned_text"])
-                lists: dict[str, list] = {head: [] for head in heads}
-                for at in range(0, len(texts), batch_size):
-                    batch = texts[at : at + batch_size]
-                    given = predict(batch)
-                    for head, labels in heads.items():
-                        matrix = given.get(head)
-                        lists[head] += [None] * len(batch) if matrix is None else [
-                            [{"label": x, "score": float(v)} for x, v in zip(labels, row)] for row in matrix
-                        ]
-                yield frame.assign(**{f"{head}_scores": lists[head] for head in heads})
-
-        return df.mapInPandas(run, schema)
+            for batch in batches:
+                texts = batch.column(place).to_pylist()
+                there = [i for i, t in enumerate(texts) if t is not None]
+                found: dict[str, np.ndarray] = {h: np.full((len(texts), len(x)), np.nan) for h, x in heads.items()}
+                for at in range(0, len(there), batch_size):
+                    part = there[at : at + batch_size]
+                    given = predict([texts[i] for i in part])
+                    for head in heads:
+                        if given.get(head) is not None:
+                            found[head][part] = given[head]
+                lists = [score_column(m, heads[h], ~np.isfinite(m).all(axis=1)) for h, m in found.items()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *lists], schema=to_arrow_schema(schema))
+
+        return df.mapInArrow(run, schema)
 
     return scorer
 
@@ -94,15 +95,22 @@ def enrich_complaints(
     """Analyse every complaint; narrow apart from what the scorer does.
 
     Severity rules read the raw text, urgency rules the cleaned one. Without a gazetteer the frame
-    brings its own ``entities``. A missing category score list is an error; severity and urgency
-    fall back to fixed answers.
+    brings its own ``entities``. Score lists are checked before use: a list that is missing, empty or
+    broken counts as none and is named in ``violations`` as ``head:code``. Without category scores
+    the keyword category stands, severity and urgency fall back to fixed answers. ``violations``
+    selects the rows concerned; no row stops the others.
     """
     raw = F.col(text)
-    base = scorer(df.withColumn("cleaned_text", normalize_text(raw)))
+    given = scorer(df.withColumn("cleaned_text", normalize_text(raw)))
+    codes = F.array(*[
+        F.concat(F.lit(f"{h}:"), _score_error(F.col(f"{h}_scores"))) for h in ("category", "severity", "urgency")
+    ])
+    base = given.withColumn("violations", F.array_compact(codes)).withColumns({
+        f"{h}_scores": F.when(_score_error(F.col(f"{h}_scores")).isNull(), F.col(f"{h}_scores"))
+        for h in ("category", "severity", "urgency")
+    })
     label = _head_label(base, "category")
-    best = F.when(
-        F.col("category_scores").isNull(), F.raise_error(F.lit("no category scores")).cast(scores.ENTRY)
-    ).otherwise(scores.top(F.col("category_scores")))
+    best = scores.top(F.col("category_scores"))
     found = F.col("entities") if gazetteer is None else spans.gazetteer_spans(raw, gazetteer)
     hinted = base.select(
         *keep,
@@ -113,6 +121,7 @@ def enrich_complaints(
         "urgency_scores",
         (label if label is not None else best["label"]).alias("_model_label"),
         best["score"].alias("issue_confidence"),
+        "violations",
         *[F.col(f"{h}_label") for h in ("severity", "urgency") if f"{h}_label" in base.columns],
         rules.keyword_category(raw).alias("_keyword"),
         rules.severity_hint(raw).alias("_severity_hint"),
@@ -121,7 +130,7 @@ def enrich_complaints(
     )
     decided = hinted.select(
         "*",
-        civic_category(F.col("_model_label")).alias("_model_category"),
+        F.when(F.col("_model_label").isNull(), F.col("_keyword")).otherwise(civic_category(F.col("_model_label"))).alias("_model_category"),
         scores.severity_decision(
             F.col("severity_scores"), F.col("_severity_hint"), profile, _head_label(hinted, "severity")
         ).alias("_severity"),
@@ -152,9 +161,21 @@ def enrich_complaints(
         ),
         F.col("_severity.scores").alias("severity_scores"),
         F.col("_urgency.scores").alias("urgency_scores"),
+        "violations",
     )
 
 
+def _score_error(entries: Column) -> Column:
+    """Code of the first error of a score list, NULL when it can be used."""
+    wrong = F.exists(entries, lambda x: F.isnan(x["score"].cast("double")))
+    return F.coalesce(checks.scores_error(entries), F.when(wrong, F.lit("score_not_a_number")))
+
+
+def violations(enriched: DataFrame) -> DataFrame:
+    """The analysed rows with a broken score list."""
+    return enriched.filter(F.size("violations") > 0)
+
+
 def log_rows(df: DataFrame, *keep: str) -> DataFrame:
     """Project analysed complaints to the log columns, blanks for what is missing."""
     def text(name: str) -> Column:

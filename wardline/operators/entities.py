@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline import vocab
 from wardline.functions.spans import SPANS, leftmost_longest, span
-from wardline.functions.text import token_spans, word_spans
+from wardline.functions.text import WORD, token_spans, word_spans
 from wardline.operators.joins import lookup_join
 
 # Characters per bucket when tokens meet the spans that may cover them.
@@ -20,52 +20,49 @@ def seed_gazetteer(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "term string, label string")
 
 
-def extract_entities(
-    df: DataFrame,
-    gazetteer: DataFrame,
-    key: str,
-    text: str,
-    max_words: int = 4,
-    max_terms: int | None = None,
-) -> DataFrame:
-    """``key, entities`` for every text with a match of a gazetteer ``term, label`` of any size.
+def extract_entities(df: DataFrame, gazetteer: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, entities`` for every text, with the matches of a gazetteer ``term, label`` of any size.
 
-    Runs of one to ``max_words`` words meet the gazetteer in an equi-join, so the work grows with
-    the text and not with the number of names. Matches of one text are folded leftmost-longest.
-    ``max_terms`` is a proven bound on the gazetteer, see ``lookup_join``.
+    Runs of words meet the gazetteer in an equi-join, so the work grows with the text and not with
+    the number of names. Runs have the word counts that names have. Overlapping matches of a text are
+    folded leftmost-longest, stretch by stretch. A text without a match has the empty list. ``key``
+    names one text each.
     """
-    tokens = df.select(key, F.col(text).alias("_text"), word_spans(F.col(text)).alias("_words"))
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(max_words)),
-            lambda n: F.when(
-                F.size("_words") >= n,
-                F.transform(
-                    F.sequence(F.lit(0), F.size("_words") - n),
-                    lambda i: F.struct(
-                        F.get("_words", i)["start"].alias("start"),
-                        F.get("_words", i + n - 1)["end"].alias("end"),
-                    ),
-                ),
-            ).otherwise(F.array().cast("array<struct<start:int,end:int>>")),
-        )
-    )
-    spelled = F.transform(
-        runs,
-        lambda r: F.struct(
-            F.substring(F.col("_text"), r["start"] + 1, r["end"] - r["start"]).alias("text"),
-            r["start"].alias("start"),
-            r["end"].alias("end"),
-        ),
-    )
-    candidates = tokens.select(key, F.inline(spelled)).withColumn("term", F.lower("text"))
-    hits = lookup_join(candidates, gazetteer, "term", spread_by=key, max_rows=max_terms)
-    found = span(F.col("text"), F.col("label"), F.col("start"), F.col("end"))
-    return (
-        hits.groupBy(key)
-        .agg(F.collect_list(found).cast(SPANS).alias("_found"))
-        .select(key, leftmost_longest(F.col("_found")).alias("entities"))
-    )
+    counts = gazetteer.select(F.size(F.regexp_extract_all("term", F.lit(f"{WORD}+"), F.lit(0))).alias("n")).distinct()
+    lengths = sorted(r.n for r in counts.collect() if r.n > 0)
+    body = F.col(text)
+    tokens = df.select(key, word_spans(body).alias("_words"), F.split(body, f"{WORD}+").alias("_gaps"))
+    # A word with what stands before it: runs are spelled from these, not from the start of the text.
+    pieces = F.zip_with("_words", F.slice("_gaps", 1, F.size("_words")), lambda w, g: F.concat(g, w["token"]))
+    tokens = tokens.select(key, "_words", pieces.alias("_pieces"))
+
+    def run(n: int):
+        def of(i):
+            first = F.get("_words", i)
+            more = F.array_join(F.slice("_pieces", i + 2, n - 1), "") if n > 1 else F.lit("")
+            return F.struct(
+                F.concat(first["token"], more).alias("text"),
+                first["start"].alias("start"),
+                F.get("_words", i + n - 1)["end"].alias("end"),
+            )
+
+        runs = F.transform(F.sequence(F.lit(0), F.size("_words") - n), of)
+        return F.when(F.size("_words") >= n, runs).otherwise(F.array().cast("array<struct<text:string,start:int,end:int>>"))
+
+    none = F.array().cast("array<struct<text:string,start:int,end:int>>")
+    candidates = tokens.select(key, F.inline(F.concat(none, *[run(n) for n in lengths]))).withColumn("term", F.lower("text"))
+    hits = lookup_join(candidates, gazetteer, "term").select(key, "text", "label", "start", "end")
+    every = df.select(key, *[F.lit(None).cast(t).alias(c) for c, t in
+                             (("text", "string"), ("label", "string"), ("start", "int"), ("end", "int"))])
+    order = Window.partitionBy(key).orderBy("start", F.desc("end"))
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int")
+    stretched = hits.union(every).withColumn("_new", fresh)
+    stretched = stretched.withColumn("_stretch", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = F.when(F.col("start").isNotNull(), span(F.col("text"), F.col("label"), F.col("start"), F.col("end")))
+    folded = stretched.groupBy(key, "_stretch").agg(F.collect_list(found).cast(SPANS).alias("_found"))
+    lists = folded.groupBy(key).agg(F.collect_list(F.struct("_stretch", leftmost_longest(F.col("_found")).alias("e"))).alias("_lists"))
+    return lists.select(key, F.flatten(F.transform(F.sort_array("_lists"), lambda x: x["e"])).alias("entities"))
 
 
 def tag_tokens(texts: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame:
@@ -95,7 +92,8 @@ def tag_tokens(texts: DataFrame, spans: DataFrame, key: str, text: str) -> DataF
     met = tokens.join(stretches, [key, "_bucket"], "left")
     named = F.when(inside, F.struct("_order", "_label"))
     return (
-        met.groupBy(key, "pos", "token", "start", "end")
+        # A token has one bucket, so the join's shuffle serves the grouping too.
+        met.groupBy(key, "_bucket", "pos", "token", "start", "end")
         .agg(F.min(named)["_label"].alias("_label"))
         .select(
             key,

@@ -65,18 +65,15 @@ def transform_tfidf(
     vocabulary: DataFrame,
     key: str,
     text: str,
-    max_features: int = vocab.MAX_FEATURES,
     orders: Sequence[int] = (1, 2),
 ) -> DataFrame:
     """``key, idx, value``: tf-idf weights, each text scaled to length one.
 
-    ``max_features`` bounds the vocabulary and so the broadcast. Terms arrive counted; the window
-    for the norm is the only shuffle of them.
+    ``vocabulary`` is a stored table; it is broadcast if its counted bytes are few. Terms arrive
+    counted; the window for the norm is then the only shuffle of them.
     """
     rows = _term_rows(df, key, text, orders)
-    found = lookup_join(
-        rows, vocabulary.select("term", "idx", "idf"), "term", spread_by=key, max_rows=max_features
-    ).select(key, "idx", (F.col("n") * F.col("idf")).alias("w"))
+    found = lookup_join(rows, vocabulary.select("term", "idx", "idf"), "term").select(key, "idx", (F.col("n") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return found.select(key, "idx", (F.col("w") / norm).alias("value"))
 

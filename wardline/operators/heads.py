@@ -7,26 +7,31 @@ The empty term carries the label priors, and every text has it once.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wardline.functions.scores import entry
 from wardline.functions.text import let, term_counts, words
-from wardline.operators.joins import lookup_join
+from wardline.operators.arrays import SCORE_LIST, score_column
+from wardline.operators.joins import BROADCAST_BYTES, lookup_join, measured_bytes
 
 Heads = Mapping[str, Sequence[str]]
 
 
 @dataclass(frozen=True)
 class LinearHeads:
-    """Weights of all heads and their number of rows, where it is known."""
+    """The stored weights of all heads."""
 
     weights: DataFrame
     heads: Heads
-    max_terms: int | None = None
 
     @property
     def slots(self) -> list[tuple[str, str]]:
@@ -39,15 +44,15 @@ def train_naive_bayes(
     heads: Heads,
     path: str,
     smoothing: float = 1.0,
-    max_terms: int | None = None,
 ) -> LinearHeads:
     """Multinomial naive Bayes for several heads in one pass over the words.
 
     Each head is a column of ``df`` with its possible labels; a NULL label leaves the row out of
     that head. Words are counted per combination of labels first, which combines before its shuffle
     and spreads a frequent word over those combinations, and then set out by label. The counts are
-    written to ``path``: both the totals and the weights read them, and a lost executor costs no
-    retraining. Only the totals, one number per label, pass through the driver.
+    written below ``path``, as are the weights: a lost executor costs no retraining, and scoring reads
+    the stored model. Only the totals, one number per label, pass through the driver. A head without
+    a labelled row has NULL weights.
     """
     def hits(head: str) -> Column:
         value = F.col(f"`{head}`").cast("string")
@@ -61,19 +66,17 @@ def train_naive_bayes(
         .groupBy("term", *heads)
         .agg(F.count(F.lit(1)).alias("_n"))
         .groupBy("term")
-        .agg(F.sum("_n").alias("_all"), *[hits(head) for head in heads])
+        .agg(*[hits(head) for head in heads])
     )
-    if max_terms is not None:
-        counts = counts.orderBy((F.col("term") != "").cast("int"), F.desc("_all"), "term").limit(max_terms + 1)
-    counts.write.mode("overwrite").parquet(path)
-    written = df.sparkSession.read.parquet(path)
+    counts.write.mode("overwrite").parquet(f"{path}/counts")
+    written = df.sparkSession.read.schema(counts.schema).parquet(f"{path}/counts")
 
     is_word = F.col("term") != ""
 
     def known(head: str) -> Column:
         return F.array_max(F.col(f"`{head}`")) > 0
 
-    sums = [F.count(F.lit(1)).alias("rows")]
+    sums = []
     for number, (head, labels) in enumerate(heads.items()):
         sums.append(F.count_if(is_word & known(head)).alias(f"k{number}"))
         for at in range(len(labels)):
@@ -86,6 +89,10 @@ def train_naive_bayes(
     for number, (head, labels) in enumerate(heads.items()):
         mass = [totals[f"n{number}_{i}"] + smoothing * totals[f"k{number}"] for i in range(len(labels))]
         texts = [totals[f"d{number}_{i}"] for i in range(len(labels))]
+        if not sum(texts):
+            # Nothing was labelled: no weights, so that the head gives NULL and the fallback applies.
+            parts.append(F.array(*[F.lit(None).cast("double")] * len(labels)))
+            continue
         prior = [math.log(n / sum(texts)) if n else -math.inf for n in texts]
         word = F.zip_with(
             F.col(f"`{head}`"),
@@ -97,7 +104,14 @@ def train_naive_bayes(
             F.when(~is_word, F.array(*[F.lit(p) for p in prior])).when(known(head), word).otherwise(unknown)
         )
     weights = written.select("term", F.concat(*parts).alias("weights"))
-    return LinearHeads(weights, {h: list(labels) for h, labels in heads.items()}, totals["rows"])
+    weights.write.mode("overwrite").parquet(f"{path}/weights")
+    return load_heads(df.sparkSession, path, heads)
+
+
+def load_heads(spark: SparkSession, path: str, heads: Heads) -> LinearHeads:
+    """A trained model from where training has written it."""
+    schema = "term string, weights array<double>"
+    return LinearHeads(spark.read.schema(schema).parquet(f"{path}/weights"), {h: list(x) for h, x in heads.items()})
 
 
 def model_table(model: LinearHeads) -> DataFrame:
@@ -126,10 +140,10 @@ def _softmax(values: Sequence[Column], labels: Sequence[str]) -> Column:
 
 
 def score_heads(df: DataFrame, model: LinearHeads, key: str, text: str) -> DataFrame:
-    """``key`` and one score list ``<head>_scores`` per head.
+    """``key`` and one score list ``<head>_scores`` per head, for keys that name one row each.
 
-    Words are counted inside the row, so the join sees each word of a text once and the only
-    shuffle moves one partial sum per text.
+    Words are counted inside the row, so the join sees each word of a text once. A missing text gives
+    no row. ``row_scorer`` scores rows in place, whatever their keys, while the model is small.
     """
     terms = F.concat(
         term_counts(words(F.col(text))),
@@ -137,7 +151,7 @@ def score_heads(df: DataFrame, model: LinearHeads, key: str, text: str) -> DataF
     )
     # A missing text has no list and so no rows; a filter would compute a derived text twice.
     facts = df.select(key, F.inline(terms).alias("term", "n"))
-    joined = lookup_join(facts, model.weights, "term", spread_by=key, max_rows=model.max_terms)
+    joined = lookup_join(facts, model.weights, "term")
     sums = joined.groupBy(key).agg(
         *[
             F.sum(F.col("n") * F.get("weights", F.lit(i))).alias(f"_s{i}")
@@ -147,11 +161,61 @@ def score_heads(df: DataFrame, model: LinearHeads, key: str, text: str) -> DataF
     columns, at = [], 0
     for head, labels in model.heads.items():
         values = [F.col(f"_s{i}") for i in range(at, at + len(labels))]
-        columns.append(_softmax(values, labels).alias(f"{head}_scores"))
+        columns.append(F.when(values[0].isNotNull(), _softmax(values, labels)).alias(f"{head}_scores"))
         at += len(labels)
     return sums.select(key, *columns)
 
 
+def row_scorer(model: LinearHeads, text: str = "cleaned_text") -> Callable[[DataFrame], DataFrame]:
+    """A scorer for rows in place: one scan, no shuffle, other columns untouched.
+
+    The weights go to the workers once as a matrix, which is why their bytes are counted first; a
+    larger model needs ``score_heads``. Each batch looks a distinct word up once. A missing text has
+    no scores.
+    """
+    size = measured_bytes(model.weights)
+    if size > BROADCAST_BYTES:
+        raise ValueError(f"{size} bytes of weights are too many to send out; use score_heads")
+    rows = model.weights.toArrow()
+    terms = {t: i for i, t in enumerate(rows.column("term").to_pylist())}
+    width = len(model.slots)
+    flat = pc.list_flatten(rows.column("weights")).to_numpy(zero_copy_only=False).astype(float)
+    weights = np.vstack([flat.reshape(-1, width), np.zeros(width)])
+    shared = model.weights.sparkSession.sparkContext.broadcast((terms, weights))
+    heads = model.heads
+
+    def score(df: DataFrame) -> DataFrame:
+        schema = T.StructType(list(df.schema.fields))
+        for head in heads:
+            schema = schema.add(f"{head}_scores", SCORE_LIST)
+        with_terms = df.withColumn("_terms", words(F.col(text)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, matrix = shared.value
+            none = len(matrix) - 1
+            for batch in batches:
+                lists = batch.column(batch.num_columns - 1)
+                spelled = pc.dictionary_encode(pc.list_flatten(lists))
+                codes = np.array([index.get(t, none) for t in spelled.dictionary.to_pylist()], dtype=np.int64)
+                owner = pc.list_parent_indices(lists).to_numpy()
+                sums = np.tile(matrix[index[""]] if "" in index else matrix[none], (batch.num_rows, 1))
+                if len(spelled):
+                    np.add.at(sums, owner, matrix[codes[spelled.indices.to_numpy()]])
+                missing = np.asarray(pc.is_null(lists))
+                columns, at = list(batch.columns[:-1]), 0
+                for labels in heads.values():
+                    part = sums[:, at : at + len(labels)]
+                    at += len(labels)
+                    with np.errstate(invalid="ignore"):
+                        raw = np.exp(part - part.max(axis=1, keepdims=True)) if len(part) else part
+                        columns.append(score_column(raw / raw.sum(axis=1, keepdims=True), labels, missing | np.isnan(part).any(axis=1)))
+                yield pa.RecordBatch.from_arrays(columns, schema=to_arrow_schema(schema))
+
+        return with_terms.mapInArrow(run, schema)
+
+    return score
+
+
 def evaluate(df: DataFrame, head: Column, truth: Column, predicted: Column) -> DataFrame:
     """``head, n, accuracy, weighted_f1`` from one row per head and prediction.
 

@@ -1,35 +1,37 @@
-"""Lookup joins whose strategy follows a proven size bound."""
+"""Lookup joins whose strategy follows the measured size of the lookup."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A lookup table is broadcast only if its row count is known to stay below this.
-BROADCAST_ROWS = 200_000
-# Copies of the lookup rows beyond that: as many as there are cores, within limits.
-SALTS = (16, 128)
+# A lookup table is broadcast only if its measured bytes stay below this.
+BROADCAST_BYTES = 32_000_000
 
 
-def salts(df: DataFrame) -> int:
-    fewest, most = SALTS
-    return max(fewest, min(most, df.sparkSession.sparkContext.defaultParallelism))
+def _bytes(name: str, kind: T.DataType) -> Column:
+    column = F.col(f"`{name}`")
+    if isinstance(kind, T.StringType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.size(column), F.lit(0)) * 8 + 24
+    return F.lit(8)
 
 
-def lookup_join(
-    facts: DataFrame, lookup: DataFrame, key: str, spread_by: str, max_rows: int | None = None
-) -> DataFrame:
-    """Inner join of many ``facts`` with a ``lookup`` table that has one row per key.
+def measured_bytes(lookup: DataFrame) -> int:
+    """Bytes of all rows, counted; for stored tables, as the table is read for it."""
+    width = sum([_bytes(f.name, f.dataType) for f in lookup.schema.fields], F.lit(0))
+    return lookup.agg(F.sum(width)).first()[0] or 0
 
-    ``max_rows`` is a bound the caller can prove. Within ``BROADCAST_ROWS`` the lookup side is
-    broadcast and the facts stay where they are. Otherwise both sides are shuffled on the key and
-    a salt taken from ``spread_by``: a key that holds a third of the facts is spread over ``salts``
-    tasks, at the price of that many copies of each lookup row. Adaptive execution splits what is
-    still too large.
+
+def lookup_join(facts: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """Inner join of many ``facts`` with a stored ``lookup`` table that has one row per key.
+
+    A lookup whose bytes are counted and small is broadcast and the facts stay where they are.
+    Otherwise both sides are shuffled on the key; adaptive execution splits the facts of a frequent
+    key over tasks and repeats only the lookup rows of that partition.
     """
-    if max_rows is not None and max_rows <= BROADCAST_ROWS:
+    if measured_bytes(lookup) <= BROADCAST_BYTES:
         return facts.join(F.broadcast(lookup), key)
-    n = salts(facts)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(n)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return salted.join(copies, [key, "_salt"]).drop("_salt")
+    return facts.join(lookup, key)

@@ -681,20 +681,24 @@ _add(
     "select id as doc_id, head, label, round(score, 6) as score from nb_p",
     extra=_DOC_SCORES,
 )
+_HELD = f"('0x' || left(md5(cast(id as varchar)), 8))::bigint % {catalog.HELD_OUT} = 0"
+_TRAINED = f"select * from ({_LABELLED}) where not ({_HELD})"
 _add(
     "eval_metrics",
-    """select head, cast(sum(support) as bigint) as n, round(cast(sum(hit) as double) / sum(support), 6) as accuracy,
+    """select part, head, cast(sum(support) as bigint) as n, round(cast(sum(hit) as double) / sum(support), 6) as accuracy,
       round(sum(support * case when support + claimed = 0 then 0 else 2.0 * hit / (support + claimed) end) / sum(support), 6) as weighted_f1
-    from (select s.head, s.label, count(*) filter (v.truth = s.label) as support,
+    from (select v.part, s.head, s.label, count(*) filter (v.truth = s.label) as support,
             count(*) filter (v.guess = s.label) as claimed,
             count(*) filter (v.truth = s.label and v.guess = s.label) as hit
-          from nb_slot s join verdict v on v.head = s.head group by all) group by head""",
-    extra=_DOC_SCORES
+          from nbt_slot s join verdict v on v.head = s.head group by all) group by part, head""",
+    extra=_naive_bayes("nbt", _TRAINED, catalog.DOCUMENT_HEADS)
+    + _apply_bayes("nbt", _LABELLED)
     + [
         (
             "verdict",
-            f"""select g.id, g.head, g.label as guess, case g.head when 'quality' then cast(t.quality as varchar) else cast(t.toxic as varchar) end as truth
-            from (select *, row_number() over (partition by id, head order by score desc, label) as rn from nb_p) g
+            f"""select g.id, g.head, g.label as guess, case g.head when 'quality' then cast(t.quality as varchar) else cast(t.toxic as varchar) end as truth,
+              case when {_HELD.replace('(id ', '(g.id ')} then 'held_out' else 'trained' end as part
+            from (select *, row_number() over (partition by id, head order by score desc, label) as rn from nbt_p) g
             join ({_LABELLED}) t on t.id = g.id where rn = 1""",
         )
     ],
@@ -987,7 +991,8 @@ _add(
     "severity_urgency_pivot",
     """select severity, count(*) filter (urgency = 'Urgent') as urgent,
       count(*) filter (urgency = 'Angry/Urgent') as angry_urgent,
-      count(*) filter (urgency = 'Concerned') as concerned, count(*) filter (urgency = 'Neutral') as neutral
+      count(*) filter (urgency = 'Concerned') as concerned, count(*) filter (urgency = 'Neutral') as neutral,
+      count(*) filter (urgency not in ('Urgent', 'Angry/Urgent', 'Concerned', 'Neutral')) as other
     from lx where severity is not null and urgency is not null group by 1""",
     "lx",
 )
@@ -1011,7 +1016,7 @@ _add(
 def _terms(source: str, text: str) -> str:
     stop = ", ".join(_q(w) for w in vocab.STOP_WORDS)
     return f"""select term, count(*) as n from (select unnest({_words(text)}) as term from {source})
-      where term not in ({stop}) group by 1 order by n desc, term limit 100"""
+      where term not in ({stop}) group by 1 order by n desc, term limit 200"""
 
 
 _add("top_terms", _terms("lx", "complaint_text"), "lx")
@@ -1135,20 +1140,37 @@ _add(
 
 # Streams.
 
+ORACLES["log_roundtrip"] = ORACLES["location_hotspots"]
+_add(
+    "log_range",
+    """select cast(at as date) as day, count(*) as n from (
+      select created_at + case complaint_id % 4 when 1 then interval '-330 minutes' when 2 then interval '5 hours'
+        else interval '0 minutes' end as at from lx)
+    where at >= timestamp '2024-01-10' and at < timestamp '2024-01-20' group by 1""",
+    "lx",
+)
+_add(
+    "encode_udf",
+    f"""select doc_id, cast(('0x' || left(md5(w), 8))::bigint % {catalog.HASH_DIM} as integer) as idx,
+      round(count(*) / max(n), 6) as value
+    from (select doc_id, len(ws) as n, unnest(ws) as w
+      from (select doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as ws from documents))
+    group by 1, 2""",
+)
 ORACLES["stream_enrich"] = ORACLES["enrich_stub"]
 ORACLES["stream_daily_urgency"] = ORACLES["daily_urgency"]
 _CLOSED = "window_end <= (select max(created_at) from lx where urgency is not null) - interval 1 day"
 _add(
     "stream_windows",
-    f"""select * from (select date_trunc('day', created_at)::timestamp as window_start,
+    f"""select *, {_CLOSED} as closed from (select date_trunc('day', created_at)::timestamp as window_start,
         (date_trunc('day', created_at) + interval 1 day)::timestamp as window_end, urgency, count(*) as n
-      from lx where urgency is not null group by all) where {_CLOSED}""",
+      from lx where urgency is not null group by all)""",
     "lx",
 )
 _add(
     "stream_sliding_windows",
-    f"""select * from (select (date_trunc('day', created_at) - interval 1 day * back)::timestamp as window_start,
+    f"""select *, {_CLOSED} as closed from (select (date_trunc('day', created_at) - interval 1 day * back)::timestamp as window_start,
         (date_trunc('day', created_at) - interval 1 day * back + interval 2 day)::timestamp as window_end, urgency, count(*) as n
-      from lx cross join (select unnest([0, 1]) as back) where urgency is not null group by all) where {_CLOSED}""",
+      from lx cross join (select unnest([0, 1]) as back) where urgency is not null group by all)""",
     "lx",
 )

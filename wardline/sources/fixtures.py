@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from wardline import vocab
 from wardline.functions import rules, scores
 from wardline.functions.text import let, normalize_text
-from wardline.sources.tables import spread
 
 SUBJECTS = [
     "The street light has not been working", "Street light not working",
@@ -37,13 +36,8 @@ REMARKS = [
 ]
 
 
-# Tables whose rows carry the heavy work, with the column to spread them by.
-_SPREAD = {"documents": "doc_id", "events": "event_id", "conversations": "conv_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, _SPREAD[name]) if name in _SPREAD else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def phrase(phrases: list[str | None], number: Column) -> Column:
@@ -113,7 +107,7 @@ def grievances(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     key, customer_key = F.col("o_orderkey"), F.col("o_custkey")
     placed = orders.join(home, F.col("c_custkey") == customer_key)
-    return spread(placed, "o_orderkey", scan=orders).select(
+    return placed.select(
         key.alias("grievance_id"),
         phrase(CATEGORIES, key).alias("Category"),
         phrase(SUB_CATEGORIES, key).alias("Sub Category"),

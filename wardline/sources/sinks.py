@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 def append_log(df: DataFrame, path: str) -> None:
     """Append log rows as Parquet, one folder per day, so date filters skip folders.
 
-    A day may hold any share of the rows: each task writes its own files and nothing is shuffled.
+    ``created_ts`` keeps the time in UTC beside the text. Rows are rebalanced by day before they are
+    written: small days share tasks and become one file each, a day that holds much of the table is
+    split into files of the advised size.
     """
-    day = F.coalesce(F.to_date(F.try_to_timestamp(F.col("created_at").cast("string"))).cast("string"), F.lit("unknown"))
-    df.withColumn("created_date", day).write.mode("append").partitionBy("created_date").parquet(path)
+    time = F.try_to_timestamp(F.col("created_at").cast("string"))
+    day = F.coalesce(F.to_date(time).cast("string"), F.lit("unknown"))
+    dated = df.withColumns({"created_ts": time, "created_date": day}).hint("rebalance", F.col("created_date"))
+    dated.write.mode("append").partitionBy("created_date").parquet(path)
 
 
 def append_csv(df: DataFrame, path: str) -> None:

@@ -13,18 +13,6 @@ from wardline.functions.spans import span
 LOG_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in vocab.LOG_COLUMNS])
 
 
-def spread(df: DataFrame, key: str, scan: DataFrame | None = None) -> DataFrame:
-    """Split a small input by ``key`` when its files give fewer splits than there are cores.
-
-    Per-row work on text is heavy enough to pay for moving a few files. Tables with as many splits
-    as cores, that is all large ones, stay untouched. ``scan`` is the table that tells, where ``df``
-    is more than a scan of it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = (df if scan is None else scan).rdd.getNumPartitions()
-    return df if splits >= cores else df.repartition(cores, key)
-
-
 def pad_log(df: DataFrame) -> DataFrame:
     """Log columns first, blank where absent; further columns stay."""
     missing = {c: F.lit("") for c in vocab.LOG_COLUMNS if c not in df.columns}
@@ -32,27 +20,37 @@ def pad_log(df: DataFrame) -> DataFrame:
     return df.withColumns(missing).select(*vocab.LOG_COLUMNS, *extra)
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .csv(path)
-    )
+def _csv(spark: SparkSession, path: str, multi_line: bool, schema: T.StructType | None = None) -> DataFrame:
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The complaint log as text columns; empty when there is none yet. Blank fields are NULL."""
+def read_log(spark: SparkSession, path: str, multi_line: bool = True, schema: T.StructType | None = None) -> DataFrame:
+    """The complaint log as text columns; empty when there is none yet. Blank fields are NULL.
+
+    Quoted texts may hold line breaks, so ``multi_line`` is on for this small interactive log; then a
+    file is read by one task. Large exports without line breaks are split with ``multi_line=False``,
+    and with ``schema`` nothing is read to learn the columns. Land them as Parquet once.
+    """
     try:
-        return pad_log(_csv(spark, path))
+        return pad_log(_csv(spark, path, multi_line, schema))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], LOG_SCHEMA)
 
 
-def read_grievances(spark: SparkSession, path: str) -> DataFrame:
-    return fill_blank(_csv(spark, path))
+def read_grievances(spark: SparkSession, path: str, multi_line: bool = False, schema: T.StructType | None = None) -> DataFrame:
+    """Raw grievances, blanks for missing fields; split over tasks unless ``multi_line`` is asked for."""
+    return fill_blank(_csv(spark, path, multi_line, schema))
+
+
+def read_enriched_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log that ``append_log`` writes: blank fields are NULL again, days prune folders."""
+    df = spark.read.parquet(path)
+    texts = {f.name: F.nullif(F.col(f.name), F.lit("")) for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    day = {"created_date": F.col("created_date").cast("string")}
+    return df.withColumns({**texts, **day})
 
 
 def fill_blank(df: DataFrame) -> DataFrame:
