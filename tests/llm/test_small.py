@@ -279,7 +279,7 @@ def test_packing_of_repeated_ids_and_no_rows(spark):
 def test_lower_bound_holds():
     rng = np.random.default_rng(0)
     for _ in range(200):
-        lengths = np.sort(rng.integers(1, 21, rng.integers(1, 12)))[::-1]
+        lengths = np.sort(rng.integers(1, 21, rng.integers(1, 9)))[::-1]
         bound, best = packing.lower_bound(lengths, 20), _fewest(lengths.tolist(), 20)
         _, _, bins = packing.best_fit_decreasing(lengths, 20)
         assert bound <= best <= bins
@@ -290,7 +290,7 @@ def _fewest(lengths, capacity, rooms=()):
     if not lengths:
         return len(rooms)
     head, rest = lengths[0], lengths[1:]
-    best = _fewest(rest, capacity, (*rooms, capacity - head)) if len(rooms) < 8 else 99
+    best = _fewest(rest, capacity, (*rooms, capacity - head)) if len(rooms) < 12 else 99
     for i in {r: i for i, r in enumerate(rooms) if r >= head}.values():
         best = min(best, _fewest(rest, capacity, (*rooms[:i], rooms[i] - head, *rooms[i + 1 :])))
     return best
