@@ -13,35 +13,37 @@ def _pairs(df):
 
 def test_golden_log(log):
     assert _pairs(dashboard.most_frequent(log, "issue_type")) == [("Road & Pothole Hazard", 4)]
-    assert _pairs(dashboard.most_frequent(log, "location")) == [("Jayanagar", 4)]
-    assert _pairs(dashboard.label_distribution(log, "severity")) == [("High", 13), ("Low", 5), ("Medium", 5)]
+    assert _pairs(dashboard.most_frequent(log, "location")) == [("Harbour Row", 5)]
+    assert _pairs(dashboard.label_distribution(log, "severity")) == [("High", 9), ("Medium", 5), ("Low", 4)]
     assert _pairs(dashboard.label_distribution(log, "urgency")) == [
-        ("Angry/Urgent", 9), ("Concerned", 9), ("Neutral", 5),
+        ("Concerned", 8), ("Angry/Urgent", 5), ("Neutral", 5),
     ]
-    assert _pairs(dashboard.daily_counts(log)) == [(date(2025, 11, 24), 9), (date(2025, 11, 25), 14)]
+    assert _pairs(dashboard.daily_counts(log)) == [(date(2024, 3, 4), 7), (date(2024, 3, 5), 11)]
     assert _pairs(dashboard.daily_urgency(log)) == [
-        (date(2025, 11, 24), "Angry/Urgent", 3), (date(2025, 11, 24), "Concerned", 2),
-        (date(2025, 11, 24), "Neutral", 4), (date(2025, 11, 25), "Angry/Urgent", 6),
-        (date(2025, 11, 25), "Concerned", 7), (date(2025, 11, 25), "Neutral", 1),
+        (date(2024, 3, 4), "Angry/Urgent", 2), (date(2024, 3, 4), "Concerned", 2),
+        (date(2024, 3, 4), "Neutral", 3), (date(2024, 3, 5), "Angry/Urgent", 3),
+        (date(2024, 3, 5), "Concerned", 6), (date(2024, 3, 5), "Neutral", 2),
     ]
     matrix = {(r.severity, r.urgency): r.n for r in dashboard.severity_urgency(log).collect()}
     assert matrix == {
-        ("High", "Angry/Urgent"): 7, ("High", "Concerned"): 4, ("High", "Neutral"): 2,
-        ("Medium", "Angry/Urgent"): 2, ("Medium", "Concerned"): 2, ("Medium", "Neutral"): 1,
-        ("Low", "Concerned"): 3, ("Low", "Neutral"): 2,
+        ("High", "Angry/Urgent"): 5, ("High", "Concerned"): 3, ("High", "Neutral"): 1,
+        ("Medium", "Concerned"): 4, ("Medium", "Neutral"): 1,
+        ("Low", "Concerned"): 1, ("Low", "Neutral"): 3,
     }
+    wide = {r.severity: r for r in dashboard.severity_urgency_pivot(log, ["Neutral"]).collect()}
+    assert (wide["High"].neutral, wide["High"].other) == (1, 8)
     issues = dict(_pairs(dashboard.issue_distribution(log)))
-    assert issues["Road & Pothole Hazard"] == 4 and issues["Bbmp Election Branch"] == 1
-    assert sum(issues.values()) == 23
+    assert issues["Road & Pothole Hazard"] == 4 and issues["Town Council"] == 1
+    assert sum(issues.values()) == 18
 
 
 def test_summary(log):
-    row = dashboard.log_summary(log, date(2025, 11, 25)).first()
-    assert (row.total, row.issue_types, row.today_count, row.urgent_pct) == (23, 11, 14, 0.0)
-    assert (row.top_issue, row.top_location) == ("Road & Pothole Hazard", "Jayanagar")
-    assert row.last_update.isoformat() == "2025-11-25T11:19:03.722177"
-    any_urgent = dashboard.log_summary(log, date(2025, 11, 25), dashboard.ANY_URGENT).first()
-    assert any_urgent.urgent_pct == 39.1
+    row = dashboard.log_summary(log, date(2024, 3, 5)).first()
+    assert (row.total, row.issue_types, row.today_count, row.urgent_pct) == (18, 12, 11, 0.0)
+    assert (row.top_issue, row.top_location) == ("Road & Pothole Hazard", "Harbour Row")
+    assert row.last_update.isoformat() == "2024-03-05T23:59:01.250000"
+    any_urgent = dashboard.log_summary(log, date(2024, 3, 5), dashboard.ANY_URGENT).first()
+    assert any_urgent.urgent_pct == 27.8
 
 
 def test_empty_log(spark):
@@ -64,8 +66,8 @@ def test_bad_times(spark):
 
 def test_latest_and_range(log):
     newest = dashboard.latest(log, 3).collect()
-    assert [r.created_at[:16] for r in newest] == ["2025-11-25T11:19", "2025-11-25T11:14", "2025-11-25T11:12"]
-    assert dashboard.in_range(log, "2025-11-24T09:27", "2025-11-24T10").count() == 5
+    assert [r.created_at[:16] for r in newest] == ["2024-03-05T23:59", "2024-03-05T14:40", "2024-03-05T13:15"]
+    assert dashboard.in_range(log, "2024-03-04T08:30", "2024-03-04T10:00").count() == 3
     recent = dashboard.recent_analyses(log).collect()
     assert len(recent) == 5 and all(len(r.preview) <= 160 for r in recent)
 

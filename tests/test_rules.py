@@ -4,15 +4,15 @@ from wardline.functions import rules
 from wardline.functions.text import normalize_text
 
 SEVERITY = [
-    "Medium", None, None, "Medium", "Low", "High", "Low", "Low", "High", None, "High", "High", "Medium",
-    None, "High", "High", "Low", "High", "High", "High", "Low", "Medium", "Medium",
+    "Medium", None, "Medium", "Low", "High", "Medium", None, "High", "Medium", "Low", "High", "Low", "High",
+    None, "Low", "High", None, "Medium",
 ]
-URGENT_HITS = [0, 0, 0, 0, 0, 4, 0, 0, 1, 4, 2, 0, 0, 0, 1, 1, 0, 1, 0, 0, 0, 0, 0]
-CONCERNED_HITS = [0, 0, 0, 0, 0, 1, 1, 1, 0, 1, 3, 3, 1, 2, 2, 2, 0, 6, 4, 4, 1, 1, 0]
+URGENT_HITS = [0, 0, 0, 0, 3, 0, 2, 1, 0, 0, 0, 0, 1, 0, 0, 3, 0, 0]
+CONCERNED_HITS = [1, 0, 0, 0, 0, 1, 0, 2, 1, 0, 1, 1, 0, 3, 0, 0, 1, 1]
 CATEGORY = {
-    1: "Street Lighting Fault", 2: "Water Supply Disruption", 4: "Waste & Sanitation",
-    5: "General Complaint", 6: "Road & Pothole Hazard", 9: "Electrical Hazard",
-    10: "Infrastructure Damage", 11: "Water Supply Disruption", 18: "Public Safety Concern",
+    1: "Street Lighting Fault", 2: "Water Supply Disruption", 3: "Waste & Sanitation", 4: "General Complaint",
+    5: "Electrical Hazard", 6: "Road & Pothole Hazard", 7: "Infrastructure Damage", 9: "Drainage / Flooding",
+    11: "Public Safety Concern", 14: "Water Supply Disruption", 18: "Road & Pothole Hazard",
 }
 
 

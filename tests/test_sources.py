@@ -10,8 +10,8 @@ from conftest import DATA
 
 def test_read_log(spark, log):
     assert log.columns == vocab.LOG_COLUMNS
-    assert log.count() == 23
-    assert log.filter("location is null").count() == 10
+    assert log.count() == 18
+    assert log.filter("location is null").count() == 7
     assert tables.read_log(spark, f"{DATA}/absent.csv").columns == vocab.LOG_COLUMNS
     assert tables.read_log(spark, f"{DATA}/absent.csv").count() == 0
 
@@ -25,13 +25,13 @@ def test_pad_log(spark):
 def test_union(spark, log):
     more = spark.createDataFrame([("Low", "t")], "severity string, complaint_text string")
     both = tables.union_log(log, more)
-    assert both.count() == 24 and both.filter("issue_type is null").count() == 1
+    assert both.count() == 19 and both.filter("issue_type is null").count() == 1
 
 
 def test_annotations(annotations):
     rows = annotations.orderBy("text").collect()
     assert [tuple(e) for e in rows[0].entities] == [
-        ("r BMS College Circl", "LOCATION", 19, 38), ("pothole", "PROBLEM", 8, 15),
+        (" Kestrel Wharf Step", "LOCATION", 21, 40), ("railing", "PROBLEM", 7, 14),
     ]
 
 
@@ -40,8 +40,8 @@ def test_append_by_day(spark, log, tmp_path):
     sinks.append_log(log, path)
     sinks.append_log(log.limit(3), path)
     back = spark.read.parquet(path)
-    assert back.count() == 26
-    assert {str(r.created_date) for r in back.select("created_date").distinct().collect()} == {"2025-11-24", "2025-11-25"}
+    assert back.count() == 21
+    assert {str(r.created_date) for r in back.select("created_date").distinct().collect()} == {"2024-03-04", "2024-03-05"}
 
 
 def test_csv_round_trip(spark, log, tmp_path):
@@ -50,7 +50,7 @@ def test_csv_round_trip(spark, log, tmp_path):
     sinks.export_csv(log, path)
     assert tables.read_log(spark, path).exceptAll(log).count() == 0
     sinks.append_csv(log.limit(2), path)
-    assert tables.read_log(spark, path).count() == 25
+    assert tables.read_log(spark, path).count() == 20
 
 
 def test_weak_labels(spark, tmp_path):
