@@ -110,7 +110,7 @@ def test_secrets(spark):
 
 
 def test_secrets_with_many_matches_stay_linear(spark):
-    text = "\n".join(f"user=u{i} pwd: p{i:06d}" for i in range(5000))
+    text = "\n".join(f"user=u{i:05d} pwd: p{i:06d}" for i in range(5000))
     row = secrets.digest(secrets.find_spans(documents(spark, [text]))).first()
     assert len(row.spans.split(",")) == 10000
 

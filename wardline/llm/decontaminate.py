@@ -7,7 +7,8 @@ line up; there each placeholder pairs a value of the item with a value of the do
 are a one-to-one renaming, the passage is the item itself (nothing renamed) or the item with other
 parameters; if not, it is another text on the same template and no leak.
 
-A name is a capitalised word inside a sentence, a unit is a unit word behind a number.
+A name is a capitalised word behind a lower-case letter, figure or comma, a unit is a unit word behind
+a number.
 
 Defined cases: null or empty texts have no tokens and match nothing. Items of 5 to ``window`` - 1
 tokens are one window; shorter ones cannot be told from chance and never match. A benchmark window
@@ -49,7 +50,7 @@ def raw_tokens(text: Column) -> Column:
 def template_tokens(text: Column) -> Column:
     t = F.regexp_replace(_plain(text), r"\p{N}+(?:[.,:/-]\p{N}+)*", NUMBER)
     t = F.when(t.contains(NUMBER), F.regexp_replace(t, rf"(?i)(?<={NUMBER}\s?)(?:{'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])", UNIT)).otherwise(t)
-    t = F.regexp_replace(t, rf"(?<=[\p{{Ll}}\p{{N}},;:{NUMBER}]\s)\p{{Lu}}[\p{{L}}'’-]*", NAME)
+    t = F.regexp_replace(t, rf"(?<=[\p{{Ll}}\p{{N}},{NUMBER}]\s)\p{{Lu}}[\p{{L}}'’-]*", NAME)
     t = F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}\s{NUMBER}-{UNIT}]+", "")
     return _tokens(F.lower(t))
 

@@ -55,6 +55,8 @@ class Counter:
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
         self.apart = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in names)
         self.apart = self.apart and all(float(s).is_integer() for _, s in pieces)
+        # A run of unknown characters that is one token must not reach over the cut.
+        self.apart = self.apart and (self.bytes_known or BLANK in self.single)
         self.seen: dict[str, tuple[float, int]] = {}
 
     def solve(self, text: str) -> tuple[float, int]:

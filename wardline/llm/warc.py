@@ -48,7 +48,8 @@ def base32_sha1(payload: Column) -> Column:
 def record_id(number: Column, part: str) -> Column:
     h = F.md5(F.concat(F.lit(f"{part}:"), number.cast("string")))
     cut = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in cut]), F.lit(">"))
+    spelled = F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in cut]), F.lit(">"))
+    return F.when(number.isNotNull(), spelled)
 
 
 def _record(block: Column, **fields: Column) -> Column:
