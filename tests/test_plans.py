@@ -51,7 +51,11 @@ def test_rollup_scans_once_with_two_shuffles_of_counts(spark, tmp_path):
 def test_a_large_vocabulary_is_not_broadcast(spark, tmp_path):
     words = spark.range(2_000_000).select(F.format_string("word%08d", "id").alias("term"), F.col("id").cast("int").alias("idx"), F.lit(1.0).alias("idf"))
     words.write.parquet(str(tmp_path / "v"))
-    plan = _plan(features.transform_tfidf(fixtures.table(spark, SF, "documents"), spark.read.parquet(str(tmp_path / "v")), "doc_id", "text"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # else Spark may send the few texts instead
+    try:
+        plan = _plan(features.transform_tfidf(fixtures.table(spark, SF, "documents"), spark.read.parquet(str(tmp_path / "v")), "doc_id", "text"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
 
 
