@@ -19,9 +19,10 @@ The boundary is the size at which listing subsets gets dearer than listing block
 Sets that may link across it do both.
 
 Members of a list are not paired with each other. Each is compared with the list's hub, the member
-that shares the most lists; hubs and those linked to them become one component, then what is left of
-each list is compared across components. Links inside a component tell nothing new, so none between
-components is lost. Every candidate is verified on the whole sets.
+that shares the most lists; hubs and those linked to them become one part. Members of lists
+that still hold several parts are compared across parts through inverted lists of single
+n-grams, of which each enters those of its rarest only (``_rare_pairs``). Links inside a part
+tell nothing new, so none between components is lost. Every candidate is verified on the whole sets.
 
 Defined cases: null and empty texts have no n-grams, link with nothing and are their own component;
 a text with fewer than n words is one n-gram; rows with equal or null ids are documents of their own.
@@ -35,7 +36,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.common import Scratch, components, numbered, small, unpacked
@@ -180,12 +181,54 @@ def _verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int, scratch:
     return out
 
 
+def _rare_pairs(members: DataFrame, rows: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs of ``members`` (``_rid, part``) of different parts that may still link.
+
+    Of linked sets, each in the order of rarity among the members, the first common n-gram stands so
+    far in front that what follows can still make the overlap. What copies of one text share is
+    frequent and stands behind what is their own, so copies too far from each other never meet.
+    """
+    ids = small(members.select("_rid"), 16)
+    grams = _sets(rows.join(ids, "_rid", "left_semi"), n, None).select("_rid", "size", F.explode("keys").alias("gram"))
+    grams = scratch.save(grams, "grams")
+    counts = grams.groupBy("gram").agg(F.count("*").alias("many"))
+    order = Window.partitionBy("_rid").orderBy("many", "gram")
+    ranked = grams.join(counts, "gram").withColumn("place", F.row_number().over(order) - 1)
+    # At most size - ceil(t * size) members stand before the first common one.
+    front = ranked.where(100 * (F.col("size") - F.col("place")) >= percent * F.col("size")).join(members, "_rid")
+    front = scratch.save(front.where("many > 1").select("gram", "_rid", "part", "size", "place"), "front")
+    a = front.select("gram", *[F.col(c).alias(f"a_{c}") for c in ("_rid", "part", "size", "place")])
+    b = front.select("gram", *[F.col(c).alias(f"b_{c}") for c in ("_rid", "part", "size", "place")])
+    sizes = F.col("a_size") + F.col("b_size")
+    ahead = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+    near = (F.col("a__rid") < F.col("b__rid")) & (F.col("a_part") != F.col("b_part")) & ((100 + percent) * ahead >= percent * sizes)
+    met = a.join(b, (a["gram"] == b["gram"]) & near)
+    return met.select(F.col("a__rid").alias("src"), F.col("b__rid").alias("dst")).distinct()
+
+
+def _nearest_hub(links: DataFrame) -> DataFrame:
+    """``_rid, part``: of a node and its neighbours the one with most links.
+
+    Nodes with equal parts are connected, which is all that comparing across parts asks for.
+    """
+    both = links.select("src", "dst").union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    degrees = both.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("degree"))
+    known = both.union(degrees.select("dst", F.col("dst").alias("_self"))).join(degrees, "dst")
+    best = F.max_by("dst", F.struct("degree", -F.col("dst")))
+    return known.groupBy(F.col("src").alias("_rid")).agg(best.alias("part"))
+
+
 def link_documents(
     docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90, scratch: Scratch | None = None
 ) -> DataFrame:
     """``_row, _rid, n_shingles, component``: the smallest ``_rid`` reachable by links, itself included."""
     scratch = scratch or Scratch(docs.sparkSession, "jaccard")
     rows = numbered(docs, key, scratch, text)
+    return rows.join(_components(rows, text, n, percent, scratch), "_rid")
+
+
+def _components(rows: DataFrame, text: str, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """``_rid, n_shingles, component`` of packed, numbered rows, as a stored table."""
     slim = rows.select("_rid", F.col("_row").getField(text).alias("_text"))
     plan = Plan(percent)
     sets = scratch.save(_sets(slim, n, plan), "sets")
@@ -209,26 +252,24 @@ def link_documents(
     pairs = first.select(F.least("_rid", "hub").alias("src"), F.greatest("_rid", "hub").alias("dst")).distinct()
     pairs = scratch.save(pairs, "pairs")
     links = _verified(pairs, slim, n, percent, scratch, "hub")
-    grouped = components(links, scratch, "hubs")
-    named = met.join(grouped.withColumnRenamed("node", "_rid"), "_rid", "left").select(
-        "list", "_rid", F.coalesce("component", "_rid").alias("part")
-    )
+    named = met.join(_nearest_hub(links), "_rid", "left").select("list", "_rid", F.coalesce("part", "_rid").alias("part"))
     named = scratch.save(named, "named")
     mixed = named.groupBy("list").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    left = scratch.save(named.join(mixed.select("list"), "list", "left_semi"), "left")
-    a = left.select("list", F.col("_rid").alias("src"), F.col("part").alias("p"))
-    b = left.select("list", F.col("_rid").alias("dst"), F.col("part").alias("q"))
-    rest = a.join(b, "list").where("src < dst and p != q").select("src", "dst").distinct()
-    rest = scratch.save(rest.join(pairs, ["src", "dst"], "left_anti"), "rest")
+    open_ = named.join(mixed.select("list"), "list", "left_semi").groupBy("_rid").agg(F.min("part").alias("part"))
+    open_ = scratch.save(open_, "open")
+    rest = _rare_pairs(open_, slim, n, percent, scratch).join(pairs, ["src", "dst"], "left_anti")
+    rest = scratch.save(rest, "rest")
     links = links.union(_verified(rest, slim, n, percent, scratch, "rest"))
     whole = components(links, scratch, "classes-linked").withColumnRenamed("node", "class")
     named = members.join(whole, "class", "left").select("_rid", F.coalesce("component", "class").alias("component"))
     sizes = sets.select("_rid", F.col("size").alias("n_shingles")).join(named, "_rid", "left")
-    sizes = scratch.save(sizes.select("_rid", "n_shingles", F.coalesce("component", "_rid").alias("component")), "result")
-    return rows.join(sizes, "_rid")
+    return scratch.save(sizes.select("_rid", "n_shingles", F.coalesce("component", "_rid").alias("component")), "result")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are the first of their component, with their columns."""
-    done = link_documents(docs, key, text, n, percent)
-    return unpacked(done.where("_rid = component"), docs.columns)
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    rows = numbered(docs, key, scratch, text)
+    # What goes is less than what stays; while its numbers are few, no text is shuffled.
+    gone = _components(rows, text, n, percent, scratch).where("_rid != component").select("_rid")
+    return unpacked(rows.join(small(gone, 16), "_rid", "left_anti"), docs.columns)
