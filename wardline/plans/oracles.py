@@ -1143,10 +1143,10 @@ _add(
 ORACLES["log_roundtrip"] = ORACLES["location_hotspots"]
 _add(
     "log_range",
-    """select cast(at as date) as day, count(*) as n from (
+    """select cast(moment as date) as day, count(*) as n from (
       select created_at + case complaint_id % 4 when 1 then interval '-330 minutes' when 2 then interval '5 hours'
-        else interval '0 minutes' end as at from lx)
-    where at >= timestamp '2024-01-10' and at < timestamp '2024-01-20' group by 1""",
+        else interval '0 minutes' end as moment from lx)
+    where moment >= timestamp '2024-01-10' and moment < timestamp '2024-01-20' group by 1""",
     "lx",
 )
 _add(
