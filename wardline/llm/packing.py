@@ -8,8 +8,8 @@ with a gap hand in the pieces of their sequences that are not full; these are de
 partitions, so that pieces meet others, and packed again. A round that does not lower the number of
 sequences is undone and ends the exchange.
 
-Tokens of a blank-to-blank chunk do not depend on its neighbours, so chunks are remembered per
-worker. Texts with white space before a blank, where that does not hold, are encoded whole.
+Tokens between single blanks and line breaks do not depend on what is beside them, so such chunks are
+remembered per worker. Texts with runs of white space, where that does not hold, are encoded whole.
 
 Defined cases: a null text is empty; every document ends with id 0, so an empty one is a piece of
 length 1; rows with equal or null ids are documents of their own. No documents give no rows.
@@ -17,60 +17,139 @@ length 1; rows with equal or null ids are documents of their own. No documents g
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import Scratch, numbered
 
-REMEMBERED = 400_000  # chunks per worker; the memory starts anew when it is full
-# White space before a blank: there the blank may belong to the token before.
-_RUNS = re.compile(r"\s ")
+REMEMBERED = 600_000  # chunks per worker; the memory starts anew when it is full
+TOGETHER = 6_000_000  # bytes of text encoded at a time
+_CUT, _END = "\x00", "\x01"
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# White space beside white space: there a blank or line break may belong to the token before.
+_ODD = rf"{_SPACE}{_SPACE}|[\x00\x01]"
 PIECES = "_rid long, _key long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, part int, bound long, gap long, load long"
 
 
+def _same_in_bulk(model: str):
+    """A faster encoder with the same ids, or None if the file does not promise them.
+
+    It does if it is a byte-level merge model whose merges make the ids in their order, so that the
+    ids are the ranks, with the usual split of texts and nothing before it.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    file = json.loads(model)
+    split, merges = file.get("pre_tokenizer") or {}, file["model"].get("merges") or []
+    usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    if file["model"].get("type") != "BPE" or not usual or file.get("normalizer"):
+        return None
+    ids = file["model"]["vocab"]
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+    if any(ids.get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)):
+        return None
+    # Byte-level files spell printable bytes as themselves and the others as the letters from 256 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    names = [*(t for t, i in ids.items() if i < 256), *(a + b for a, b in pairs)]
+    ranks = {bytes(byte[c] for c in name): ids[name] for name in names}
+    return tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit numbers, by a tokenizer file's content."""
+    """Ids of texts by a tokenizer file's content."""
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.seen: dict[str, bytes] = {}
+        self.seen: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers
+        self.bulk = _same_in_bulk(model)
+        self.line_break = int(self.whole("\n")[0])
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: list[str]) -> None:
         if len(self.seen) + len(chunks) > REMEMBERED:
             self.seen.clear()
-        new = list(chunks)
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.seen[chunk] = np.array(found.ids, dtype="<u4").tobytes()
-
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if not text:
-                yield b""
-            elif _RUNS.search(text) or any(s in text for s in self.special):
-                yield self.whole(text)
-            else:
-                head, *rest = text.split(" ")
-                chunks = [head, *[" " + c for c in rest]]
-                if new := set(chunks) - self.seen.keys():
-                    self._learn(new)
-                    if len(new) > REMEMBERED or not self.seen.keys() >= set(chunks):
-                        yield self.whole(text)
-                        continue
-                yield b"".join(map(self.seen.__getitem__, chunks))
+        if self.bulk is None:
+            plain = chunks
+        else:
+            # One call for many: chunks on lines of their own come back apart at the line breaks.
+            bodies = [c[1:] if c[0] == "\n" else c for c in chunks]
+            apart = [len(b.split()) == 1 and not b[-1].isspace() for b in bodies]
+            lines = [b for b, ok in zip(bodies, apart) if ok]
+            raw = array("I", self.bulk.encode_ordinary("\n".join([*lines, ""])))
+            cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == self.line_break)
+            if len(cuts) != len(lines):
+                raise ValueError("line breaks and chunks do not match")
+            ids, begin, found = raw.tobytes(), 0, []
+            for end in (cuts * 4).tolist():
+                found.append(ids[begin:end])
+                begin = end + 4
+            each = iter(found)
+            first = array("I", [self.line_break]).tobytes()
+            for c, ok in zip(chunks, apart):
+                if ok:
+                    self.seen[c] = first + next(each) if c[0] == "\n" else next(each)
+            plain = [c for c, ok in zip(chunks, apart) if not ok]
+        for chunk, own in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
+            self.seen[chunk] = array("I", own.ids).tobytes()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, 0 behind each, and where each text's ids end."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD)
+        for mark in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, mark))
+        calm = pc.if_else(odd, "", texts)
+        marked = pc.replace_substring(pc.replace_substring(calm, " ", _CUT + " "), "\n", _CUT + "\n")
+        lists = pc.split_pattern(pc.binary_join_element_wise(marked, _END, _CUT), _CUT)
+        coded = pc.dictionary_encode(lists.flatten())
+        chunks = coded.dictionary.to_pylist()
+        fixed = {"": b"", _END: bytes(4)}
+        known = list(map(self.seen.get, chunks))
+        if None in known:
+            new = [c for c, k in zip(chunks, known) if k is None and c not in fixed]
+            self._learn(new)
+            # All of them, should the memory have been cleared.
+            self._learn([c for c in chunks if c not in self.seen and c not in fixed])
+            known = [self.seen.get(c) or fixed[c] if k is None else k for c, k in zip(chunks, known)]
+        width = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first = np.cumsum(width) - width
+        codes = coded.indices.to_numpy()
+        each = width[codes]
+        after = np.cumsum(each)
+        place = np.repeat(first[codes] - (after - each), each)
+        place += np.arange(len(place))
+        ids = np.frombuffer(b"".join(known), "<u4")[place]
+        ends = np.concatenate([[0], after])[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()]
+        return self._with_odd(ids, ends, texts, np.flatnonzero(odd.to_numpy(zero_copy_only=False)))
+
+    def _with_odd(self, ids: np.ndarray, ends: np.ndarray, texts: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that were left out are encoded whole and put in before their 0."""
+        if not len(odd):
+            return ids, ends
+        parts, at, more = [], 0, np.zeros(len(ends), np.int64)
+        for i in odd:
+            own = self.whole(texts[int(i)].as_py())
+            parts += [ids[at : ends[i] - 1], own]
+            at, more[i] = ends[i] - 1, len(own)
+        return np.concatenate([*parts, ids[at:]]), ends + np.cumsum(more)
 
 
 def tokenized_pieces(rows: DataFrame, key: str, text: str, model: str, capacity: int) -> DataFrame:
@@ -84,24 +163,29 @@ def tokenized_pieces(rows: DataFrame, key: str, text: str, model: str, capacity:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = Encoder(shared.value)
-        step = 4 * capacity
         for batch in batches:
-            at, cut = [], []
-            texts = batch.column(2).to_pylist()
-            for place, ids in enumerate(encoder.batch([t or "" for t in texts])):
-                ids += b"\0\0\0\0"
-                first = len(ids) % step or step
-                edges = [0, *range(first, len(ids) + 1, step)]
-                for number, (a, b) in enumerate(zip(edges, edges[1:])):
-                    at.append(place)
-                    cut.append((number, a // 4, (b - a) // 4, zlib.crc32(ids[a:b])))
-            where = pa.array(at, pa.int64())
-            piece, start, length, crc = zip(*cut) if cut else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(where), batch.column(1).take(where), pa.array(piece, pa.int32()),
-                 pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                ["_rid", "_key", "piece", "start", "length", "ids_crc32"],
-            )
+            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            # Some megabytes of text at a time; a longer text stands alone.
+            share = (np.cumsum(sizes) - sizes) // TOGETHER
+            groups = np.flatnonzero(np.r_[True, share[1:] != share[:-1]]).tolist() if len(share) else []
+            for a, b in zip(groups, [*groups[1:], batch.num_rows]):
+                part = batch.slice(a, b - a)
+                at, cut, begin = [], [], 0
+                ids, ends = encoder.encode(part.column(2))
+                for row, end in enumerate(ends.tolist()):
+                    first = (end - begin) % capacity or capacity
+                    edges = [begin, *range(begin + first, end + 1, capacity)]
+                    for number, (x, y) in enumerate(zip(edges, edges[1:])):
+                        at.append(row)
+                        cut.append((number, x - begin, y - x, zlib.crc32(ids[x:y])))
+                    begin = end
+                where = pa.array(at, pa.int64())
+                piece, start, length, crc = zip(*cut)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(where), part.column(1).take(where), pa.array(piece, pa.int32()),
+                     pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    ["_rid", "_key", "piece", "start", "length", "ids_crc32"],
+                )
 
     return slim.mapInArrow(run, PIECES)
 
