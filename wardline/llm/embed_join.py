@@ -101,6 +101,8 @@ def _joiner(threshold: float, width: int):
         A row with ``dst`` is a link of the forest, one without gives ``src`` a number of links.
         """
         vectors = np.stack(rows["vector"].to_numpy()).astype(np.float64)
+        # By powers of two, which rounds nothing and keeps squares in range.
+        vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
         names, many = rows["class"].to_numpy(), rows["many"].to_numpy()
         left_side, right_side = rows["left"].to_numpy(), rows["right"].to_numpy()
         block = int(rows["block"].iloc[0])
@@ -141,7 +143,7 @@ def _joiner(threshold: float, width: int):
                 p, q = p[near], q[near]
                 x, y = vectors[p], vectors[q]
                 cosine = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
-                linked = np.where(np.isfinite(cosine), cosine, (scaled[p] * scaled[q]).sum(axis=1)) >= threshold
+                linked = cosine >= threshold
                 p, q = p[linked], q[linked]
                 np.add.at(degree, p, many[q])
                 np.add.at(degree, q, many[p])
