@@ -355,6 +355,37 @@ def test_leaks(spark):
     assert {r.doc_id for r in clean.collect()} == set(range(len(texts))) - set(kinds)
 
 
+def leaked(spark, item, texts, **options):
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    return {r._key: (r.kind, r.covered) for r in decontaminate.find_leaks(documents(spark, texts), items, **options).collect()}
+
+
+def test_leaks_with_values_that_differ_in_part(spark):
+    twice = "the farmer sold 24 crates of apples and then bought 24 boxes of ripe pears at the market"
+    texts = [
+        twice.replace("24", "57", 1),  # one of two changed
+        twice.replace("24 crates", "8 crates").replace("24 boxes", "9 boxes"),  # alike by chance only
+        QUESTION.replace("24", "77").replace("310", "77"),  # new values coincide
+        "the farmer was out",
+    ]
+    assert leaked(spark, twice, texts[:2] + texts[3:]) == {0: ("reparameterised", 18), 1: ("reparameterised", 18)}
+    assert set(leaked(spark, QUESTION, texts)) == {2}
+    short = "add 24 to 24 and say why"  # one window
+    assert leaked(spark, short, ["add 24 to 9 and say why", "add 8 to 9 and say why"]) == {
+        0: ("reparameterised", 6), 1: ("reparameterised", 6)
+    }
+
+
+def test_leaks_of_long_runs(spark):
+    rng = random.Random(8)
+    passage = [f"word{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(100)]
+    texts = [" ".join(passage[20:20 + n]) for n in (59, 16, 15)]
+    assert leaked(spark, " ".join(passage), texts) == {0: ("exact", 59), 1: ("exact", 16)}
+    # A value that takes the place of another one leaves a long unchanged rest.
+    words = " ".join(passage[:20])
+    assert set(leaked(spark, f"{QUESTION} {words}", [f"{QUESTION.replace('24', '310')} {words}"])) == {0}
+
+
 def test_leaks_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(documents(spark, ["a b c d e f g h i"]), none).collect() == []

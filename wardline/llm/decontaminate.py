@@ -2,10 +2,12 @@
 
 Built-in functions only. A text becomes a row of tokens in which numbers, names and units are typed
 placeholders. Windows of ``window`` tokens of all documents are hash-joined with those of the
-benchmark. Matches of one document and item on one diagonal (document position minus item position)
-line up; there each placeholder pairs a value of the item with a value of the document. If the pairs
-are a one-to-one renaming, the passage is the item itself (nothing renamed) or the item with other
-parameters; if not, it is another text on the same template and no leak.
+benchmark, as templates and as they are. Matches of one document and item on one diagonal (document
+position minus item position) line up; there each placeholder pairs a value of the item with a value of
+the document. Unchanged windows always count. In a changed window one value of the item stands for one
+value of the document; slots that say otherwise than most do not count, the rest of the window does.
+Different values of the item may become one. Only if one of them stays and takes the place of another
+as well, the line is another text on the same template, unless ``min_run`` tokens in a row are unchanged.
 
 A name is a capitalised word behind a lower-case letter, figure or comma, a unit is a unit word behind
 a number.
@@ -55,47 +57,59 @@ def template_tokens(text: Column) -> Column:
     return _tokens(F.lower(t))
 
 
-def _windows(tokens: Column, size: int) -> Column:
-    """A hash for each run of ``size`` tokens, an empty array for shorter texts."""
+def _is_slot(token: Column) -> Column:
+    return F.rlike(token, F.lit(f"[{NUMBER}-{UNIT}]"))
 
-    def of(codes: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(codes) - (size - 1))
-        hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(codes, i, size)))
-        return F.when(F.size(codes) >= size, hashes).otherwise(F.array().cast("array<bigint>"))
 
-    return let(F.transform(tokens, lambda t: F.xxhash64(t)), of)
+def _hashes(template: Column, raw: Column, sizes: list[int]) -> Column:
+    """Window hashes of a text in arrays as long as the text, end to end; null where a window is cut off.
+
+    Raw windows hold no placeholder, so that a hash never mixes the two kinds.
+    """
+
+    def of(codes: Column, size: int) -> Column:
+        return F.transform(codes, lambda _, i: F.when(i + size <= F.size(codes), F.xxhash64(F.slice(codes, i + 1, size))))
+
+    def both(codes: Column) -> Column:
+        return F.concat(*[of(codes[kind], size) for size in sizes for kind in ("raw", "template")])
+
+    coded = F.struct(*[F.transform(c, lambda t: F.xxhash64(t)).alias(n) for n, c in (("raw", raw), ("template", template))])
+    return let(coded, both)
 
 
 def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
-    """``item, n, size, ipos, h`` from ``item, template``."""
+    """``item, n, size, ipos, h, same`` from ``item, template, raw``; ``same`` tells raw windows."""
     n = F.size("template")
     sized = items.withColumn("n", n).withColumn("size", F.least(n, F.lit(window))).where(n >= SHORTEST)
 
     def one(i: Column) -> Column:
-        part = F.slice("template", i, F.col("size"))
-        marks = F.filter(part, lambda t: F.rlike(t, F.lit(f"[{NUMBER}-{UNIT}]")))
-        codes = F.transform(part, lambda t: F.xxhash64(t))
-        return F.struct((i - 1).alias("ipos"), F.xxhash64(codes).alias("h"), F.size(marks).alias("marks"))
+        part, raw = F.slice("template", i, F.col("size")), F.slice("raw", i, F.col("size"))
+        code = lambda tokens: F.xxhash64(F.transform(tokens, lambda t: F.xxhash64(t)))
+        marks = F.size(F.filter(part, _is_slot))
+        return F.struct((i - 1).alias("ipos"), code(raw).alias("raw"), code(part).alias("template"), marks.alias("marks"))
 
     rows = sized.select("item", "n", "size", F.explode(F.transform(F.sequence(F.lit(1), n - F.col("size") + 1), one)).alias("w"))
-    return rows.where("2 * w.marks <= size").select("item", "n", "size", "w.ipos", "w.h")
+    kinds = F.when(F.col("w.marks") == 0, F.array("w.raw")).otherwise(F.array("w.raw", "w.template"))
+    rows = rows.where("2 * w.marks <= size").select("item", "n", "size", "w.ipos", F.posexplode(kinds).alias("kind", "h"))
+    return rows.withColumn("same", F.col("kind") == 0).drop("kind")
 
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-    item_text: str = "text", window: int = 8, min_cover: float = 0.6, scratch: Scratch | None = None,
+    item_text: str = "text", window: int = 8, min_cover: float = 0.6, min_run: int = 16, scratch: Scratch | None = None,
 ) -> DataFrame:
     """``_rid, _key, item, item_tokens, covered, slots, renamed, kind``, one row per document and item.
 
-    ``covered`` counts the item's tokens inside matching, consistent windows; at least ``min_cover``
-    of them make a leak. ``kind`` is ``exact`` or ``reparameterised``.
+    ``covered`` counts the item's tokens inside matching windows, without slots that contradict their
+    window. At least ``min_cover`` of them make a leak, and so do ``min_run`` unchanged tokens in a
+    row. ``kind`` is ``exact`` or ``reparameterised``, ``renamed`` is of the line that covers most.
     """
     scratch = scratch or Scratch(docs.sparkSession, "leaks")
     rows = numbered(docs, key, scratch, text)
-    return _leaks(rows, benchmark, key, text, item_key, item_text, window, min_cover, scratch)
+    return _leaks(rows, benchmark, key, text, item_key, item_text, window, min_cover, min_run, scratch)
 
 
-def _leaks(rows, benchmark, key, text, item_key, item_text, window, min_cover, scratch) -> DataFrame:
+def _leaks(rows, benchmark, key, text, item_key, item_text, window, min_cover, min_run, scratch) -> DataFrame:
     body = F.col("_row").getField(text)
     slim = rows.select("_rid", F.col("_row").getField(key).alias("_key"), body.alias("_text"))
     question = F.col(f"`{item_text}`")
@@ -104,38 +118,69 @@ def _leaks(rows, benchmark, key, text, item_key, item_text, window, min_cover, s
     )
     items = scratch.save(items, "items")
     grams = scratch.save(benchmark_windows(items, window), "grams")
-    hits = None
-    for (size,) in grams.select("size").distinct().collect():  # at most window - 4 values
-        own = small(grams.where(F.col("size") == size).select("h", "item", "n", "size", "ipos"), 64)
-        flat = slim.select("_rid", F.posexplode(_windows(template_tokens(F.col("_text")), size)).alias("dpos", "h"))
-        found = flat.join(own, "h").select("_rid", "item", "n", "size", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "ipos")
-        hits = found if hits is None else hits.union(found)
-    if hits is None:
-        hits = slim.join(grams, F.lit(False)).select("_rid", "item", "n", "size", F.lit(0).alias("diagonal"), "ipos")
-    lines = hits.groupBy("_rid", "item", "n", "size", "diagonal").agg(F.collect_set("ipos").alias("at"))
+    sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # at most window values
+    line = ["_rid", "item", "n", "size", "diagonal"]
+    if sizes:
+        own = small(grams.select("h", "item", "n", "size", "ipos", "same"), 64)
+        told = slim.select("_rid", template_tokens(F.col("_text")).alias("t"), raw_tokens(F.col("_text")).alias("r"))
+        flat = told.select("_rid", F.size("r").alias("length"), F.posexplode(_hashes(F.col("t"), F.col("r"), sizes)).alias("at", "h"))
+        found = flat.join(own, "h").withColumn("diagonal", (F.col("at") % F.col("length")).cast("int") - F.col("ipos"))
+    else:
+        found = slim.join(grams, F.lit(False)).withColumn("diagonal", F.lit(0))
+    ends = lambda same: F.collect_set(F.when(F.col("same") == same, F.col("ipos")))
+    lines = found.groupBy(*line).agg(ends(True).alias("same"), ends(False).alias("alike"))
     lines = scratch.save(lines, "lines")
     marked = small(lines.select("_rid").distinct(), 16)
     told = slim.join(marked, "_rid", "left_semi").select("_rid", "_key", raw_tokens(F.col("_text")).alias("said"))
     both = lines.join(told, "_rid").join(small(items.select("item", "template", "raw"), 2000), "item")
-    size, span = F.col("size"), F.transform("at", lambda p: F.sequence(p, p + F.col("size") - 1))
-    both = both.withColumn("places", F.array_distinct(F.flatten(span)))
-    is_slot = lambda p: F.rlike(F.get("template", p), F.lit(f"[{NUMBER}-{UNIT}]"))
-    pair = lambda p: F.struct(F.get("raw", p).alias("a"), F.get("said", p + F.col("diagonal")).alias("b"))
-    both = both.withColumn("pairs", F.transform(F.filter("places", is_slot), pair))
-    kinds = F.array_distinct("pairs")
-    one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda s: s["a"]))) == F.size(kinds)) & (
-        F.size(F.array_distinct(F.transform("pairs", lambda s: s["b"]))) == F.size(kinds)
-    )
-    good = both.where(one_to_one).select(
-        "_rid", "_key", "item", "n", "places", F.size(kinds).alias("slots"),
-        F.size(F.filter(kinds, lambda s: s["a"] != s["b"])).alias("renamed"),
+    span = lambda p: F.sequence(p, p + F.col("size") - 1)
+    slot = lambda p: _is_slot(F.get("template", p))
+    mine, yours = lambda p: F.get("raw", p), lambda p: F.get("said", p + F.col("diagonal"))
+
+    def consistent(p: Column) -> Column:
+        """The places of a window without slots whose value is not the most frequent one for theirs in the item."""
+
+        def chosen(slots: Column) -> Column:
+            def votes(r: Column) -> Column:
+                times = F.size(F.filter(slots, lambda s: (mine(s) == mine(r)) & (yours(s) == yours(r))))
+                return F.struct(times.alias("n"), (mine(r) == yours(r)).alias("same"), yours(r).alias("b"))
+
+            def fits(q: Column) -> Column:
+                return F.array_max(F.transform(F.filter(slots, lambda r: mine(r) == mine(q)), votes))["b"] == yours(q)
+
+            return F.filter(span(p), lambda q: ~slot(q) | fits(q))
+
+        return let(F.filter(span(p), slot), chosen)
+
+    both = both.withColumn("changed", F.array_except("alike", "same"))
+    kept = F.flatten(F.transform("same", span))
+    both = both.withColumn("places", F.array_distinct(F.concat(kept, F.flatten(F.transform("changed", consistent)))))
+    pairs = lambda places: F.transform(F.filter(places, slot), lambda p: F.struct(mine(p).alias("a"), yours(p).alias("b")))
+    every = F.array_distinct(pairs(F.concat(kept, F.flatten(F.transform("changed", span)))))
+    both = both.withColumn("kinds", every)
+    # A value put in place of another one while it also stays where it was.
+    taken = let(F.col("kinds"), lambda e: F.arrays_overlap(
+        F.transform(F.filter(e, lambda s: s["a"] != s["b"]), lambda s: s["b"]),
+        F.transform(F.filter(e, lambda s: s["a"] == s["b"]), lambda s: s["b"]),
+    ))
+    # So many unchanged windows one behind the other hold a run.
+    many = F.greatest(F.lit(min_run) - F.col("size") + 1, F.lit(1))
+    run = (F.lit(min_run) >= F.col("size")) & let(F.array_sort("same"), lambda s: F.exists(
+        F.transform(s, lambda p, i: F.get(s, i + many - 1) - p), lambda gap: gap == many - 1
+    )) & (F.col("n") >= min_run)
+    both = both.withColumn("taken", taken).withColumn("run", run).where("run or not taken")
+    both = both.withColumn("places", F.when(F.col("taken"), F.array_distinct(kept)).otherwise(F.col("places")))
+    good = both.select(
+        "_rid", "_key", "item", "n", "places", "run", F.size("places").alias("held"), F.size("kinds").alias("slots"),
+        F.size(F.filter("kinds", lambda s: s["a"] != s["b"])).alias("renamed"),
     )
     merged = good.groupBy("_rid", "_key", "item", "n").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"),
         F.max("slots").alias("slots"),
-        F.min("renamed").alias("renamed"),
+        F.min_by("renamed", F.struct(-F.col("held"), F.col("renamed"))).alias("renamed"),
+        F.max("run").alias("run"),
     )
-    return merged.where(F.col("covered") >= min_cover * F.col("n")).select(
+    return merged.where((F.col("covered") >= min_cover * F.col("n")) | F.col("run")).select(
         "_rid", "_key", "item", F.col("n").alias("item_tokens"), "covered", "slots", "renamed",
         F.when(F.col("renamed") == 0, "exact").otherwise("reparameterised").alias("kind"),
     )
@@ -145,7 +190,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     """The documents that hold no benchmark item, with their columns."""
     scratch = Scratch(docs.sparkSession, "leaks")
     rows = numbered(docs, key, scratch, text)
-    settings = {"item_key": "item_id", "item_text": "text", "window": 8, "min_cover": 0.6} | options
+    settings = {"item_key": "item_id", "item_text": "text", "window": 8, "min_cover": 0.6, "min_run": 16} | options
     leaks = _leaks(rows, benchmark, key, text, scratch=scratch, **settings)
     leaked = scratch.save(leaks.select("_rid").distinct(), "leaked")
     return unpacked(rows.join(small(leaked, 16), "_rid", "left_anti"), docs.columns)
