@@ -386,6 +386,19 @@ def test_leaks_of_long_runs(spark):
     assert set(leaked(spark, f"{QUESTION} {words}", [f"{QUESTION.replace('24', '310')} {words}"])) == {0}
 
 
+@pytest.mark.parametrize("item, other", [
+    ("What is 3 + 4 * 5 - 6 / 2 ?", "What is 3 + 4 * 5 - 6 / 7 ?"),
+    ("1 2 3 4 5 6 7 8 9", "1 2 3 4 5 6 7"),
+    ("the Old Man And The Sea By Ernest Hemingway And Other Stories", "the Old Man"),
+    ("im Haus am See stehen Tisch, Stuhl, Bett und Schrank, Lampe, Uhr", "im Haus am See"),
+    ("what is it", "what it is"), ("Why?", "Who?"),
+])
+def test_leaks_of_verbatim_copies(spark, item, other):
+    texts = [f"intro words here. {item} and more", f"{item} {item} " * 3, other, "", None]
+    got = leaked(spark, item, texts)
+    assert set(got) == {0, 1} and {kind for kind, _ in got.values()} == {"exact"}
+
+
 def test_leaks_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(documents(spark, ["a b c d e f g h i"]), none).collect() == []

@@ -12,10 +12,11 @@ as well, the line is another text on the same template, unless ``min_run`` token
 A name is a capitalised word behind a lower-case letter, figure or comma, a unit is a unit word behind
 a number.
 
-Defined cases: null or empty texts have no tokens and match nothing. Items of 5 to ``window`` - 1
-tokens are one window; shorter ones cannot be told from chance and never match. A benchmark window
-needs at least half its tokens to be plain words, so that rows of figures match nothing. Rows with
-equal or null ids are judged one by one.
+Defined cases: null or empty texts have no tokens and match nothing. Items of fewer than ``window``
+tokens are one window. Verbatim copies are found whatever the item holds and however short it is, so an
+item of one word matches every document with that word. For other parameters an item needs 5 tokens and
+a window at least half its tokens plain, so that rows of other figures match nothing. Rows with equal
+or null ids are judged one by one.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def _is_slot(token: Column) -> Column:
     return F.rlike(token, F.lit(f"[{NUMBER}-{UNIT}]"))
 
 
-def _hashes(template: Column, raw: Column, sizes: list[int]) -> Column:
+def _hashes(template: Column, raw: Column, wanted: list[tuple[int, bool]]) -> Column:
     """Window hashes of a text in arrays as long as the text, end to end; null where a window is cut off.
 
     Raw windows hold no placeholder, so that a hash never mixes the two kinds.
@@ -71,7 +72,7 @@ def _hashes(template: Column, raw: Column, sizes: list[int]) -> Column:
         return F.transform(codes, lambda _, i: F.when(i + size <= F.size(codes), F.xxhash64(F.slice(codes, i + 1, size))))
 
     def both(codes: Column) -> Column:
-        return F.concat(*[of(codes[kind], size) for size in sizes for kind in ("raw", "template")])
+        return F.concat(*[of(codes["raw" if same else "template"], size) for size, same in wanted])
 
     coded = F.struct(*[F.transform(c, lambda t: F.xxhash64(t)).alias(n) for n, c in (("raw", raw), ("template", template))])
     return let(coded, both)
@@ -80,7 +81,7 @@ def _hashes(template: Column, raw: Column, sizes: list[int]) -> Column:
 def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
     """``item, n, size, ipos, h, same`` from ``item, template, raw``; ``same`` tells raw windows."""
     n = F.size("template")
-    sized = items.withColumn("n", n).withColumn("size", F.least(n, F.lit(window))).where(n >= SHORTEST)
+    sized = items.withColumn("n", n).withColumn("size", F.least(n, F.lit(window))).where(n > 0)
 
     def one(i: Column) -> Column:
         part, raw = F.slice("template", i, F.col("size")), F.slice("raw", i, F.col("size"))
@@ -89,8 +90,9 @@ def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
         return F.struct((i - 1).alias("ipos"), code(raw).alias("raw"), code(part).alias("template"), marks.alias("marks"))
 
     rows = sized.select("item", "n", "size", F.explode(F.transform(F.sequence(F.lit(1), n - F.col("size") + 1), one)).alias("w"))
-    kinds = F.when(F.col("w.marks") == 0, F.array("w.raw")).otherwise(F.array("w.raw", "w.template"))
-    rows = rows.where("2 * w.marks <= size").select("item", "n", "size", "w.ipos", F.posexplode(kinds).alias("kind", "h"))
+    judged = (F.col("w.marks") > 0) & (2 * F.col("w.marks") <= F.col("size")) & (F.col("n") >= SHORTEST)
+    kinds = F.when(judged, F.array("w.raw", "w.template")).otherwise(F.array("w.raw"))
+    rows = rows.select("item", "n", "size", "w.ipos", F.posexplode(kinds).alias("kind", "h"))
     return rows.withColumn("same", F.col("kind") == 0).drop("kind")
 
 
@@ -118,17 +120,21 @@ def _leaks(rows, benchmark, key, text, item_key, item_text, window, min_cover, m
     )
     items = scratch.save(items, "items")
     grams = scratch.save(benchmark_windows(items, window), "grams")
-    sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # at most window values
-    line = ["_rid", "item", "n", "size", "diagonal"]
-    if sizes:
+    wanted = sorted((r["size"], r["same"]) for r in grams.select("size", "same").distinct().collect())  # two a size
+    if wanted:
         own = small(grams.select("h", "item", "n", "size", "ipos", "same"), 64)
         told = slim.select("_rid", template_tokens(F.col("_text")).alias("t"), raw_tokens(F.col("_text")).alias("r"))
-        flat = told.select("_rid", F.size("r").alias("length"), F.posexplode(_hashes(F.col("t"), F.col("r"), sizes)).alias("at", "h"))
+        flat = told.select("_rid", F.size("r").alias("length"), F.posexplode(_hashes(F.col("t"), F.col("r"), wanted)).alias("at", "h"))
         found = flat.join(own, "h").withColumn("diagonal", (F.col("at") % F.col("length")).cast("int") - F.col("ipos"))
     else:
         found = slim.join(grams, F.lit(False)).withColumn("diagonal", F.lit(0))
     ends = lambda same: F.collect_set(F.when(F.col("same") == same, F.col("ipos")))
-    lines = found.groupBy(*line).agg(ends(True).alias("same"), ends(False).alias("alike"))
+    # A whole item in one raw window is a copy; the first one of a document is enough.
+    whole = F.col("same") & (F.col("n") == F.col("size"))
+    found = found.withColumn("on", F.when(~whole, F.col("diagonal")))
+    lines = found.groupBy("_rid", "item", "n", "size", "on").agg(
+        F.min("diagonal").alias("diagonal"), ends(True).alias("same"), ends(False).alias("alike")
+    )
     lines = scratch.save(lines, "lines")
     marked = small(lines.select("_rid").distinct(), 16)
     told = slim.join(marked, "_rid", "left_semi").select("_rid", "_key", raw_tokens(F.col("_text")).alias("said"))
