@@ -399,6 +399,21 @@ def test_leaks_of_verbatim_copies(spark, item, other):
     assert set(got) == {0, 1} and {kind for kind, _ in got.values()} == {"exact"}
 
 
+def test_leaks_whatever_stands_before_and_in_any_case(spark):
+    item = "What is the capital of France today"
+    texts = [f"{before}{item}" for before in ("", "Question\n", "a list, ", "in 1999 ", "He said: ")]
+    texts += [item.upper(), item.lower(), "Question\n" + item.replace("France", "Spain"), "What is the price of France now"]
+    got = leaked(spark, item, texts)
+    assert got == {i: ("exact", 7) for i in range(7)} | {7: ("reparameterised", 7)}
+    assert set(leaked(spark, QUESTION, [QUESTION.upper(), QUESTION.lower()])) == {0, 1}
+    german = "die Straße nach Weißensee ist heute für alle Fahrzeuge gesperrt"
+    assert set(leaked(spark, german, [german.upper(), german.lower()])) == {0, 1}
+    # Quoted from its middle: the first word is a name in the item only.
+    part = "we met in May, Maria and I sold 24 crates"
+    assert set(leaked(spark, part, ["Maria and I sold 31 crates"])) == set()
+    assert set(leaked(spark, "in May, Maria and then others sold 24 crates of pears", ["Maria and then others sold 31 crates of pears"])) == {0}
+
+
 def test_leaks_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(documents(spark, ["a b c d e f g h i"]), none).collect() == []

@@ -10,7 +10,8 @@ Different values of the item may become one. Only if one of them stays and takes
 as well, the line is another text on the same template, unless ``min_run`` tokens in a row are unchanged.
 
 A name is a capitalised word behind a lower-case letter, figure or comma, a unit is a unit word behind
-a number.
+a number. The first token of a window is tried as a plain word too, whatever stands before it. Raw
+windows are case-folded, so that copies in upper or lower case are copies.
 
 Defined cases: null or empty texts have no tokens and match nothing. Items of fewer than ``window``
 tokens are one window. Verbatim copies are found whatever the item holds and however short it is, so an
@@ -45,9 +46,13 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
+def _folded(text: Column) -> Column:
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
 def raw_tokens(text: Column) -> Column:
-    """Lower-case words without punctuation, place by place with ``template_tokens``."""
-    return F.transform(_tokens(_plain(text)), lambda t: F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}]+", "")))
+    """Case-folded words without punctuation, place by place with ``template_tokens``."""
+    return _tokens(F.regexp_replace(_folded(text), r"[^\p{L}\p{N}\s]+", ""))
 
 
 def template_tokens(text: Column) -> Column:
@@ -55,27 +60,45 @@ def template_tokens(text: Column) -> Column:
     t = F.when(t.contains(NUMBER), F.regexp_replace(t, rf"(?i)(?<={NUMBER}\s?)(?:{'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])", UNIT)).otherwise(t)
     t = F.regexp_replace(t, rf"(?<=[\p{{Ll}}\p{{N}},{NUMBER}]\s)\p{{Lu}}[\p{{L}}'’-]*", NAME)
     t = F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}\s{NUMBER}-{UNIT}]+", "")
-    return _tokens(F.lower(t))
+    return _tokens(_folded(t))
 
 
 def _is_slot(token: Column) -> Column:
     return F.rlike(token, F.lit(f"[{NUMBER}-{UNIT}]"))
 
 
+def _by_context(token: Column) -> Column:
+    """Whether the text before a token made it a placeholder."""
+    return F.rlike(token, F.lit(f"[{NAME}{UNIT}]")) & ~token.contains(NUMBER)
+
+
+def _joined(first: Column, rest: Column) -> Column:
+    return F.xxhash64(F.concat(F.array(first), rest))
+
+
 def _hashes(template: Column, raw: Column, wanted: list[tuple[int, bool]]) -> Column:
     """Window hashes of a text in arrays as long as the text, end to end; null where a window is cut off.
 
-    Raw windows hold no placeholder, so that a hash never mixes the two kinds.
+    Raw windows hold no placeholder, so that a hash never mixes the two kinds. A template window that
+    starts with a name or unit comes a second time with its first token as a plain word, as the text
+    before a passage is not part of it.
     """
 
     def of(codes: Column, size: int) -> Column:
         return F.transform(codes, lambda _, i: F.when(i + size <= F.size(codes), F.xxhash64(F.slice(codes, i + 1, size))))
 
-    def both(codes: Column) -> Column:
-        return F.concat(*[of(codes["raw" if same else "template"], size) for size, same in wanted])
+    def bare(codes: Column, size: int) -> Column:
+        rest = lambda i: F.slice(codes["template"], i + 2, size - 1)
+        fits = lambda c, i: F.get(codes["told"], i) & (i + size <= F.size(codes["raw"]))
+        return F.transform(codes["raw"], lambda c, i: F.when(fits(c, i), _joined(c, rest(i))))
+
+    def all_of(codes: Column) -> Column:
+        arrays = [[of(codes["raw"], n)] if same else [of(codes["template"], n), bare(codes, n)] for n, same in wanted]
+        return F.concat(*sum(arrays, []))
 
-    coded = F.struct(*[F.transform(c, lambda t: F.xxhash64(t)).alias(n) for n, c in (("raw", raw), ("template", template))])
-    return let(coded, both)
+    code = lambda tokens: F.transform(tokens, lambda t: F.xxhash64(t))
+    told = F.transform(template, _by_context)
+    return let(F.struct(code(raw).alias("raw"), code(template).alias("template"), told.alias("told")), all_of)
 
 
 def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
@@ -85,15 +108,19 @@ def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
 
     def one(i: Column) -> Column:
         part, raw = F.slice("template", i, F.col("size")), F.slice("raw", i, F.col("size"))
-        code = lambda tokens: F.xxhash64(F.transform(tokens, lambda t: F.xxhash64(t)))
+        code = lambda tokens: F.transform(tokens, lambda t: F.xxhash64(t))
         marks = F.size(F.filter(part, _is_slot))
-        return F.struct((i - 1).alias("ipos"), code(raw).alias("raw"), code(part).alias("template"), marks.alias("marks"))
+        bare = F.when(_by_context(F.get(part, F.lit(0))), _joined(F.xxhash64(F.get(raw, F.lit(0))), F.slice(code(part), 2, F.col("size"))))
+        return F.struct(
+            (i - 1).alias("ipos"), F.xxhash64(code(raw)).alias("raw"), F.xxhash64(code(part)).alias("template"), bare.alias("bare"),
+            marks.alias("marks"),
+        )
 
     rows = sized.select("item", "n", "size", F.explode(F.transform(F.sequence(F.lit(1), n - F.col("size") + 1), one)).alias("w"))
     judged = (F.col("w.marks") > 0) & (2 * F.col("w.marks") <= F.col("size")) & (F.col("n") >= SHORTEST)
-    kinds = F.when(judged, F.array("w.raw", "w.template")).otherwise(F.array("w.raw"))
+    kinds = F.when(judged, F.array("w.raw", "w.template", "w.bare")).otherwise(F.array("w.raw"))
     rows = rows.select("item", "n", "size", "w.ipos", F.posexplode(kinds).alias("kind", "h"))
-    return rows.withColumn("same", F.col("kind") == 0).drop("kind")
+    return rows.where("h is not null").withColumn("same", F.col("kind") == 0).drop("kind")
 
 
 def find_leaks(
