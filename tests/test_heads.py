@@ -70,6 +70,25 @@ def test_rows_with_equal_keys_and_missing_texts_keep_their_own_scores(spark):
     assert none.collect() == []
 
 
+def test_a_model_too_large_to_send_out_scores_alike(spark, monkeypatch):
+    df = spark.createDataFrame(ROWS, "id int, text string, topic string, level string")
+    model = heads.train_naive_bayes(df, "text", HEADS, shared_dir(spark, "model"))
+    texts = [(1, "Water leak water"), (1, "dark light"), (None, None), (3, ""), (3, ""), (4, "unknown words")]
+    frame = spark.createDataFrame(texts, "id int, text string").withColumn("_number", F.lit(7))
+    small = heads.row_scorer(model, "text")(frame)
+    monkeypatch.setattr(heads, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    large = heads.row_scorer(model, "text")(frame)
+    assert large.dtypes == small.dtypes
+
+    def listed(rows):
+        place = lambda r: (r.id is None, r.id, r.text)
+        return [(*place(r), r._number, [e and [(x.label, pytest.approx(x.score, abs=1e-12)) for x in e] for e in r[3:]]) for r in sorted(rows.collect(), key=place)]
+
+    assert listed(large) == listed(small)
+    assert heads.row_scorer(model, "text")(frame.limit(0)).collect() == []
+
+
 def test_a_head_without_labels_gives_nothing(spark):
     df = spark.createDataFrame(ROWS, "id int, text string, topic string, level string").withColumn("level", F.lit(None).cast("string"))
     model = heads.train_naive_bayes(df, "text", HEADS, shared_dir(spark, "model"))

@@ -22,6 +22,7 @@ from wardline.functions.scores import entry
 from wardline.functions.text import let, term_counts, words
 from wardline.operators.arrays import SCORE_LIST, score_column
 from wardline.operators.joins import BROADCAST_BYTES, lookup_join, measured_bytes
+from wardline.session import shared_dir
 
 Heads = Mapping[str, Sequence[str]]
 
@@ -169,13 +170,12 @@ def score_heads(df: DataFrame, model: LinearHeads, key: str, text: str) -> DataF
 def row_scorer(model: LinearHeads, text: str = "cleaned_text") -> Callable[[DataFrame], DataFrame]:
     """A scorer for rows in place: one scan, no shuffle, other columns untouched.
 
-    The weights go to the workers once as a matrix, which is why their bytes are counted first; a
-    larger model needs ``score_heads``. Each batch looks a distinct word up once. A missing text has
-    no scores.
+    The weights go to the workers once as a matrix, which is why their bytes are counted first; with a
+    larger model the rows are numbered and stored and go through ``score_heads``. Each batch looks a
+    distinct word up once. A missing text has no scores.
     """
-    size = measured_bytes(model.weights)
-    if size > BROADCAST_BYTES:
-        raise ValueError(f"{size} bytes of weights are too many to send out; use score_heads")
+    if measured_bytes(model.weights) > BROADCAST_BYTES:
+        return _numbered_scorer(model, text)
     rows = model.weights.toArrow()
     terms = {t: i for i, t in enumerate(rows.column("term").to_pylist())}
     width = len(model.slots)
@@ -216,6 +216,22 @@ def row_scorer(model: LinearHeads, text: str = "cleaned_text") -> Callable[[Data
     return score
 
 
+def _numbered_scorer(model: LinearHeads, text: str) -> Callable[[DataFrame], DataFrame]:
+    """The scorer of a model too large to send out. Rows are stored, so that both scans see one number."""
+
+    def score(df: DataFrame) -> DataFrame:
+        key = "_number"
+        while key in df.columns:
+            key += "_"
+        path = shared_dir(df.sparkSession, "numbered-rows")
+        numbered = df.withColumn(key, F.monotonically_increasing_id())
+        numbered.write.parquet(path)
+        stored = df.sparkSession.read.schema(numbered.schema).parquet(path)
+        return stored.join(score_heads(stored, model, key, text), key, "left").drop(key)
+
+    return score
+
+
 def evaluate(df: DataFrame, head: Column, truth: Column, predicted: Column) -> DataFrame:
     """``head, n, accuracy, weighted_f1`` from one row per head and prediction.
 
