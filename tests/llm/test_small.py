@@ -207,6 +207,33 @@ def test_vectors(spark, width, cell):
     assert {r._row["vec_id"]: (r.links, r.component) for r in got} == {i: (degree[i], root[i]) for i in range(len(rows))}
 
 
+def test_links_at_the_bound_of_a_block_count_once(spark):
+    dim, width, budget = 32, 8, 0.1
+    turn, rows = embed_join.rotation(dim), []
+    share = budget * width / dim * (1 + embed_join.SLACK) + embed_join.SLACK
+    rng = np.random.default_rng(4)
+    # Pairs whose first block is up to twice the slack off its share and whose others are close.
+    steps = [*np.linspace(-2e-6, 2e-6, 41), *rng.uniform(-1e-15, 1e-15, 40)]
+    for step in steps:
+        a = rng.standard_normal(dim)
+        a /= np.linalg.norm(a)
+        gap = np.zeros(dim)
+        gap[:width] = rng.standard_normal(width)
+        # Square to the vector, so that the other one stays nearly a unit vector.
+        gap[:width] -= a[:width] * (gap[:width] @ a[:width]) / (a[:width] @ a[:width])
+        gap *= np.sqrt(share + step) / np.linalg.norm(gap)
+        other = a + gap
+        other[width:] *= np.sqrt((1 - (other[:width] ** 2).sum()) / (other[width:] ** 2).sum())
+        rows += [a @ turn, other @ turn]
+    frame = spark.createDataFrame(list(enumerate(r.tolist() for r in rows)), "vec_id long, embedding array<double>")
+    unit = np.array(rows) / np.linalg.norm(rows, axis=1, keepdims=True)
+    want = ((unit @ unit.T) >= 1 - budget / 2).sum(axis=1) - 1
+    assert (want >= 1).all()
+    for cell in (4096, 8):
+        got = embed_join.link_vectors(frame, threshold=1 - budget / 2, width=width, cell_size=cell).collect()
+        assert [r.links for r in sorted(got, key=lambda r: r._rid)] == want.tolist()
+
+
 def test_no_vectors(spark):
     assert embed_join.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 

@@ -22,6 +22,7 @@ are vectors of their own. Cosine is x.y / (|x| |y|) on the vectors as stored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import product
 
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from wardline.llm.common import Scratch, components, numbered, small
 
 SLACK = 1e-6  # for rounding, on the share of a block; the verification has none
+ROUNDING = 1e-9  # more than quick distances of unit vectors are off
 DEALT = "dim int, block int, cell long, own boolean, class long, vector array<double>"
 MET = "src long, dst long, links long"
 
@@ -50,6 +52,25 @@ def block_edges(dim: int, width: int) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:]))
 
 
+def shares(dim: int, width: int, threshold: float) -> list[float]:
+    """The squared distance up to which two vectors are candidates of a block, the one bound for all steps."""
+    budget = 2 - 2 * threshold
+    return [budget * (b - a) / dim * (1 + SLACK) + SLACK for a, b in block_edges(dim, width)]
+
+
+def within(share: float, quick: np.ndarray, units: np.ndarray, p: np.ndarray, q: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Whether rows ``p`` and ``q`` of ``units`` are within ``share`` on the rotated ``axes``, by their own numbers only.
+
+    Products of matrices round by the rows beside a row. Where ``quick`` is too close to tell, the
+    distance is summed exactly, so that every task decides alike.
+    """
+    inside = quick <= share
+    for i in np.flatnonzero(np.abs(quick - share) <= ROUNDING):
+        gap = units[p[i]] - units[q[i]]
+        inside[i] = math.fsum(math.fsum(gap * axis) ** 2 for axis in axes) <= share
+    return inside
+
+
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
     # Scaled first, so that neither large nor small components overflow.
     vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
@@ -57,16 +78,14 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
 
 
 def _dealer(threshold: float, width: int, grid: int):
-    budget = 2 - 2 * threshold
-
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, rows in batch.groupby(batch["vector"].map(len)):
                 vectors = np.stack(rows["vector"].to_numpy()).astype(np.float64)
                 turned = unit_rows(vectors) @ rotation(dim).T
-                names, out = rows["class"].to_numpy(), []
+                names, out, share = rows["class"].to_numpy(), [], shares(dim, width, threshold)
                 for block, (a, b) in enumerate(block_edges(dim, width)):
-                    radius = np.sqrt(budget * (b - a) / dim) * (1 + SLACK) + SLACK
+                    radius = np.sqrt(share[block]) + ROUNDING
                     side = max(radius, 1.5 / np.sqrt(dim))
                     axes = min(grid, b - a, 8)
                     scaled = turned[:, a : a + axes] / side
@@ -93,8 +112,6 @@ def _dealer(threshold: float, width: int, grid: int):
 
 
 def _joiner(threshold: float, width: int):
-    budget = 2 - 2 * threshold
-
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         """Links of one cell, or of two chunks of a large one: ``src, dst, links``.
 
@@ -108,9 +125,9 @@ def _joiner(threshold: float, width: int):
         block = int(rows["block"].iloc[0])
         scaled = unit_rows(vectors)
         dim = vectors.shape[1]
-        turned = scaled @ rotation(dim).T
-        edges = block_edges(dim, width)
-        share = [budget * (b - a) / dim * (1 + SLACK) + SLACK for a, b in edges]
+        axes = rotation(dim)
+        turned = scaled @ axes.T
+        edges, share = block_edges(dim, width), shares(dim, width, threshold)
         a, b = edges[block]
         mine = turned[:, a:b]
         half = (mine**2).sum(axis=1)
@@ -128,17 +145,17 @@ def _joiner(threshold: float, width: int):
         for start in range(0, len(lefts), 256):
             left = lefts[start : start + 256]
             far = half[left][:, None] + half[right][None, :] - 2 * (mine[left] @ mine[right].T)
-            i, j = np.nonzero(far <= share[block] + SLACK)
+            i, j = np.nonzero(far <= share[block] + ROUNDING)
             i, j = left[i], right[j]
             # Where both rows stand on both sides, a pair shows twice.
             once = (names[i] != names[j]) & ~(left_side[j] & right_side[i] & (names[i] > names[j]))
             i, j = i[once], j[once]
             for at in range(0, len(i), 65536):
                 p, q = i[at : at + 65536], j[at : at + 65536]
-                first = np.ones(len(p), bool)
-                for (c, d), most in zip(edges[:block], share):
-                    first &= ((turned[p, c:d] - turned[q, c:d]) ** 2).sum(axis=1) > most
-                p, q = p[first], q[first]
+                for at_block, (c, d) in enumerate(edges[: block + 1]):
+                    quick = ((turned[p, c:d] - turned[q, c:d]) ** 2).sum(axis=1)
+                    counts = within(share[at_block], quick, scaled, p, q, axes[c:d]) == (at_block == block)
+                    p, q = p[counts], q[counts]
                 near = (scaled[p] * scaled[q]).sum(axis=1) > threshold - 1e-6
                 p, q = p[near], q[near]
                 x, y = vectors[p], vectors[q]
