@@ -5,8 +5,8 @@ shorter). Pieces of full length are sequences by themselves. The others are deal
 bounded size; each is packed best-fit decreasing. Dual feasible functions bound from below how many
 sequences a partition needs: where the bound is met, the packing is proven best and stays. Partitions
 with a gap hand in the pieces of their sequences that are not full; these are dealt anew over fewer
-partitions, so that pieces meet others, and packed again. A round that does not lower the number of
-sequences is undone and ends the exchange.
+partitions, so that pieces meet others, and packed again, until no gap or one partition is left. A round
+that does not lower the number of sequences is undone and ends the exchange.
 
 Tokens between single blanks and line breaks do not depend on what is beside them, so such chunks are
 remembered per worker. Texts with runs of white space, where that does not hold, are encoded whole.
@@ -255,7 +255,7 @@ def _packer(capacity: int, generation: int):
     return pack
 
 
-def pack_pieces(pieces: DataFrame, scratch: Scratch, capacity: int, part_size: int, rounds: int) -> DataFrame:
+def pack_pieces(pieces: DataFrame, scratch: Scratch, capacity: int, part_size: int) -> DataFrame:
     """``PACKED`` for pieces shorter than ``capacity``."""
     names = [c.split()[0] for c in PACKED.split(", ")]
 
@@ -273,8 +273,8 @@ def pack_pieces(pieces: DataFrame, scratch: Scratch, capacity: int, part_size: i
         again = gaps.where(F.col("load") < capacity)
         count = F.count(F.when(F.col("offset") == 0, 1))
         number, before, origins = again.agg(F.count("*"), count, F.count_distinct("part")).first()
-        # One partition has nobody to exchange with.
-        if generation == rounds or origins < 2:
+        # One partition has nobody to exchange with. Partitions at least halve, so this ends.
+        if origins < 2:
             kept.append(now)
             break
         generation += 1
@@ -293,7 +293,7 @@ def pack_pieces(pieces: DataFrame, scratch: Scratch, capacity: int, part_size: i
 
 def pack_documents(
     docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 2048,
-    part_size: int = 50_000, rounds: int = 4,
+    part_size: int = 50_000,
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` and ``_rid``, a row per piece.
 
@@ -304,7 +304,7 @@ def pack_documents(
         model = file.read()
     rows = numbered(docs, key, scratch, text)
     pieces = scratch.save(tokenized_pieces(rows, key, text, model, capacity), "pieces")
-    short = pack_pieces(pieces.where(F.col("length") < capacity), scratch, capacity, part_size, rounds)
+    short = pack_pieces(pieces.where(F.col("length") < capacity), scratch, capacity, part_size)
     full = pieces.where(F.col("length") == capacity)
     full = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     out = ["_rid", F.col("_key").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
