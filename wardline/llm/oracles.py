@@ -68,3 +68,80 @@ roots as (select a, min(b) as component_id from reach group by a)
 select d.doc_id, coalesce(s.n, 0) as n_shingles, r.component_id
 from documents d join roots r on r.a = d.doc_id left join sizes s on s.doc_id = d.doc_id""",
 }
+
+
+def _personal_data() -> str:
+    """Patterns as RE2 takes them; checksums, neighbours and context words in plain SQL."""
+    digit = "list_transform(range(1, length({d}) + 1), lambda i: ord(substr({d}, i::int, 1)) - 48)"
+    bare = "regexp_replace(value, '[^0-9]', '', 'g')"
+    digits = digit.format(d="d")
+    luhn = f"""list_sum(list_transform(list_reverse({digits}), lambda x, i:
+      case when i % 2 = 1 then x when x > 4 then 2 * x - 9 else 2 * x end)) % 10 = 0"""
+    iban = """list_reduce(list_prepend(0::bigint, list_transform(string_split(
+      replace(substr(value, 5), ' ', '') || left(value, 4), ''), lambda c: (case when c between '0' and '9'
+      then 1000 + ord(c) - 48 else 10000 + ord(c) - 55 end)::bigint)),
+      lambda rest, c: (case when c < 10000 then rest * 10 + c - 1000 else rest * 100 + c - 10000 end) % 97) = 1"""
+    routing = f"list_sum(list_transform({digits}, lambda x, i: x * [3, 7, 1][(i - 1) % 3 + 1])) % 10 = 0 and d <> '000000000'"
+    octets = "len(list_filter(string_split(value, '.'), lambda x: try_cast(ltrim(x, '0') as int) > 255 or length(ltrim(x, '0')) > 3)) = 0"
+    call, net = "phone|tel|telephone|mobile|cell|fax|call", "ip|host|address|server|client"
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", 70, "mail|email|contact", False),
+        ("ip", r"[0-9]+(?:\.[0-9]+){3}", octets, 60, net, False),
+        ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length(d) between 13 and 19 and {luhn}", 90, "card|credit|debit|visa|mastercard|amex", False),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) between 9 and 15", 60, call, False),
+        ("iban", r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)",
+         f"length(replace(value, ' ', '')) between 15 and 34 and {iban}", 90, "iban|account|bank|transfer", True),
+        ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "not regexp_matches(value, '^(000|666|9)|-00-|0000$')", 40, "ssn|social|security|taxpayer", True),
+        ("routing", r"[0-9]{9}", routing, 40, "routing|aba|bank|transfer", True),
+        ("birth", r"[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}", "true", 25, "born|birth|birthday|dob", True),
+        ("local", r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}", "true", 30, call, True),
+        ("ipv6", r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}", "true", 60, net, True),
+    ]
+    counter = "version|release|build|isbn|invoice|order|ticket|example|sample|figure|table"
+    words = sorted({w for k in [*kinds, ("", "", "", 0, counter)] for w in k[4].split("|")}, key=lambda w: (-len(w), w))
+    patterns = [(n, k[1]) for n, k in enumerate(kinds)] + [(99, "|".join(words))]
+    found = " union all ".join(
+        f"""select doc_id, {n} as kind, unnest(regexp_extract_all({body}, '{p}')) as value,
+      generate_subscripts(regexp_extract_all({body}, '{p}'), 1) as i, regexp_split_to_array({body}, '{p}') as gaps from texts"""
+        for n, p in patterns
+        for body in ["small" if n == 99 else "text"]
+    )
+    pick = lambda at: " ".join(f"when {n} then {k[at]}" for n, k in enumerate(kinds))
+    listed = lambda text: ", ".join(f"'{w}'" for w in text.split("|"))
+    said = " ".join(f"when {n} then w.value in ({listed(k[4])})" for n, k in enumerate(kinds))
+    whole = ", ".join(str(n) for n, k in enumerate(kinds) if k[5])
+    names = ", ".join(f"'{k[0]}'" for k in kinds)
+    return f"""
+with texts as (
+  select doc_id, coalesce(text, '') as text,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as small from documents),
+found as ({found}),
+placed as (
+  select doc_id, kind, value, {bare} as d,
+    regexp_matches(right(gaps[i], 1) || '.' || left(gaps[i + 1], 1), '[A-Za-z0-9]') as touched,
+    (sum(length(gaps[i]) + length(value)) over (partition by doc_id, kind order by i))::bigint as e from found),
+spans as (
+  select *, e - length(value) as s from placed
+  where case kind {pick(2)} else true end and not (touched and kind in ({whole}, 99))),
+near as (
+  select p.doc_id, p.kind, p.s, p.e,
+    coalesce(bool_or(case p.kind {said} end), false) as plus, coalesce(bool_or(w.value in ({listed(counter)})), false) as minus
+  from spans p left join spans w on w.doc_id = p.doc_id and w.kind = 99 and
+    ((w.e <= p.s and p.s - w.e <= 60) or (w.s >= p.e and w.s - p.e <= 60))
+  where p.kind < 99 group by all),
+judged as (
+  select n.*, least(greatest(case kind {pick(3)} end + case when plus then 35 else 0 end - case when minus then 30 else 0 end, 0), 100) as points,
+    [{names}][kind + 1] as name from near n),
+kept as (
+  select *, name || ':' || s || ':' || e as shown from judged j
+  where kind < 4 or (points >= 50 and not exists (
+    select 1 from spans b where b.doc_id = j.doc_id and b.kind < 4 and b.s < j.e and b.e > j.s)))
+select t.doc_id, count(*) filter (kind = 0) as n_email, count(*) filter (kind = 1) as n_ip,
+  count(*) filter (kind = 2) as n_card, count(*) filter (kind = 3) as n_phone,
+  sha256(coalesce(string_agg(shown, ',' order by kind, s) filter (kind < 4), '')) as base_sha256,
+  coalesce(string_agg(shown, ',' order by kind, s), '') as spans,
+  coalesce(string_agg(points::varchar, ',' order by kind, s), '') as points
+from texts t left join kept k on k.doc_id = t.doc_id group by t.doc_id"""
+
+
+ORACLES["op13_pii"] = _personal_data()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import decontaminate, embed_join, line_dedup, ngram_join, packing, quality, secrets, suffix_dedup, token_counts, warc
+from wardline.llm import decontaminate, embed_join, line_dedup, ngram_join, packing, pii, quality, secrets, suffix_dedup, token_counts, warc
 from wardline.llm.common import Scratch
 from wardline.llm.oracles import ORACLES  # noqa: F401
 
@@ -114,6 +114,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_spans(table(spark, sf_dir, "documents")))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_line_dedup": op2_line_dedup,
@@ -125,4 +129,5 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_ngram_join": op9_ngram_join,
     "op10_secrets": op10_secrets,
+    "op13_pii": op13_pii,
 }
