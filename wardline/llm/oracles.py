@@ -67,6 +67,40 @@ reach(a, b) as (
 roots as (select a, min(b) as component_id from reach group by a)
 select d.doc_id, coalesce(s.n, 0) as n_shingles, r.component_id
 from documents d join roots r on r.a = d.doc_id left join sizes s on s.doc_id = d.doc_id""",
+    "op11_prefix_trie": r"""
+with turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, md5(
+      length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as pos,
+    {'r': coalesce(role, ''), 't': coalesce(text, '')} as content
+  from conversations where conv_id is not null),
+original as (select conv_id, list(content order by pos) as l from turns group by conv_id),
+heads as (
+  select conv_id, l, conv_id - conv_id % 100 as donor, xor(list_reduce(list_prepend(4294967295::bigint,
+    list_transform(string_split(conv_id::varchar, ''), lambda c: ord(c)::bigint)), lambda crc, b:
+    list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)),
+    4294967295::bigint) % 6 as h from original),
+convs as (
+  select h.conv_id, list_concat(coalesce(d.l, [])[1:h], h.l[h + 1:]) as l
+  from (select conv_id, l, donor, h::int as h from heads) h left join original d on d.conv_id = h.donor),
+paths as (
+  select conv_id, len(l) as length, list_prepend('', list_transform(range(1, len(l) + 1), lambda d: sha256(l[1:d]::json::varchar))) as p,
+    list_prepend(0, list_transform(l, lambda x: length(x.t))) as chars from convs),
+members as (
+  select conv_id, length, p, unnest(range(0, length + 1)) as depth, unnest(p) as node, unnest(chars) as chars from paths),
+nodes as (
+  select node, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(chars) as chars, any_value(p[1:depth + 1]) as path,
+    any_value(case when depth > 0 then p[depth] end) as parent,
+    coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (length = depth), '') as ends
+  from members group by node, depth),
+kids as (select parent, depth - 1 as depth, count(*) as n_children from nodes where parent is not null group by 1, 2),
+facts as (
+  select n.*, coalesce(k.n_children, 0) as n_children from nodes n left join kids k on k.parent = n.node and k.depth = n.depth),
+spread as (
+  select unnest(path) as top, unnest(range(0, depth + 1)) as top_depth, (n_children = 0)::int as leaf, (n_convs - 1) * chars as saved from facts),
+sums as (select top, top_depth, sum(leaf)::bigint as n_leaves, sum(saved)::bigint as saved_tokens from spread group by 1, 2)
+select f.conv_id, f.depth, u.conv_id as parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens,
+  sha256(f.ends) as ends_sha256
+from facts f join sums s on s.top = f.node and s.top_depth = f.depth left join facts u on u.node = f.parent and u.depth = f.depth - 1""",
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import decontaminate, embed_join, line_dedup, ngram_join, packing, pii, quality, secrets, suffix_dedup, token_counts, warc
+from wardline.llm import decontaminate, embed_join, line_dedup, ngram_join, packing, pii, prefix_trie, quality, secrets, suffix_dedup, token_counts, warc
 from wardline.llm.common import Scratch
 from wardline.llm.oracles import ORACLES  # noqa: F401
 
@@ -114,6 +114,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_spans(table(spark, sf_dir, "documents")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "trie")
+    turns, heads = prefix_trie.rebuild(prefix_trie.turn_rows(table(spark, sf_dir, "conversations")), scratch)
+    nodes = prefix_trie.prefix_trie(turns, heads, scratch)
+    names = {"conv": "conv_id", "parent_conv": "parent_conv_id", "saved": "saved_tokens", "ends": "ends_sha256"}
+    return nodes.withColumnsRenamed(names)
+
+
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
 
@@ -129,5 +137,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_ngram_join": op9_ngram_join,
     "op10_secrets": op10_secrets,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_pii": op13_pii,
 }
