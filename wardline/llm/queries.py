@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import decontaminate, embed_join, line_dedup, ngram_join, packing, pii, prefix_trie, quality, secrets, suffix_dedup, token_counts, warc
+from wardline.llm import decontaminate, embed_join, line_dedup, ngram_join, packing, pii, prefix_trie, quality, secrets, suffix_dedup, token_counts, warc, whitening
 from wardline.llm.common import Scratch
 from wardline.llm.oracles import ORACLES  # noqa: F401
 
@@ -122,6 +122,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.withColumnsRenamed(names)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(whitening.integer_vectors(table(spark, sf_dir, "embeddings"))).withColumnRenamed("key", "vec_id")
+
+
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
 
@@ -138,5 +142,6 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_secrets": op10_secrets,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_whitening": op12_whitening,
     "op13_pii": op13_pii,
 }
