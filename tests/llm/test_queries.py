@@ -6,6 +6,7 @@ import os
 import brute
 import corpus_pipeline
 import duckdb
+import numpy as np
 import pytest
 from conftest import SF
 
@@ -38,7 +39,7 @@ def test_against_sql(spark, duck, name):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_packing(spark, texts):
@@ -63,6 +64,20 @@ def test_secrets(spark, texts):
         assert got[doc].base_sha256 == brute.sha256(",".join(brute.base_spans(text)).encode())
 
 
+def test_whitening(spark):
+    rows = QUERIES["op12_whitening"](spark, SF).toPandas()
+    given = table(spark, SF, "embeddings").toPandas()
+    x = np.floor(64 * np.vstack(given.embedding).astype(np.float64)).astype(np.int64) + 1_000_000
+    n, s = len(x), x.sum(0)
+    centred = (n * x - s) / n
+    e, v = np.linalg.eigh(centred.T @ centred / n)
+    want = centred @ v[:, ::-1][:, :32] / np.sqrt(e[::-1][:32])
+    got = rows.pivot(index="vec_id", columns="component", values="whitened").loc[given.vec_id].to_numpy()
+    assert np.abs(got * np.sign((got * want).sum(0)) - want).max() < 1e-8
+    assert (rows[rows.component == 1].set_index("vec_id").deviation.loc[given.vec_id] == ((n * x - s) ** 2).sum(1)).all()
+    assert rows.identity_error.max() < 1e-10 and len(rows) == 32 * n
+
+
 def test_token_counts(spark, texts):
     from tokenizers import Tokenizer, models
 
