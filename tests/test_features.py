@@ -40,7 +40,7 @@ def test_tfidf(spark, limit):
     assert [r.term for r in rows] == terms
     assert [r.idx for r in rows] == list(range(len(terms)))
     assert [r.idf for r in rows] == pytest.approx([idf[t] for t in terms])
-    got = features.transform_tfidf(df, vocabulary, "id", "text", limit).collect()
+    got = features.transform_tfidf(df, vocabulary, "id", "text").collect()
     assert {(r.id, r.idx): r.value for r in got} == pytest.approx(values)
 
 
