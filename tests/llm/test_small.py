@@ -157,6 +157,9 @@ def test_jaccard(spark, odd, n, percent):
             for _ in range(edits):
                 copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
             texts.append(" ".join(copy))
+    for size in (5, 10, 17, 40, 50, 90):  # beginnings of a text: as far apart in size as linked sets can be
+        base = words(rng, size * 2, 10**6).split()
+        texts += [" ".join(base[: size + n - 1]), " ".join(base[: 100 * size // percent + n - 1])]
     got = ngram_join.link_documents(documents(spark, texts), n=n, percent=percent).collect()
     want = brute.jaccard(list(enumerate(texts)), n, percent)
     assert {r._row["doc_id"]: (r.n_shingles, r.component) for r in got} == dict(enumerate(want))

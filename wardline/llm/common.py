@@ -10,6 +10,7 @@ from wardline.session import shared_dir
 
 # A table is broadcast only after its rows have been counted and their bytes stay below this.
 BROADCAST_BYTES = 16_000_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
@@ -27,15 +28,22 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str, mode: str = "errorifexists") -> DataFrame:
-        df.write.mode(mode).option("compression", "zstd").parquet(self.path(name))
+        # Once the table is written, nobody reads the shuffle files that led to it.
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode(mode).option("compression", "zstd").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.read(df.schema, name)
 
     def read(self, schema: T.StructType, name: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def packed(df: DataFrame, **internal: Column) -> DataFrame:

@@ -13,7 +13,7 @@ m = k + 1 + spare blocks, k being the largest symmetric difference that linked s
 have. A linked pair differs in at most k blocks, so spare + 1 blocks are equal. Each set enters the
 lists of its k + 1 largest blocks; the largest of the equal blocks is among them on both sides. Small
 blocks, which popular passages fill alone, are never listed. Blocks depend on sizes through bands;
-sets near the end of a band enter the next one too, so that pairs across bands meet.
+a set enters all bands that a larger partner may lie in, so that pairs across bands meet.
 
 The boundary is the size at which listing subsets gets dearer than listing blocks (``boundary``).
 Sets that may link across it do both.
@@ -98,9 +98,8 @@ class Plan:
         return int(BAND ** (band + 1)) + 1
 
     def bands(self, size: int) -> list[int]:
-        """The own band and, if a larger partner can lie there, the next."""
-        own = self.band(size)
-        return [own] if self.band(self.largest(size)) == own else [own, own + 1]
+        """All bands from the own one to that of the largest partner."""
+        return list(range(self.band(size), self.band(self.largest(size)) + 1))
 
     def blocks(self, band: int) -> tuple[int, int]:
         """Blocks in all and blocks listed."""
@@ -109,6 +108,8 @@ class Plan:
 
     def boundary(self) -> int:
         """Smallest size whose subsets, at most one fewer per lost member, outnumber its listed blocks."""
+        if self.percent == 100:  # equal sets only: a set has one subset, whatever its size
+            return 1 << 62
         size = 1
         while sum(math.comb(size, d) for d in range(self.lacking(size) + 1)) <= 2 * sum(self.blocks(b)[1] for b in self.bands(size)):
             size += 1
@@ -177,7 +178,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int, scratch:
     shared = F.size(F.array_intersect("a", "b"))
     both = pairs.join(left, "src").join(right, "dst").where(100 * shared >= percent * (F.size("a") + F.size("b") - shared))
     out = scratch.save(both.select("src", "dst"), f"{name}-links")
-    scratch.drop(f"{name}-sets")
+    scratch.drop(f"{name}-sets", f"{name}-ids")
     return out
 
 
@@ -197,6 +198,7 @@ def _rare_pairs(members: DataFrame, rows: DataFrame, n: int, percent: int, scrat
     # At most size - ceil(t * size) members stand before the first common one.
     front = ranked.where(100 * (F.col("size") - F.col("place")) >= percent * F.col("size")).join(members, "_rid")
     front = scratch.save(front.where("many > 1").select("gram", "_rid", "part", "size", "place"), "front")
+    scratch.drop("grams")
     a = front.select("gram", *[F.col(c).alias(f"a_{c}") for c in ("_rid", "part", "size", "place")])
     b = front.select("gram", *[F.col(c).alias(f"b_{c}") for c in ("_rid", "part", "size", "place")])
     sizes = F.col("a_size") + F.col("b_size")
@@ -240,13 +242,16 @@ def _components(rows: DataFrame, text: str, n: int, percent: int, scratch: Scrat
     firsts = members.where("_rid = class").select("_rid")
     entries = sets.join(firsts, "_rid", "left_semi").select(F.explode("keys").alias("list"), "_rid")
     entries = scratch.save(entries, "entries")
-    shared = entries.groupBy("list").agg(F.min("_rid").alias("low"), F.max("_rid").alias("high"), F.count("*").alias("many"))
-    shared = scratch.save(shared.where("low < high").select("list", "many"), "shared")
+    sizes = scratch.save(sets.select("_rid", F.col("size").alias("n_shingles")), "sizes")
+    scratch.drop("sets", "classes")
+    shared = entries.groupBy("list").agg(F.count("*").alias("many")).where("many > 1")
+    shared = scratch.save(shared, "shared")
     met = scratch.save(entries.join(small(shared, 24), "list").select("list", "_rid", "many"), "met")
-    scratch.drop("entries")
+    scratch.drop("entries", "shared")
     # The hub of a list: the member that meets most others over all its lists.
     weight = met.groupBy("_rid").agg(F.sum("many").alias("weight"))
     met = scratch.save(met.join(weight, "_rid").select("list", "_rid", "weight"), "weighed")
+    scratch.drop("met")
     hubs = met.groupBy("list").agg(F.max_by("_rid", F.struct("weight", -F.col("_rid"))).alias("hub"))
     first = met.join(hubs, "list").where("_rid != hub")
     pairs = first.select(F.least("_rid", "hub").alias("src"), F.greatest("_rid", "hub").alias("dst")).distinct()
@@ -254,15 +259,18 @@ def _components(rows: DataFrame, text: str, n: int, percent: int, scratch: Scrat
     links = _verified(pairs, slim, n, percent, scratch, "hub")
     named = met.join(_nearest_hub(links), "_rid", "left").select("list", "_rid", F.coalesce("part", "_rid").alias("part"))
     named = scratch.save(named, "named")
+    scratch.drop("weighed")
     mixed = named.groupBy("list").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
     open_ = named.join(mixed.select("list"), "list", "left_semi").groupBy("_rid").agg(F.min("part").alias("part"))
     open_ = scratch.save(open_, "open")
+    scratch.drop("named")
     rest = _rare_pairs(open_, slim, n, percent, scratch).join(pairs, ["src", "dst"], "left_anti")
     rest = scratch.save(rest, "rest")
+    scratch.drop("front", "pairs", "open")
     links = links.union(_verified(rest, slim, n, percent, scratch, "rest"))
     whole = components(links, scratch, "classes-linked").withColumnRenamed("node", "class")
     named = members.join(whole, "class", "left").select("_rid", F.coalesce("component", "class").alias("component"))
-    sizes = sets.select("_rid", F.col("size").alias("n_shingles")).join(named, "_rid", "left")
+    sizes = sizes.join(named, "_rid", "left")
     return scratch.save(sizes.select("_rid", "n_shingles", F.coalesce("component", "_rid").alias("component")), "result")
 
 
