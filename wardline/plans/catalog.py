@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wardline import vocab
 from wardline.functions import checks, rules, scores, spans, text
-from wardline.operators import dashboard, enrich, entities, features, heads, quality, weak_labels
+from wardline.operators import dashboard, enrich, entities, features, heads, quality, rule_tables, weak_labels
 from wardline.session import shared_dir
 from wardline.sources import fixtures, sinks, tables
 from wardline.sources.tables import fill_blank, pad_log, union_log
@@ -245,6 +245,73 @@ def rules_conversations(spark, sf):
     )
 
 
+def _category_table(spark, sf, **options):
+    rows = fixtures.complaints(spark, sf).select("complaint_id", "complaint_text")
+    rules_ = rule_tables.rule_table(spark, vocab.CATEGORY_KEYWORDS)
+    return rule_tables.table_category(rows, rules_, "complaint_text", **options).drop("complaint_text")
+
+
+@query
+def rule_table_category(spark, sf):
+    """The category rule with its lists held as a table."""
+    return _category_table(spark, sf)
+
+
+@query
+def rule_table_category_join(spark, sf):
+    """The same where rules are too large to send out."""
+    return _category_table(spark, sf, most_bytes=0)
+
+
+@query
+def rule_table_levels(spark, sf):
+    """Levels of whole words; the first level with a hit counts."""
+    lists = {"High": vocab.SEVERITY_HIGH, "Medium": vocab.SEVERITY_MEDIUM, "Low": vocab.SEVERITY_LOW}
+    rows = fixtures.complaints(spark, sf).select("complaint_id", "complaint_text")
+    matched = rule_tables.match_rules(rows, rule_tables.rule_table(spark, lists, whole_words=True), "complaint_text")
+    level = rule_tables.first_level(F.col("rule_matches"))
+    return matched.select(
+        "complaint_id", level["category"].alias("severity"), F.array_join(level["keywords"], ",").alias("keywords")
+    )
+
+
+def _phrase_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of neighbouring words of each benchmark item: whole words for odd items, substrings for even ones."""
+    parts = F.filter(F.split(F.lower("text"), " "), lambda w: w != "")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
+    items = fixtures.table(spark, sf, "benchmark").select("item_id", parts.alias("w")).where("size(w) > 1")
+    return items.select(
+        F.col("item_id").cast("string").alias("category"),
+        F.col("item_id").cast("int").alias("priority"),
+        F.explode(F.array_distinct(pairs)).alias("keyword"),
+        (F.col("item_id") % 2 == 1).alias("whole_words"),
+    )
+
+
+def _phrases(spark, sf, **options):
+    docs = fixtures.table(spark, sf, "documents").select("doc_id", "text")
+    matched = rule_tables.match_rules(docs, _phrase_rules(spark, sf), "text", **options)
+    best = rule_tables.most_hits(F.col("rule_matches"))
+    return matched.select(
+        "doc_id",
+        best["category"].alias("item"),
+        best["hits"].cast("long").alias("hits"),
+        F.size("rule_matches").cast("long").alias("items"),
+        F.md5(F.array_join(best["keywords"], "|")).alias("keywords"),
+    )
+
+
+@query
+def rule_table_phrases(spark, sf):
+    """A rule table that grows with the data: which benchmark item a document shares most phrases with."""
+    return _phrases(spark, sf)
+
+
+@query
+def rule_table_phrases_join(spark, sf):
+    return _phrases(spark, sf, most_bytes=0)
+
+
 @query
 def category_fusion(spark, sf):
     rows = fixtures.complaints(spark, sf).select(

@@ -621,6 +621,53 @@ _EVIDENCE = (
     f"else {_q(vocab.KEYWORD_RATIONALE)} || evidence end"
 )
 _add("rule_evidence", f"select complaint_id, keyword as category, {_EVIDENCE} as rationale from cn", "cn")
+ORACLES["rule_table_category"] = ORACLES["rule_table_category_join"] = ORACLES["rule_evidence"]
+
+
+def _whole(x: str, keyword: str) -> str:
+    """Whole-word test for a keyword column: a side that ends in a word character needs an edge there."""
+    edge = lambda side, at: f"case when regexp_matches({side}({keyword}, 1), '{_WORD}') then '{at}' else '' end"
+    pattern = f"{edge('left', f'(^|[^{_WORD[1:]})')} || regexp_escape({keyword}) || {edge('right', f'($|[^{_WORD[1:]})')}"
+    return f"regexp_matches({x}, {pattern})"
+
+
+_LEVELS = {"High": vocab.SEVERITY_HIGH, "Medium": vocab.SEVERITY_MEDIUM, "Low": vocab.SEVERITY_LOW}
+_add(
+    "rule_table_levels",
+    """select c.complaint_id, b.category as severity, b.keywords from cx c left join (
+      select * from hit qualify row_number() over (partition by complaint_text order by rank) = 1) b using (complaint_text)""",
+    "cx",
+    extra=[
+        ("rule(category, rank, keyword)", _values((c, n, kw) for n, (c, kws) in enumerate(_LEVELS.items()) for kw in kws)),
+        ("phrase", "select distinct complaint_text, lower(complaint_text) as t from cx"),
+        ("near", "select * from (select * from phrase join rule on contains(t, keyword) limit 1000000000)"),
+        (
+            "hit",
+            f"""select complaint_text, category, rank, string_agg(distinct keyword, ',' order by keyword) as keywords
+              from near where {_whole('t', 'keyword')} group by all""",
+        ),
+    ],
+)
+_add(
+    "rule_table_phrases",
+    f"""with split as (
+      select item_id, list_filter(string_split(lower(text), ' '), lambda w: w <> '') as w from benchmark),
+    rule as (
+      select item_id, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as keyword
+      from split where len(w) > 1),
+    low as (select doc_id, lower(text) as t from documents),
+    near as materialized (select l.doc_id, l.t, r.item_id, r.keyword from low l join rule r on contains(l.t, r.keyword)),
+    hit as (
+      select doc_id, item_id, count(*) as hits, md5(string_agg(keyword, '|' order by keyword)) as keywords
+      from near where case when item_id % 2 = 0 then true else {_whole('t', 'keyword')} end group by all),
+    best as (
+      select *, count(*) over (partition by doc_id) as items from hit
+      qualify row_number() over (partition by doc_id order by hits desc, item_id) = 1)
+    select d.doc_id, cast(b.item_id as varchar) as item, b.hits,
+      case when d.text is not null then coalesce(b.items, 0) end as items, b.keywords
+    from documents d left join best b using (doc_id)""",
+)
+ORACLES["rule_table_phrases_join"] = ORACLES["rule_table_phrases"]
 _add(
     "rules_documents",
     f"""select d.doc_id, {_severity('text')} as severity, {_urgency('text')} as urgency,
