@@ -92,6 +92,10 @@ def log_summary(
         F.count_if(F.col("ts") >= start).alias("today_count"),
         F.count_if(F.col("urgent")).alias("urgent"),
     )
+    return _summary(sets)
+
+
+def _summary(sets: DataFrame) -> DataFrame:
     whole, by_issue, by_location = (F.col("gid") == F.lit(g) for g in (3, 1, 2))
 
     def top(column: str, rows: Column) -> Column:
@@ -179,14 +183,16 @@ def daily_urgency(df: DataFrame) -> DataFrame:
 def in_range(df: DataFrame, start: str, end: str) -> DataFrame:
     """Rows with ``start <= created_at < end`` in UTC.
 
-    Times are compared as times, whatever offset their text has. A log in folders by day reads those
+    Times and bounds are compared as times, whatever offset their text has. A log in folders by day reads those
     of the range only; stored times prune files.
     """
     ts = event_time(df)
     kind = df.select(ts).schema[0].dataType
-    rows = df.filter((ts >= F.lit(start).cast(kind)) & (ts < F.lit(end).cast(kind)))
+    # Bounds are times first: an offset in their text may move them to another day.
+    bounds = [F.lit(x).cast("timestamp") for x in (start, end)]
+    rows = df.filter((ts >= bounds[0].cast(kind)) & (ts < bounds[1].cast(kind)))
     if "created_date" in df.columns:
-        days = [F.lit(x).cast("date").cast("string") for x in (start, end)]
+        days = [x.cast("date").cast("string") for x in bounds]
         rows = rows.filter(F.col("created_date").between(*days))
     return rows
 
@@ -228,7 +234,12 @@ def location_hotspots(
     df: DataFrame, limit: int = 10, urgent_labels: Sequence[str] = ANY_URGENT
 ) -> DataFrame:
     located = df.filter(F.col("location").isNotNull())
-    counted = located.groupBy("location").agg(_count(), F.count_if(is_urgent(urgent_labels)).alias("urgent"))
+    return _hotspots(
+        located.groupBy("location").agg(_count(), F.count_if(is_urgent(urgent_labels)).alias("urgent")), limit
+    )
+
+
+def _hotspots(counted: DataFrame, limit: int) -> DataFrame:
     return (
         counted.orderBy(F.desc("n"), "location")
         .limit(limit)
@@ -245,6 +256,56 @@ def recommendation_load(df: DataFrame, recommendations: Column) -> DataFrame:
     )
 
 
+CUBE_KEYS = ["issue_type", "severity", "urgency", "location", "day"]
+CUBE_SCHEMA = "issue_type string, severity string, urgency string, location string, day date, n long, last_update timestamp"
+
+
+def log_cube(df: DataFrame) -> DataFrame:
+    """The log as counts per issue, severity, urgency, location and day: all that the charts need."""
+    keys = [F.col(c) for c in CUBE_KEYS[:-1]]
+    facts = df.select(*keys, event_day(df).alias("day"), event_time(df).cast("timestamp").alias("ts"))
+    return facts.groupBy(CUBE_KEYS).agg(_count(), F.max("ts").alias("last_update"))
+
+
+def merge_cubes(cubes: DataFrame) -> DataFrame:
+    """One cube from the rows of several."""
+    return cubes.groupBy(CUBE_KEYS).agg(F.sum("n").alias("n"), F.max("last_update").alias("last_update"))
+
+
+def cube_summary(cube: DataFrame, as_of: date, urgent_labels: Sequence[str] = STRICT_URGENT) -> DataFrame:
+    """``log_summary`` from a cube."""
+    sets = cube.withColumn("urgent", is_urgent(urgent_labels)).groupingSets(
+        [[], [F.col("issue_type")], [F.col("location")]], F.col("issue_type"), F.col("location")
+    ).agg(
+        F.grouping_id().alias("gid"),
+        F.sum("n").alias("n"),
+        F.max("last_update").alias("last_update"),
+        F.coalesce(F.sum(F.when(F.col("day") >= F.lit(as_of), F.col("n"))), F.lit(0)).alias("today_count"),
+        F.coalesce(F.sum(F.when(F.col("urgent"), F.col("n"))), F.lit(0)).alias("urgent"),
+    )
+    return _summary(sets.withColumnRenamed("issue_type", "issue"))
+
+
+def cube_hotspots(cube: DataFrame, limit: int = 10, urgent_labels: Sequence[str] = ANY_URGENT) -> DataFrame:
+    """``location_hotspots`` from a cube."""
+    urgent = F.coalesce(F.sum(F.when(is_urgent(urgent_labels), F.col("n"))), F.lit(0))
+    located = cube.filter(F.col("location").isNotNull())
+    return _hotspots(located.groupBy("location").agg(F.sum("n").alias("n"), urgent.alias("urgent")), limit)
+
+
+def cube_rollup(cube: DataFrame) -> DataFrame:
+    """``dashboard_rollup`` from a cube."""
+    shown = cube.select(
+        F.coalesce("issue_type", F.lit("")).alias("issue"),
+        "severity",
+        "urgency",
+        "location",
+        F.col("day").cast("string").alias("day"),
+        F.col("n").alias("c"),
+    )
+    return _charts(shown)
+
+
 def dashboard_rollup(df: DataFrame) -> DataFrame:
     """All distributions from one scan: ``chart, key1, key2, n``.
 
@@ -262,6 +323,10 @@ def dashboard_rollup(df: DataFrame) -> DataFrame:
         .groupBy("issue", "severity", "urgency", "location", "day")
         .agg(F.count(F.lit(1)).alias("c"))
     )
+    return _charts(cube)
+
+
+def _charts(cube: DataFrame) -> DataFrame:
     issue, severity, urgency, location, day = (
         F.col(c) for c in ("issue", "severity", "urgency", "location", "day")
     )

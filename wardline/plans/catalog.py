@@ -14,9 +14,9 @@ from wardline import vocab
 from wardline.functions import checks, rules, scores, spans, text
 from wardline.operators import dashboard, enrich, entities, features, heads, quality, rule_tables, weak_labels
 from wardline.session import shared_dir
-from wardline.sources import fixtures, sinks, tables
+from wardline.sources import commits, fixtures, sinks, tables
 from wardline.sources.tables import fill_blank, pad_log, union_log
-from wardline.streaming import live
+from wardline.streaming import cubes, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -952,13 +952,25 @@ def log_roundtrip(spark, sf):
 @query
 def log_range(spark, sf):
     """Days of a range of a written log whose times are text with offsets."""
+    log = _offset_log(spark, sf)
+    return dashboard.daily_counts(dashboard.in_range(log, "2024-01-10", "2024-01-20"))
+
+
+@query
+def log_range_offsets(spark, sf):
+    """The same with bounds that carry offsets and fall on other days in UTC."""
+    log = _offset_log(spark, sf)
+    return dashboard.daily_counts(dashboard.in_range(log, "2024-01-09T20:30:00-05:00", "2024-01-19T23:30:00-05:00"))
+
+
+def _offset_log(spark, sf):
     path = shared_dir(spark, "log")
     offset = F.array_position(F.array(F.lit(0), F.lit(1), F.lit(2)), (F.col("complaint_id") % 4).cast("int"))
     shown = F.when(offset == 1, "Z").when(offset == 2, "+05:30").when(offset == 3, "-05:00").otherwise("")
     stamp = F.concat(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"), shown)
     log = fixtures.complaint_log(spark, sf).withColumn("created_at", stamp)
     sinks.append_log(enrich.log_rows(log), path)
-    return dashboard.daily_counts(dashboard.in_range(tables.read_enriched_log(spark, path), "2024-01-10", "2024-01-20"))
+    return tables.read_enriched_log(spark, path)
 
 
 @query
@@ -1007,3 +1019,53 @@ def stream_windows(spark, sf):
 @query
 def stream_sliding_windows(spark, sf):
     return _stream_windows(spark, sf, "1 day", "2 days")
+
+
+def _log_in_batches(spark, sf, count: int) -> list[DataFrame]:
+    log = fixtures.complaint_log(spark, sf)
+    return [log.where(F.pmod(F.xxhash64("complaint_id"), F.lit(count)) == n) for n in range(count)]
+
+
+def _counted_cube(spark, sf) -> DataFrame:
+    """Ten batches and a repeated one, added by two objects as before and after a restart."""
+    path, batches = shared_dir(spark, "cube"), _log_in_batches(spark, sf, 10)
+    for number in [0, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9]:
+        cubes.LiveCube(spark, path, fanout=4).add(batches[number], number)
+    return cubes.LiveCube(spark, path).read()
+
+
+@query
+def live_rollup(spark, sf):
+    """All charts from the counts of ten batches."""
+    return dashboard.cube_rollup(_counted_cube(spark, sf))
+
+
+@query
+def live_hotspots(spark, sf):
+    return dashboard.cube_hotspots(_counted_cube(spark, sf))
+
+
+@query
+def live_summary(spark, sf):
+    return dashboard.cube_summary(_counted_cube(spark, sf), AS_OF, dashboard.ANY_URGENT).withColumn("last_update", F.col("last_update").cast("timestamp_ntz"))
+
+
+@query
+def stream_cube(spark, sf):
+    """Charts of a stream of complaints: enriched and counted, the log is never read again."""
+    cube, checkpoint = cubes.LiveCube(spark, shared_dir(spark, "cube")), shared_dir(spark, "checkpoint")
+    log = fixtures.log_from(fixtures.complaints_from(_stream_events(spark, sf)))
+    cubes.live_cube(log, cube, checkpoint).awaitTermination()
+    return dashboard.cube_rollup(cube.read())
+
+
+@query
+def log_committed(spark, sf):
+    """A log taken in by batches, one of them twice, and compacted half-way: each row counts once."""
+    rows = [enrich.log_rows(b, "complaint_id") for b in _log_in_batches(spark, sf, 4)]
+    log = commits.CommittedLog(spark, shared_dir(spark, "log"), rows[0].schema)
+    for number in [0, 1, 1, 2]:
+        log.append(rows[number], number)
+    log.compact()
+    log.append(rows[3], 3)
+    return log.read().select("complaint_id", "issue_type", "severity", "urgency", "location", "created_date")

@@ -1196,6 +1196,21 @@ _add(
     where moment >= timestamp '2024-01-10' and moment < timestamp '2024-01-20' group by 1""",
     "lx",
 )
+_add(
+    "log_range_offsets",
+    """select cast(moment as date) as day, count(*) as n from (
+      select created_at + case complaint_id % 4 when 1 then interval '-330 minutes' when 2 then interval '5 hours'
+        else interval '0 minutes' end as moment from lx)
+    where moment >= timestamp '2024-01-10 01:30:00' and moment < timestamp '2024-01-20 04:30:00' group by 1""",
+    "lx",
+)
+_add(
+    "log_committed",
+    """select complaint_id, coalesce(issue_type, '') as issue_type, coalesce(severity, '') as severity,
+      coalesce(urgency, '') as urgency, coalesce(location, '') as location,
+      cast(cast(created_at as date) as varchar) as created_date from lx""",
+    "lx",
+)
 _add(
     "encode_udf",
     f"""select doc_id, cast(('0x' || left(md5(w), 8))::bigint % {catalog.HASH_DIM} as integer) as idx,
@@ -1221,3 +1236,8 @@ _add(
       from lx cross join (select unnest([0, 1]) as back) where urgency is not null group by all)""",
     "lx",
 )
+for _name, _same in (
+    ("live_rollup", "dashboard_rollup"), ("live_hotspots", "location_hotspots"), ("live_summary", "log_summary"),
+    ("stream_cube", "dashboard_rollup"),
+):
+    ORACLES[_name] = ORACLES[_same]

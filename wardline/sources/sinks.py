@@ -13,10 +13,15 @@ def append_log(df: DataFrame, path: str) -> None:
     written: small days share tasks and become one file each, a day that holds much of the table is
     split into files of the advised size.
     """
+    rows = dated(df).hint("rebalance", F.col("created_date"))
+    rows.write.mode("append").partitionBy("created_date").parquet(path)
+
+
+def dated(df: DataFrame) -> DataFrame:
+    """``df`` with ``created_ts``, a UTC time, and ``created_date``, its day or ``unknown``."""
     time = F.try_to_timestamp(F.col("created_at").cast("string"))
     day = F.coalesce(F.to_date(time).cast("string"), F.lit("unknown"))
-    dated = df.withColumns({"created_ts": time, "created_date": day}).hint("rebalance", F.col("created_date"))
-    dated.write.mode("append").partitionBy("created_date").parquet(path)
+    return df.withColumns({"created_ts": time, "created_date": day})
 
 
 def append_csv(df: DataFrame, path: str) -> None:
