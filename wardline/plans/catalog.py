@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wardline import vocab
 from wardline.functions import checks, rules, scores, spans, text
-from wardline.operators import dashboard, enrich, entities, features, heads, quality, rule_tables, weak_labels
+from wardline.operators import dashboard, enrich, entities, features, heads, quality, rule_tables, span_quality as span_scores, weak_labels
 from wardline.session import shared_dir
 from wardline.sources import commits, fixtures, sinks, tables
 from wardline.sources.tables import fill_blank, pad_log, union_log
@@ -684,6 +684,17 @@ def gazetteer_entities_inline(spark, sf):
     return _span_rows(rows, "complaint_id", "entities")
 
 
+@query
+def span_quality(spark, sf):
+    """Gazetteer entities judged by the entity lists that complaints carry, places under one label."""
+    names = entities.seed_gazetteer(spark)
+    found = entities.extract_entities(fixtures.complaints(spark, sf), names, "complaint_id", "complaint_text")
+    places = ["LOC", "GPE", "LOCATION"]
+    sides = [span_scores.one_label(span_scores.span_rows(x, "complaint_id"), places, "LOC") for x in (found, _cleaned_entities(spark, sf))]
+    done = span_scores.span_quality(*sides)
+    return done.select(*[_r(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in done.dtypes])
+
+
 @query
 def clean_entities(spark, sf):
     return _span_rows(_cleaned_entities(spark, sf), "complaint_id", "entities")

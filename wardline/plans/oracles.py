@@ -935,6 +935,56 @@ _add(
     "select complaint_id, pos, text, label, s as span_start, e as span_end from en",
     "en",
 )
+
+
+def _spans_of(source: str) -> str:
+    return f"""select *, row_number() over (partition by complaint_id, label, s, e) as twin from (
+      select complaint_id, case when upper(label) in ('LOC', 'GPE', 'LOCATION') then 'LOC' else upper(label) end as label, s, e
+      from {source})"""
+
+
+_RATES = ", ".join(
+    f"""round(case when {whole} > 0 then cast({part} as double) / ({whole}) end, 6) as {kind}_{name}"""
+    for kind in ("exact", "overlap")
+    for name, part, whole in (
+        ("precision", kind, "predicted"), ("recall", kind, "annotated"), ("f1", f"2 * {kind}", "(predicted + annotated)")
+    )
+)
+_add(
+    "span_quality",
+    f"""select label, predicted, annotated, exact, overlap, {_RATES} from (
+      select label, cast(sum(p) as bigint) as predicted, cast(sum(a) as bigint) as annotated,
+        cast(sum(x) as bigint) as exact, cast(sum(o) as bigint) as overlap
+      from (
+        select l.label, c.* exclude (label) from sq_counts c cross join lateral (select unnest([c.label, '*']) as label) l)
+      group by label)""",
+    "spotted", "en",
+    extra=[
+        ("sq_p", _spans_of("spotted")),
+        ("sq_a", _spans_of("en")),
+        (
+            "sq_pairs",
+            """select p.complaint_id, p.label, concat_ws(':', p.s, p.e, p.twin) as p, concat_ws(':', a.s, a.e, a.twin) as a,
+              row_number() over (partition by p.complaint_id, p.label order by
+                (least(p.e, a.e) - greatest(p.s, a.s)) / cast(greatest(p.e, a.e) - least(p.s, a.s) as double) desc,
+                p.s, p.e, p.twin, a.s, a.e, a.twin) as place
+            from sq_p p join sq_a a using (complaint_id, label) where p.s < a.e and a.s < p.e""",
+        ),
+        (
+            "sq_matched",
+            """select label, len(list_reduce(list({'p': [p], 'a': [a]} order by place), lambda kept, x:
+                case when list_has_any(kept.p, x.p) or list_has_any(kept.a, x.a) then kept
+                  else {'p': list_concat(kept.p, x.p), 'a': list_concat(kept.a, x.a)} end).p) as n
+            from sq_pairs group by complaint_id, label""",
+        ),
+        (
+            "sq_counts",
+            """select label, 1 as p, 0 as a, 0 as x, 0 as o from sq_p union all select label, 0, 1, 0, 0 from sq_a
+            union all select label, 0, 0, 1, 0 from sq_p join sq_a using (complaint_id, label, s, e, twin)
+            union all select label, 0, 0, 0, n from sq_matched""",
+        ),
+    ],
+)
 _add(
     "first_location",
     """select complaint_id, coalesce((select first(n.text order by n.pos) from en n
