@@ -23,6 +23,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = shared_dir(spark, name)
+        # Spark removes the shuffle files of earlier queries once the JVM has collected their plans.
+        spark._jvm.System.gc()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -31,7 +31,7 @@ a text with fewer than n words is one n-gram; rows with equal or null ids are do
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -45,6 +45,8 @@ GOLD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 BAND = 1.4  # sizes of a band reach from its start to BAND times that
 SPARE = 0.15  # blocks left out, as a share of those listed
+ENTRIES = 5_000_000  # more list entries than these are handled a slice of the lists at a time,
+SLICES = 4  # so that no shuffle holds them all on disk
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -244,26 +246,43 @@ def _components(rows: DataFrame, text: str, n: int, percent: int, scratch: Scrat
     entries = scratch.save(entries, "entries")
     sizes = scratch.save(sets.select("_rid", F.col("size").alias("n_shingles")), "sizes")
     scratch.drop("sets", "classes")
-    shared = entries.groupBy("list").agg(F.count("*").alias("many")).where("many > 1")
-    shared = scratch.save(shared, "shared")
-    met = scratch.save(entries.join(small(shared, 24), "list").select("list", "_rid", "many"), "met")
-    scratch.drop("entries", "shared")
+    slices = 1 if entries.count() <= ENTRIES else SLICES
+
+    def by_slice(df: DataFrame, step: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+        for number in range(slices):
+            part = df.where(F.pmod("list", F.lit(slices)) == number) if slices > 1 else df
+            out = scratch.save(step(part), name, "append")
+        return out
+
+    def shared(part: DataFrame) -> DataFrame:
+        counts = part.groupBy("list").agg(F.count("*").alias("many")).where("many > 1")
+        return part.join(counts, "list").select("list", "_rid", "many")
+
+    met = by_slice(entries, shared, "met")
+    scratch.drop("entries")
     # The hub of a list: the member that meets most others over all its lists.
-    weight = met.groupBy("_rid").agg(F.sum("many").alias("weight"))
-    met = scratch.save(met.join(weight, "_rid").select("list", "_rid", "weight"), "weighed")
-    scratch.drop("met")
-    hubs = met.groupBy("list").agg(F.max_by("_rid", F.struct("weight", -F.col("_rid"))).alias("hub"))
-    first = met.join(hubs, "list").where("_rid != hub")
-    pairs = first.select(F.least("_rid", "hub").alias("src"), F.greatest("_rid", "hub").alias("dst")).distinct()
-    pairs = scratch.save(pairs, "pairs")
+    weight = scratch.save(met.groupBy("_rid").agg(F.sum("many").alias("weight")), "weight")
+    known = small(weight, 24)
+
+    def to_hub(part: DataFrame) -> DataFrame:
+        weighed = part.join(known, "_rid")
+        hubs = weighed.groupBy("list").agg(F.max_by("_rid", F.struct("weight", -F.col("_rid"))).alias("hub"))
+        first = part.join(hubs, "list").where("_rid != hub")
+        return first.select(F.least("_rid", "hub").alias("src"), F.greatest("_rid", "hub").alias("dst")).distinct()
+
+    pairs = scratch.save(by_slice(met, to_hub, "to-hub").distinct(), "pairs")
+    scratch.drop("to-hub", "weight")
     links = _verified(pairs, slim, n, percent, scratch, "hub")
-    named = met.join(_nearest_hub(links), "_rid", "left").select("list", "_rid", F.coalesce("part", "_rid").alias("part"))
-    named = scratch.save(named, "named")
-    scratch.drop("weighed")
-    mixed = named.groupBy("list").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    open_ = named.join(mixed.select("list"), "list", "left_semi").groupBy("_rid").agg(F.min("part").alias("part"))
+    parts = small(scratch.save(_nearest_hub(links), "parts"), 24)
+
+    def mixed(part: DataFrame) -> DataFrame:
+        named = part.join(parts, "_rid", "left").select("list", "_rid", F.coalesce("part", "_rid").alias("part"))
+        several = named.groupBy("list").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+        return named.join(several.select("list"), "list", "left_semi").groupBy("_rid").agg(F.min("part").alias("part"))
+
+    open_ = by_slice(met, mixed, "mixed").groupBy("_rid").agg(F.min("part").alias("part"))
     open_ = scratch.save(open_, "open")
-    scratch.drop("named")
+    scratch.drop("met", "mixed", "parts")
     rest = _rare_pairs(open_, slim, n, percent, scratch).join(pairs, ["src", "dst"], "left_anti")
     rest = scratch.save(rest, "rest")
     scratch.drop("front", "pairs", "open")
