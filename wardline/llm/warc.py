@@ -34,15 +34,10 @@ RECORDS = (
 
 
 def base32_sha1(payload: Column) -> Column:
-    """SHA-1 in upper-case base 32, 20 bits (5 hex digits, 4 letters) at a time."""
+    """SHA-1 in upper-case base 32: ten hex digits make eight of base 32, spelled with other signs."""
     digits = F.sha1(payload)
-    letters = F.array(*[F.lit(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"])
-
-    def four(i: Column) -> Column:
-        bits = F.conv(F.substring(digits, i * 5 + F.lit(1), F.lit(5)), 16, 10).cast("int")
-        return F.concat(*[F.get(letters, F.shiftright(bits, s).bitwiseAND(F.lit(31))) for s in (15, 10, 5, 0)])
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), four), "")
+    eights = [F.lpad(F.conv(F.substring(digits, at, 10), 16, 32), 8, "0") for at in (1, 11, 21, 31)]
+    return F.translate(F.concat(*eights), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def record_id(number: Column, part: str) -> Column:
