@@ -194,13 +194,21 @@ def _rare_pairs(members: DataFrame, rows: DataFrame, n: int, percent: int, scrat
     ids = small(members.select("_rid"), 16)
     grams = _sets(rows.join(ids, "_rid", "left_semi"), n, None).select("_rid", "size", F.explode("keys").alias("gram"))
     grams = scratch.save(grams, "grams")
-    counts = grams.groupBy("gram").agg(F.count("*").alias("many"))
+    # Whatever occurs once stands in front of all that is shared and pairs with nothing.
+    counts = grams.groupBy("gram").agg(F.count("*").alias("many")).where("many > 1")
+    counts = scratch.save(counts, "counts")
     order = Window.partitionBy("_rid").orderBy("many", "gram")
-    ranked = grams.join(counts, "gram").withColumn("place", F.row_number().over(order) - 1)
-    # At most size - ceil(t * size) members stand before the first common one.
-    front = ranked.where(100 * (F.col("size") - F.col("place")) >= percent * F.col("size")).join(members, "_rid")
-    front = scratch.save(front.where("many > 1").select("gram", "_rid", "part", "size", "place"), "front")
-    scratch.drop("grams")
+    slices = 1 if grams.count() <= ENTRIES else SLICES
+    for number in range(slices):
+        part = grams.where(F.pmod(F.xxhash64("_rid"), F.lit(slices)) == number) if slices > 1 else grams
+        known = part.join(counts, "gram")
+        once = F.col("size") - F.count("*").over(Window.partitionBy("_rid"))
+        ranked = known.withColumn("place", once + F.row_number().over(order) - 1)
+        # At most size - ceil(t * size) members stand before the first common one.
+        front = ranked.where(100 * (F.col("size") - F.col("place")) >= percent * F.col("size"))
+        front = scratch.save(front.select("gram", "_rid", "size", "place"), "front", "append")
+    scratch.drop("grams", "counts")
+    front = front.join(small(members, 24), "_rid")
     a = front.select("gram", *[F.col(c).alias(f"a_{c}") for c in ("_rid", "part", "size", "place")])
     b = front.select("gram", *[F.col(c).alias(f"b_{c}") for c in ("_rid", "part", "size", "place")])
     sizes = F.col("a_size") + F.col("b_size")
