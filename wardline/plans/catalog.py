@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wardline import vocab
 from wardline.functions import checks, rules, scores, spans, text
-from wardline.operators import dashboard, enrich, entities, features, heads, quality, rule_tables, span_quality as span_scores, weak_labels
+from wardline.operators import dashboard, enrich, entities, features, heads, quality, rule_tables, softmax_heads, span_quality as span_scores, weak_labels
 from wardline.session import shared_dir
 from wardline.sources import commits, fixtures, sinks, tables
 from wardline.sources.tables import fill_blank, pad_log, union_log
@@ -427,7 +427,10 @@ def eval_metrics(spark, sf):
     )
     train = truth.filter("part = 'trained'")
     model = heads.train_naive_bayes(train, "text", DOCUMENT_HEADS, shared_dir(spark, "document-heads"))
-    scored = heads.row_scorer(model, "text")(truth)
+    return _judged_heads(heads.row_scorer(model, "text")(truth))
+
+
+def _judged_heads(scored: DataFrame) -> DataFrame:
     per_head = F.array(
         *[
             F.struct(
@@ -445,6 +448,15 @@ def eval_metrics(spark, sf):
     )
 
 
+@query
+def softmax_eval(spark, sf):
+    """The same rows and measures with heads trained by softmax regression."""
+    truth = _labelled_documents(spark, sf).withColumn("part", F.when(_held_out(), "held_out").otherwise("trained"))
+    train = truth.filter("part = 'trained'")
+    model = softmax_heads.train_softmax(train, "doc_id", "text", DOCUMENT_HEADS, shared_dir(spark, "softmax-heads"), l2=1e-4, rounds=10)
+    return _judged_heads(truth.join(softmax_heads.score_softmax(truth, model, "doc_id", "text"), "doc_id"))
+
+
 @query
 def stub_scores(spark, sf):
     cleaned = fixtures.complaints(spark, sf).withColumn(
