@@ -86,3 +86,42 @@ def test_vectors(spark):
     assert got == [None, "null_vector", "nan_value", "inf_value", "wrong_dimension"]
     assert df.filter(checks.vector_error(F.col("v")).isNull()).count() == 2
     assert df.select(checks.as_vector(F.col("v"), "float").alias("v")).schema["v"].dataType.simpleString() == "array<float>"
+
+
+def _coded(spark, n=50):
+    rows = [(i, [None, "a", "b", "odd"][i % 4], [["w"], [], ["w", "w"], ["x"]][i % 4]) for i in range(n)]
+    return spark.createDataFrame(rows, "id int, error string, warnings array<string>")
+
+
+def _counts(report):
+    return {(r.level, r.code): r.n for r in report.collect()}
+
+
+def test_report_observed_while_writing(spark, tmp_path):
+    checked = _coded(spark)
+    observed = _counts(quality.write_clean(checked, str(tmp_path / "a"), ["a", "b", "odd", "never"], ["w", "x"]))
+    assert observed == _counts(quality.report(checked))
+    clean = spark.read.parquet(str(tmp_path / "a"))
+    assert sorted(r.id for r in clean.collect()) == list(range(0, 50, 4)) and clean.columns == ["id"]
+    unknown = _counts(quality.write_clean(checked, str(tmp_path / "b"), ["a"]))
+    assert unknown == {("error", "a"): 13, ("error", "other"): 24, ("warning", "other"): 13 + 24 + 12}
+    empty = quality.write_clean(checked.limit(0), str(tmp_path / "c"), ["a"], most_errors=0.0)
+    assert _counts(empty) == {}
+
+
+def test_too_many_errors(spark, tmp_path):
+    with pytest.raises(quality.TooManyErrors) as stopped:
+        quality.write_clean(_coded(spark), str(tmp_path / "a"), ["a", "b", "odd"], most_errors=0.5)
+    assert stopped.value.rows == 50 and stopped.value.counts["error", "b"] == 12
+
+
+def test_report_of_a_stream(spark, tmp_path):
+    _coded(spark).write.parquet(str(tmp_path / "in"))
+    reports = {}
+
+    def take(batch, number):
+        reports[number] = _counts(quality.write_clean(batch, str(tmp_path / f"out-{number}"), ["a", "b", "odd"], ["w", "x"]))
+
+    stream = spark.readStream.schema("id int, error string, warnings array<string>").parquet(str(tmp_path / "in"))
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert reports == {0: _counts(quality.report(_coded(spark)))}

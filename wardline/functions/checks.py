@@ -37,6 +37,10 @@ def kept_scores(entries: Column, min_confidence: float = 0.0) -> Column:
     return F.transform(whole, lambda x: entry(x["label"], _number(x["score"]))).cast(SCORES)
 
 
+SCORE_ERRORS = ["null_output", "empty_output", "missing_label", "missing_score", "score_not_numeric", "below_confidence"]
+SCORE_WARNINGS = ["score_out_of_range", "unexpected_label"]
+
+
 def scores_error(entries: Column, min_confidence: float = 0.0) -> Column:
     """Code of the first error of a score list, NULL when it is usable."""
     item_codes = F.transform(

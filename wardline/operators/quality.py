@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -56,3 +58,37 @@ def match_rows(labels: DataFrame, probabilities: DataFrame, key: str) -> DataFra
         )
         .drop("_has_label", "_has_probabilities")
     )
+
+
+class TooManyErrors(ValueError):
+    """More rows have errors than allowed; ``counts`` says which."""
+
+    def __init__(self, counts: dict[tuple[str, str], int], rows: int):
+        bad = sum(n for (level, _), n in counts.items() if level == "error")
+        super().__init__(f"{bad} of {rows} rows have errors: {counts}")
+        self.counts, self.rows = counts, rows
+
+
+def write_clean(
+    checked: DataFrame, path: str, errors: Sequence[str], warnings: Sequence[str] = (), most_errors: float = 1.0
+) -> DataFrame:
+    """Write the clean rows and report on all of them in the same pass: ``level, code, n`` as ``report``.
+
+    The counts are observed while the rows go by, so nothing is read twice; in a stream, call it on each
+    batch. Codes that are not listed count as ``other``. With more than ``most_errors`` of the rows in error it
+    raises ``TooManyErrors``; the rows are then written, and the caller leaves them unpublished.
+    """
+    kinds = {("error", c): F.count_if(F.col("error") == c) for c in errors}
+    kinds["error", "other"] = F.count_if(F.col("error").isNotNull() & ~F.col("error").isin(list(errors)))
+    kinds |= {("warning", c): F.sum(F.size(F.filter("warnings", lambda w: w == c))) for c in warnings}  # noqa: B023
+    kinds["warning", "other"] = F.sum(F.size(F.filter("warnings", lambda w: ~w.isin(list(warnings)))))
+    seen = Observation()
+    named = [n.alias(f"n{i}") for i, n in enumerate(kinds.values())]
+    watched = checked.observe(seen, F.count(F.lit(1)).alias("rows"), *named)
+    split(watched)[0].write.parquet(path)
+    found = seen.get
+    counts = {kind: found[f"n{i}"] for i, kind in enumerate(kinds) if found[f"n{i}"]}
+    bad = sum(n for (level, _), n in counts.items() if level == "error")
+    if bad > most_errors * found["rows"]:
+        raise TooManyErrors(counts, found["rows"])
+    return checked.sparkSession.createDataFrame([(*kind, n) for kind, n in counts.items()], "level string, code string, n long")

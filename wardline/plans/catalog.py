@@ -881,6 +881,14 @@ def violation_report(spark, sf):
     return quality.report(_checked_scores(spark, sf))
 
 
+@query
+def violation_observed(spark, sf):
+    """The same report, observed while the clean rows are written."""
+    return quality.write_clean(
+        _checked_scores(spark, sf), shared_dir(spark, "clean"), checks.SCORE_ERRORS, checks.SCORE_WARNINGS
+    )
+
+
 # --- features ------------------------------------------------------------------------
 
 

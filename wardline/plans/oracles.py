@@ -1291,3 +1291,4 @@ for _name, _same in (
     ("stream_cube", "dashboard_rollup"),
 ):
     ORACLES[_name] = ORACLES[_same]
+ORACLES["violation_observed"] = ORACLES["violation_report"]
