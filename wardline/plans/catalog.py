@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wardline import vocab
 from wardline.functions import checks, rules, scores, spans, text
-from wardline.operators import dashboard, enrich, entities, features, heads, quality, rule_tables, softmax_heads, span_quality as span_scores, weak_labels
+from wardline.operators import dashboard, enrich, entities, features, heads, quality, rule_tables, sketches, softmax_heads, span_quality as span_scores, weak_labels
 from wardline.session import shared_dir
 from wardline.sources import commits, fixtures, sinks, tables
 from wardline.sources.tables import fill_blank, pad_log, union_log
@@ -815,6 +815,23 @@ def top_terms_documents(spark, sf):
 # --- quality -------------------------------------------------------------------------
 
 
+@query
+def heavy_terms_documents(spark, sf):
+    """The same from sketches, with the proof that none is lost."""
+    return sketches.heavy_terms(fixtures.table(spark, sf, "documents"), "text", tracked=100_000)
+
+
+@query
+def distinct_by_range(spark, sf):
+    """Distinct issues and places of three ranges from stored sketches per day."""
+    path, columns = shared_dir(spark, "distinct"), ["issue_type", "location"]
+    sketches.daily_distinct(fixtures.complaint_log(spark, sf), columns).write.parquet(path)
+    stored = spark.read.parquet(path)
+    ranges = {"all": None, "one day": F.col("day") == "2024-01-05", "a week": F.col("day").between("2024-01-08", "2024-01-14")}
+    parts = [sketches.merged_distinct(stored, columns, days).select(F.lit(n).alias("days"), "*") for n, days in ranges.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def _checked_scores(spark, sf, min_confidence=0.0):
     entries = F.col("entries")
     return quality.check(

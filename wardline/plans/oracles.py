@@ -1292,3 +1292,17 @@ for _name, _same in (
 ):
     ORACLES[_name] = ORACLES[_same]
 ORACLES["violation_observed"] = ORACLES["violation_report"]
+ORACLES["heavy_terms_documents"] = ORACLES["top_terms_documents"]
+_add(
+    "distinct_by_range",
+    " union all ".join(
+        f"""select '{name}' as days, count(distinct issue_type) as issue_type, count(distinct location) as location
+        from lx where {where}"""
+        for name, where in (
+            ("all", "true"),
+            ("one day", "cast(created_at as date) = date '2024-01-05'"),
+            ("a week", "cast(created_at as date) between date '2024-01-08' and date '2024-01-14'"),
+        )
+    ),
+    "lx",
+)
