@@ -10,18 +10,36 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 32_000_000
 
 
-def _bytes(name: str, kind: T.DataType) -> Column:
-    column = F.col(f"`{name}`")
-    if isinstance(kind, T.StringType):
-        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
-    if isinstance(kind, T.ArrayType):
-        return F.coalesce(F.size(column), F.lit(0)) * 8 + 24
-    return F.lit(8)
+def _bytes(column: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, by its type; a type that is not known is refused rather than guessed."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(column) + 16
+    elif isinstance(kind, T.ArrayType):
+        if _fixed(kind.elementType):
+            size = F.size(column) * _fixed(kind.elementType) + 24
+        else:
+            size = F.aggregate(column, F.lit(24), lambda n, x: n + _bytes(x, kind.elementType).cast("int"))
+    elif isinstance(kind, T.MapType):
+        size = _bytes(F.map_keys(column), T.ArrayType(kind.keyType)) + _bytes(F.map_values(column), T.ArrayType(kind.valueType))
+    elif isinstance(kind, T.StructType):
+        size = sum([_bytes(column[f.name], f.dataType) for f in kind.fields], F.lit(16))
+    elif _fixed(kind):
+        return F.lit(_fixed(kind))
+    else:
+        raise TypeError(f"no size known for {kind.simpleString()}")
+    return F.coalesce(size, F.lit(8))
+
+
+def _fixed(kind: T.DataType) -> int:
+    """Bytes of a type whose values are all of one size, 0 for others."""
+    if isinstance(kind, T.DecimalType):
+        return 24
+    return 8 if isinstance(kind, (T.NumericType, T.BooleanType, T.DatetimeType, T.AnyTimeType, T.DayTimeIntervalType)) else 0
 
 
 def measured_bytes(lookup: DataFrame) -> int:
     """Bytes of all rows, counted; for stored tables, as the table is read for it."""
-    width = sum([_bytes(f.name, f.dataType) for f in lookup.schema.fields], F.lit(0))
+    width = sum([_bytes(F.col(f"`{f.name}`"), f.dataType).cast("long") for f in lookup.schema.fields], F.lit(0))
     return lookup.agg(F.sum(width)).first()[0] or 0
 
 
