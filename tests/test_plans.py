@@ -9,7 +9,8 @@ from wardline.sources import fixtures
 from conftest import SF
 
 PYTHON_QUERIES = {"encode_udf": "MapInPandas", "enrich_model": "MapInArrow", "enrich_complaints": "MapInArrow", "eval_metrics": "MapInArrow"}
-ACTIONS = {"stream_enrich", "stream_daily_urgency", "stream_windows", "stream_sliding_windows"}
+PYTHON_QUERIES |= {"rule_table_category": "MapInArrow", "rule_table_levels": "MapInArrow", "rule_table_phrases": "MapInArrow"}
+ACTIONS = {"stream_enrich", "stream_daily_urgency", "stream_windows", "stream_sliding_windows", "stream_cube", "softmax_eval"}
 
 
 def _plan(df):
