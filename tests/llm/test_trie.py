@@ -76,6 +76,18 @@ def test_nodes(spark, monkeypatch):
     assert nodes(spark, conversations(spark, rows).repartition(5)) == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_proven_prefix_with_an_unproven_next_one(spark, monkeypatch, seed):
+    rows, real = sample(seed), prefix_trie.sketch
+
+    def crowded(digests, cells):
+        bits = np.unpackbits(real(digests, cells))
+        return np.packbits(bits | (np.random.default_rng(seed).random(len(bits)) < 0.85))
+
+    monkeypatch.setattr(prefix_trie, "sketch", crowded)
+    assert nodes(spark, conversations(spark, rows)) == brute(rows)
+
+
 def test_no_conversations(spark):
     assert nodes(spark, conversations(spark, [])) == []
     assert nodes(spark, conversations(spark, [(None, 1, "a", "b")])) == []

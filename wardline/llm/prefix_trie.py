@@ -313,13 +313,15 @@ def prefix_trie(turns: DataFrame, heads: DataFrame, scratch: Scratch, most_cells
         shared.where("depth = length").select("digest", "conv").unionByName(heads.where("length = 0").select(root.alias("digest"), "conv"))
     )
     empty = F.sha2(F.lit(""), 256)
+    # The sketch may prove a prefix and not the next one: a parent left among the tails is the conversation's own.
+    above = F.coalesce("parent_conv", F.when(F.col("depth") > 0, F.col("conv")))
     whole = (
         salted_join(nodes, names, "parent", crowded, "digest", "left")
         .join(below, "digest", "left")
         .join(kids.withColumnRenamed("parent", "digest"), "digest", "left")
         .join(hashes, "digest", "left")
         .select(
-            "conv", "depth", "parent_conv", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"), "n_leaves",
+            "conv", "depth", above.alias("parent_conv"), "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"), "n_leaves",
             (F.col("saved") - F.col("through") + F.col("weight")).alias("saved"), F.coalesce("ends", empty).alias("ends"),
         )
     )
