@@ -154,3 +154,13 @@ def test_captions_of_damaged_entities(spark):
     for row in shown:
         plain = [f"{e.text.strip()}({e.label.strip()})" if e.label.strip() else e.text.strip() for e in row.e if e.text.strip()]
         assert row.c == ", ".join(plain)
+
+
+def test_places_of_few_and_of_many_names_agree(spark, monkeypatch):
+    bodies = ["", None, "road", "Road wall\x01road", "é😀 gas leak, DRAIN road-wall " * 12]
+    frame = spark.createDataFrame([(t,) for t in bodies], "t string")
+    found = []
+    for few in (0, 10**6):
+        monkeypatch.setattr(spans, "_FEW", few)
+        found.append([r[0] for r in frame.select(spans.gazetteer_spans(F.col("t"), enrich.SEED_GAZETTEER)).collect()])
+    assert found[0] == found[1] and len(found[0][-1]) == 48 and found[0][1] == []

@@ -93,3 +93,10 @@ def test_times(spark):
     values = ["2025-11-24T09:25:10.752516+00:00", "2025-11-24T09:25:10+05:30", "garbage", "", None]
     parsed = _apply(spark, lambda c: text.display_time(text.parse_time(c)), values)
     assert parsed == ["24 Nov 2025 • 09:25", "24 Nov 2025 • 03:55", "—", "—", "—"]
+
+
+def test_alternatives_keep_their_order():
+    terms = ["road", "main road", "roads", "!!!", "a]b)"]
+    pattern = re.compile(text.alternatives(terms))
+    assert pattern.findall("main roads !!!! a]b)") == ["main road", "!!!", "a]b)"]
+    assert re.findall(text.alternatives([]), "a") == [] and re.match(text.alternatives(["", "a"]), "a")[0] == ""

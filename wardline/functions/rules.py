@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from operator import or_
@@ -11,12 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardline import vocab
-from wardline.functions.text import WORD, let, rule_text, weak_rule_text
+from wardline.functions.text import WORD, alternatives, let, rule_text, weak_rule_text
 
 
 def any_word(text: Column, keywords: Iterable[str]) -> Column:
     """One of the keywords occurs as whole words: a single pass over the text."""
-    return text.rlike(f"(?<!{WORD})(?:{_alternatives(keywords)})(?!{WORD})")
+    return text.rlike(f"{alternatives(keywords, f'(?<!{WORD})')}(?!{WORD})")
 
 
 # Long lists are constant arrays: one comparison per keyword written out would make generated
@@ -36,10 +35,6 @@ def _constants(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _alternatives(keywords: Iterable[str]) -> str:
-    return "|".join(re.escape(kw) for kw in keywords)
-
-
 def _power_fault(text: Column, faults: Sequence[str]) -> Column:
     power = reduce(or_, (text.contains(t) for t in vocab.POWER_TERMS))
     return power & reduce(or_, (text.contains(f) for f in faults))

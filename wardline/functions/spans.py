@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardline import vocab
-from wardline.functions.text import WORD, let, strip, token_spans
+from wardline.functions.text import WORD, alternatives, let, strip, token_spans
 
 SPANS = "array<struct<text:string,label:string,start:int,end:int>>"
 
@@ -150,33 +149,50 @@ def leftmost_longest(matches: Column) -> Column:
 
 
 _CUT = "\x01"
+_FEW = 16  # names of a text whose places are added up anew for each
 
 
 def gazetteer_spans(text: Column, gazetteer: Mapping[str, Sequence[str]]) -> Column:
     """Names from a short list found in the text, without a join or a shuffle.
 
     ``gazetteer`` maps a label to lower-case names; the case of ASCII letters in the text is ignored.
-    The list is one pattern, longer names first, so matches are leftmost-longest. A mark is put before
-    each match; the place of the k-th mark less the k marks before it is where the match starts.
+    The list is one pattern, longer names first, so matches are leftmost-longest. Marks are put around each
+    match, which cut the text into pieces, every second one a name. A few names start where the pieces
+    before them add up to; with more, the place of a mark less the marks before it is where a piece starts.
     ``operators.entities`` joins lists too long for a pattern.
     """
     label_of = {term: label for label, terms in gazetteer.items() for term in terms}
-    names = "|".join(re.escape(t) for t in sorted(label_of, key=lambda t: (-len(t), t)))
-    pattern = f"(?i)(?<!{WORD})(?:{names})(?!{WORD})"
+    names = alternatives(sorted(label_of, key=lambda t: (-len(t), t)), f"(?<!{WORD})")
     labels = F.create_map(*[F.lit(x) for pair in label_of.items() for x in pair])
     # Match and mark in one text, in which the mark itself cannot occur.
-    plain = F.translate(text, _CUT, " ")
+    marked = F.regexp_replace(F.translate(text, _CUT, " "), f"(?i)({names})(?!{WORD})", f"{_CUT}$1{_CUT}")
 
-    def named(found: Column) -> Column:
+    def named(hit: Column, start: Column) -> Column:
+        return span(hit, F.element_at(labels, F.lower(hit)), start, start + F.length(hit))
+
+    def summed(pieces: Column) -> Column:
+        def at(lengths: Column, k: Column) -> Column:
+            before = F.aggregate(F.slice(lengths, F.lit(1), 2 * k + 1), F.lit(0), lambda s, n: s + n)
+            return let(before, lambda start: named(F.get(pieces, 2 * k + 1), start))
+
+        count = F.sequence(F.lit(0), ((F.size(pieces) - 3) / 2).cast("int"))
+        return let(F.transform(pieces, lambda p: F.length(p)), lambda lengths: F.transform(count, lambda k: at(lengths, k)))
+
+    def walked(pieces: Column, whole: Column) -> Column:
         def at_marks(chars: Column) -> Column:
             return F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: F.get(chars, i) == _CUT)
 
-        marked = F.regexp_replace(plain, f"({pattern})", f"{_CUT}$1")
-        places = let(F.regexp_extract_all(marked, F.lit("(?s)."), F.lit(0)), at_marks)
-        starts = F.transform(places, lambda p, k: p - k)
-        return F.zip_with(
-            found, starts, lambda hit, at: span(hit, F.element_at(labels, F.lower(hit)), at, at + F.length(hit))
+        places = let(F.regexp_extract_all(whole, F.lit("(?s)."), F.lit(0)), at_marks)
+        hits = F.filter(pieces, lambda p, i: i % 2 == 1)
+        starts = F.filter(F.transform(places, lambda p, k: p - k), lambda p, k: k % 2 == 0)
+        return F.zip_with(hits, starts, named)
+
+    def found(whole: Column) -> Column:
+        return let(
+            F.split(whole, _CUT),
+            lambda pieces: F.when(F.size(pieces) > 2 * _FEW + 1, walked(pieces, whole))
+            .when(F.size(pieces) > 1, summed(pieces))
+            .otherwise(F.array().cast(SPANS)),
         )
 
-    hits = F.regexp_extract_all(plain, F.lit(pattern), F.lit(0))
-    return let(hits, lambda h: F.when(F.size(h) > 0, named(h)).otherwise(F.array().cast(SPANS)))
+    return let(marked, found)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +28,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def alternatives(terms: Iterable[str], before: str = "") -> str:
+    """A pattern for one of the terms, in their order of preference, where ``before`` holds.
+
+    Terms that begin with other characters exclude each other, so most places are left after a look at one
+    character.
+    """
+    terms = list(dict.fromkeys(terms))
+    if not all(terms):
+        return f"{before}(?:{'|'.join(re.escape(t) for t in terms)})"
+    by_first: dict[str, list[str]] = {}
+    for term in terms:
+        by_first.setdefault(term[0], []).append(re.escape(term[1:]))
+    heads = "".join(re.escape(c) for c in by_first)
+    tails = [f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by_first.items()]
+    return f"(?=[{heads}]){before}(?:{'|'.join(tails)})" if terms else "(?!)"
+
+
 # Told by their letters before the look at what precedes them.
 _DROPPED_WORDS = f"(?:[rR](?<!{WORD}[rR])[tT]|[vV](?<!{WORD}[vV])[iIİı][aA])(?!{WORD})"
 
@@ -48,7 +66,7 @@ def collapse(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Without links, the words rt and via, and anything but ASCII letters and digits; lower case."""
-    text = F.regexp_replace(text, f"https?://{NON_SPACE}+", "")
+    text = F.when(F.contains(text, F.lit("://")), F.regexp_replace(text, f"https?://{NON_SPACE}+", "")).otherwise(text)
     return F.lower(_joined(F.regexp_replace(text, _DROPPED_WORDS, ""), "[A-Za-z0-9]+"))
 
 
