@@ -9,10 +9,8 @@ alike, and the marked keyword is looked for in the marked text. So one search se
 
 * While the rules' bytes are few they go to the workers once, as an automaton over all keywords. A text
   is read once, whatever the number of keywords, and rows stay where they are.
-* Beyond that, texts and keywords meet in an equi-join on a hash of the first bytes of a keyword, and what
-  meets is checked in full. A bitmap of those hashes, ``MOST_BITS`` at most, is sent out, so that places of
-  a text where no keyword can begin make no row; with far more keywords it lets more through and results
-  stay the same. Rows are numbered and stored first; texts are shuffled once.
+* Beyond that, texts and keywords meet in an equi-join on the first characters of a keyword, and what
+  meets is checked in full. Rows are numbered and stored first; texts are shuffled once.
 
 ``match_rules`` gives all matches of a text; ``most_hits`` and ``first_level`` pick a category from them.
 """
@@ -21,9 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +31,7 @@ from wardline.session import shared_dir
 RULES = "category string, priority int, keyword string, whole_words boolean"
 MATCHES = "array<struct<priority:int,category:string,hits:int,keywords:array<string>>>"
 MARK = "\x01"
-GRAM = 16  # first bytes of a keyword that a text has to share
-MOST_BITS = 1 << 26
-BLOCK = 1 << 16
-PIECE = 1 << 20  # bytes of text hashed at a time
+GRAM = 6  # first characters of a keyword that a text has to share
 _ENTRY = pa.struct(
     [("priority", pa.int32()), ("category", pa.string()), ("hits", pa.int32()), ("keywords", pa.list_(pa.string()))]
 )
@@ -141,125 +134,22 @@ def _scanned(df: DataFrame, needles: DataFrame, text: str) -> DataFrame:
     return df.select("*", *_haystacks(text, any(matcher.columns["whole"]))).mapInArrow(scan, schema)
 
 
-def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a text column, with room behind them, and where each text begins and ends."""
-    raw = texts.cast(pa.large_binary())
-    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-    data = np.zeros(int(ends[-1] - ends[0]) + GRAM, np.uint8)
-    if len(data) > GRAM:
-        data[:-GRAM] = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-    return data, ends - ends[0]
-
-
-def _windows(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from every place on as one number."""
-    size = len(data) - 8
-    words = np.zeros(size, np.uint64)
-    for i in range(8):
-        words |= data[i : i + size].astype(np.uint64) << np.uint64(8 * i)
-    return words
-
-
-def _hashes(words: np.ndarray, size: int, n: int, whole: bool) -> np.ndarray:
-    """A hash of the ``n`` bytes from each of the first ``size`` places on."""
-    first = words[:size]
-    if n < 8:
-        first = first & np.uint64((1 << 8 * n) - 1)
-    mixed = first * np.uint64(0x9E3779B97F4A7C15)
-    if n > 8:
-        mixed = (mixed ^ (mixed >> np.uint64(31))) + words[n - 8 : n - 8 + size] * np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) + np.uint64(2 * n + whole)
-    return mixed ^ (mixed >> np.uint64(32))
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Needles with the length and the hash of their first bytes."""
-    for batch in batches:
-        data, ends = _bytes_of(batch.column("needle"))
-        words, at = _windows(data), ends[:-1]
-        n = np.minimum(np.diff(ends), GRAM)
-        whole = np.asarray(batch.column("whole"))
-        gram = np.zeros(len(at), np.int64)
-        for size, mark in {*zip(n.tolist(), whole.tolist())}:
-            of = (n == size) & (whole == mark)
-            gram[of] = _hashes(words, len(data) - GRAM, size, mark)[at[of]].view(np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(gram)], [*batch.schema.names, "n", "gram"])
-
-
-def _bitmap(needles: DataFrame, bits: int) -> np.ndarray:
-    """One bit per hash of a needle, set by blocks; ``bits / 8`` bytes reach the driver."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, places in zip(batch.column(0).to_pylist(), batch.column(1)):
-                block = np.zeros(BLOCK, np.uint8)
-                block[np.asarray(places.values)] = 1
-                yield pa.RecordBatch.from_pydict({"block": [number], "bits": [np.packbits(block).tobytes()]})
-
-    place = F.col("gram").bitwiseAND(F.lit(bits - 1).cast("long"))
-    blocks = needles.groupBy((place / BLOCK).cast("long").alias("block")).agg(F.collect_set((place % BLOCK).cast("int")).alias("places"))
-    filled = np.zeros(bits // 8, np.uint8)
-    for row in blocks.mapInArrow(pack, "block long, bits binary").toLocalIterator():
-        filled[row.block * BLOCK // 8 : (row.block + 1) * BLOCK // 8] = np.frombuffer(row.bits, np.uint8)
-    return filled
-
-
-def _places(rows: DataFrame, shapes: list[tuple[bool, int]], filled: np.ndarray) -> DataFrame:
-    """``_row, gram``: the distinct hashes of a text that a needle may have. ``rows`` are ``_row, _plain, _marked``."""
-    sent = rows.sparkSession.sparkContext.broadcast(filled)
-
-    def hashed(ids: np.ndarray, texts: pa.Array, whole: bool) -> Iterator[pa.RecordBatch]:
-        data, ends = _bytes_of(texts)
-        words, size = _windows(data), len(data) - GRAM
-        mask = np.uint64(len(sent.value) * 8 - 1)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for n in [n for mark, n in shapes if mark == whole]:
-            grams = _hashes(words, size, n, whole)
-            bit = grams & mask
-            at = np.flatnonzero(sent.value[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8) & 1)
-            owner = np.searchsorted(ends, at, side="right") - 1
-            inside = at + n <= ends[owner + 1]
-            found.append((ids[owner[inside]], grams[at[inside]].view(np.int64)))
-        if found:
-            row, gram = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((gram, row))
-            row, gram = row[order], gram[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(row[new]), pa.array(gram[new])], ["_row", "gram"])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for whole, name in ((False, "_plain"), (True, "_marked")):
-                there = pc.is_valid(batch.column(name))
-                ids, texts = batch.column("_row").filter(there).to_numpy(), batch.column(name).filter(there)
-                lengths = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-                start = 0
-                while start < len(texts):
-                    base = lengths[start - 1] if start else 0
-                    stop = max(int(np.searchsorted(lengths, base + PIECE, side="right")), start + 1)
-                    yield from hashed(ids[start:stop], texts.slice(start, stop - start), whole)
-                    start = stop
-
-    return rows.select("_row", "_plain", "_marked").mapInArrow(scan, "_row long, gram long")
-
-
 def _joined(df: DataFrame, needles: DataFrame, text: str) -> DataFrame:
     spark = df.sparkSession
     folder = shared_dir(spark, "rules")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in needles.schema.fields)
-    needles.mapInArrow(_keyed, f"{schema}, n long, gram long").write.parquet(f"{folder}/needles")
+    needles.withColumn("gram", F.left("needle", F.lit(GRAM))).write.parquet(f"{folder}/needles")
     needles = spark.read.parquet(f"{folder}/needles")
     df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows").select("*", *_haystacks(text, True))
-    shapes = [tuple(r) for r in needles.select("whole", "n").distinct().collect()]  # 2 * GRAM at most
-    if not shapes:
+    shapes = needles.select("whole", F.length("gram").alias("n")).distinct().collect()  # 2 * GRAM at most
+    # A match without width at every place, so that texts are cut in one pass.
+    grams = [
+        F.regexp_extract_all("_marked" if s.whole else "_plain", F.lit(f"(?s)(?=(.{{{s.n}}}))"), F.lit(1)) for s in shapes
+    ]
+    if not grams:
         return df.withColumn("rule_matches", F.when(F.col(f"`{text}`").isNotNull(), F.array().cast(MATCHES)))
-    wanted, bits = 64 * needles.count(), BLOCK
-    while bits < min(wanted, MOST_BITS):
-        bits *= 2
-    facts = _places(rows, shapes, _bitmap(needles, bits))
-    near = lookup_join(facts, needles.drop("n"), "gram").repartition("_row")
+    facts = rows.select("_row", F.explode(F.array_distinct(F.concat(*grams))).alias("gram"))
+    near = lookup_join(facts, needles, "gram").repartition("_row")
     # Rows of a text lie together, so both groupings follow one shuffle. A needle meets a text once.
     near = near.groupBy("_row", "priority", "category").agg(F.collect_list(F.struct("keyword", "whole", "needle")).alias("near"))
     near = near.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("priority", "category", "near"))).alias("_near"))
