@@ -164,3 +164,24 @@ def test_places_of_few_and_of_many_names_agree(spark, monkeypatch):
         monkeypatch.setattr(spans, "_FEW", few)
         found.append([r[0] for r in frame.select(spans.gazetteer_spans(F.col("t"), enrich.SEED_GAZETTEER)).collect()])
     assert found[0] == found[1] and len(found[0][-1]) == 48 and found[0][1] == []
+
+
+def test_names_looked_up_and_names_joined_agree(spark, monkeypatch):
+    names = [("wall", "B"), ("wall", "A"), ("main road", "R"), ("road wall", None), ("i\u0307zmir", "P"), ("caf\u00e9 x", "C"), ("Road", "U"), ("!!", "N")]
+    names = spark.createDataFrame(names, "term string, label string")
+    bodies = ["", None, "Wall", "main  road, MAIN ROAD wall", "\u0130zmir main road", "CAF\u00c9 X wall", "\U0001f600 wall. " * 40, "main road wall " * 30]
+    # The last two rows have one key.
+    df = spark.createDataFrame([(min(i, 6), t) for i, t in enumerate(bodies)], "id int, text string")
+    found = []
+    for few in (entities.FEW_NAMES, 0):
+        monkeypatch.setattr(entities, "FEW_NAMES", few)
+        found.append({r.id: r.entities for r in entities.extract_entities(df, names, "id", "text").collect()})
+    assert found[0] == found[1]
+    assert [(e.text, e.label, e.start) for e in found[0][4]] == [("\u0130zmir", "P", 0), ("main road", "R", 6)]
+    assert [(e.text, e.label) for e in found[0][2]] == [("Wall", "A")] and len(found[0]) == 7
+
+
+def test_few_names_shuffle_one_row_per_text(spark):
+    df = spark.createDataFrame(TEXTS, "id int, text string")
+    plan = entities.extract_entities(df, entities.seed_gazetteer(spark), "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Generate" not in plan

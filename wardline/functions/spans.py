@@ -133,19 +133,29 @@ def leftmost_longest(matches: Column) -> Column:
             ),
         )
     )
-    state = F.struct(F.lit(0).alias("free"), F.array().cast(SPANS).alias("kept"))
-    return F.aggregate(
-        ordered,
-        state,
-        lambda acc, m: F.when(
-            m["start"] >= acc["free"],
-            F.struct(
-                (-m["back"]).alias("free"),
-                F.concat(acc["kept"], F.array(span(m["text"], m["label"], m["start"], -m["back"]))).alias("kept"),
-            ),
-        ).otherwise(acc),
-        lambda acc: acc["kept"],
-    )
+    none = F.array().cast(SPANS)
+
+    def take(acc: Column, m: Column) -> Column:
+        kept = F.concat(acc["kept"], F.array(span(m["text"], m["label"], m["start"], -m["back"])))
+        return F.when(m["start"] >= acc["free"], F.struct((-m["back"]).alias("free"), kept.alias("kept"))).otherwise(acc)
+
+    def part(acc: Column, matches: Column) -> Column:
+        begin = F.struct(acc["free"].alias("free"), none.alias("kept"))
+        return let(
+            F.aggregate(matches, begin, take),
+            lambda done: F.struct(done["free"].alias("free"), F.concat(acc["lists"], F.array(done["kept"])).alias("lists")),
+        )
+
+    def folded(matches: Column) -> Column:
+        # Lists are copied when they grow, so long ones are folded in parts of about their square root.
+        size = F.ceil(F.sqrt(F.size(matches))).cast("int")
+        parts = let(size, lambda n: F.transform(F.sequence(F.lit(0), F.size(matches) - 1, n), lambda i: F.slice(matches, i + 1, n)))
+        state = F.struct(F.lit(0).alias("free"), F.array().cast(f"array<{SPANS}>").alias("lists"))
+        return F.when(F.size(matches) > 0, F.aggregate(parts, state, part, lambda acc: F.flatten(acc["lists"]))).when(
+            F.size(matches) == 0, none
+        )
+
+    return let(ordered, folded)
 
 
 _CUT = "\x01"
