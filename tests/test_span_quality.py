@@ -92,3 +92,10 @@ def test_labels_under_one_name(spark, annotations):
     places = span_quality.one_label(rows, ["LOC", "GPE", "LOCATION"], "PLACE")
     scores = span_quality.span_quality(places, places).collect()
     assert all(r.exact_f1 == r.overlap_f1 == 1.0 for r in scores)
+
+
+def test_spans_are_shuffled_once(spark):
+    spans = spark.createDataFrame([(1, "A", 0, 3)], SCHEMA)
+    plan = span_quality.span_quality(spans, spans)._jdf.queryExecution().executedPlan().toString()
+    # By text and label, then counts by label and the rollup of these.
+    assert plan.count("Exchange") == 3 and "Join" not in plan and "Window" not in plan

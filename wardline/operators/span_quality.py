@@ -6,20 +6,23 @@ Spans are rows ``key, label, start, end``, offsets half-open. Two scores:
 * *overlap*: spans of a label in the same text that share a character, matched one to one, the pair with
   the largest share of common characters (common / joint length) first, then by offsets.
 
-Pairs come from an interval join: both sides are dealt over cells of ``CELL`` characters and a pair counts
-in the first cell that both reach, so texts with many spans give pairs only where spans meet. Only the
-pairs of one label in one text are brought together for the matching.
+Spans of both sides meet by text and label in one shuffle. There they are dealt over cells of ``CELL``
+characters and a pair counts in the first cell that both reach, so texts with many spans give pairs only
+where spans meet. Only the pairs of one label in one text are brought together for the matching.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.text import let
+
 CELL = 64
 _SPAN = "struct<start:int,end:int,twin:int>"
+_PAIRS = f"array<struct<share:double,p:{_SPAN},a:{_SPAN}>>"
 
 
 def span_rows(df: DataFrame, key: str, entities: str = "entities") -> DataFrame:
@@ -33,34 +36,49 @@ def one_label(spans: DataFrame, labels: Sequence[str], name: str) -> DataFrame:
     return spans.withColumn("label", F.when(F.col("label").isin(list(labels)), name).otherwise(F.col("label")))
 
 
-def _told_apart(spans: DataFrame) -> DataFrame:
-    """Repeated spans get numbers of their own."""
-    same = Window.partitionBy("key", "label", "start", "end").orderBy(F.lit(0))
-    rows = spans.where("key is not null and label is not null and start is not null and end is not null")
-    return rows.select("key", "label", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).withColumn(
-        "twin", F.row_number().over(same)
-    )
+def _sides(predicted: DataFrame, annotated: DataFrame) -> DataFrame:
+    """``key, label, start, end, p, a``: how often a span is predicted and how often annotated."""
+
+    def side(spans: DataFrame, p: int, a: int) -> DataFrame:
+        rows = spans.where("key is not null and label is not null and start is not null and end is not null")
+        ends = [F.col(c).cast("int").alias(c) for c in ("start", "end")]
+        return rows.select("key", "label", *ends, F.lit(p).alias("p"), F.lit(a).alias("a"))
+
+    # Everything that follows goes by text and label, so this is the only shuffle of spans.
+    both = side(predicted, 1, 0).union(side(annotated, 0, 1)).repartition("key", "label")
+    return both.groupBy("key", "label", "start", "end").agg(F.sum("p").cast("int").alias("p"), F.sum("a").cast("int").alias("a"))
+
 
+def _pairs(spans: Column, cell: Column) -> Column:
+    """Pairs of a cell's ``spans`` of both sides that share a character and have their first cell here."""
 
-def overlapping(predicted: DataFrame, annotated: DataFrame) -> DataFrame:
-    """``key, label, p, a``: pairs of spans that share a character, each once."""
+    def of(side: str) -> Column:
+        def twins(s: Column) -> Column:
+            return F.transform(F.sequence(F.lit(1), s[side]), lambda t: F.struct(s["start"].alias("start"), s["end"].alias("end"), t.alias("twin")))
 
-    def dealt(spans: DataFrame, name: str) -> DataFrame:
-        span = F.struct("start", "end", "twin").alias(name)
-        cells = F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("end") - 1) / CELL))
-        return spans.where("end > start").select("key", "label", span, F.explode(cells).alias("cell"))
+        return F.flatten(F.transform(F.filter(spans, lambda s: s[side] > 0), twins))
 
-    pairs = dealt(predicted, "p").join(dealt(annotated, "a"), ["key", "label", "cell"])
-    first = F.floor(F.greatest("p.start", "a.start") / CELL)
-    met = (F.col("p.start") < F.col("a.end")) & (F.col("a.start") < F.col("p.end")) & (F.col("cell") == first)
-    return pairs.where(met).select("key", "label", "p", "a")
+    def met(p: Column, a: Column) -> Column:
+        first = F.floor(F.greatest(p["start"], a["start"]) / CELL)
+        return (p["start"] < a["end"]) & (a["start"] < p["end"]) & (cell == first)
 
+    def ranked(p: Column, a: Column) -> Column:
+        common = F.least(p["end"], a["end"]) - F.greatest(p["start"], a["start"])
+        joint = F.greatest(p["end"], a["end"]) - F.least(p["start"], a["start"])
+        return F.struct((-(common / joint)).alias("share"), p.alias("p"), a.alias("a"))
 
-def matched(pairs: DataFrame) -> DataFrame:
-    """``key, label, n``: how many pairs a one-to-one matching of largest shares first keeps."""
-    common = F.least("p.end", "a.end") - F.greatest("p.start", "a.start")
-    joint = F.greatest("p.end", "a.end") - F.least("p.start", "a.start")
-    ranked = F.struct((-(common / joint)).alias("share"), "p", "a")
+    def with_one(p: Column, others: Column) -> Column:
+        return F.transform(F.filter(others, lambda a: met(p, a)), lambda a: ranked(p, a))
+
+    none = F.array().cast(_PAIRS)
+    return F.when(
+        F.exists(spans, lambda s: s["p"] > 0) & F.exists(spans, lambda s: s["a"] > 0),
+        let(of("a"), lambda others: F.flatten(F.transform(of("p"), lambda p: with_one(p, others)))),
+    ).otherwise(none)
+
+
+def _matched(pairs: Column) -> Column:
+    """How many pairs a one-to-one matching of largest shares first keeps."""
     none = F.array().cast(f"array<{_SPAN}>")
 
     def take(kept: Column, pair: Column) -> Column:
@@ -69,8 +87,25 @@ def matched(pairs: DataFrame) -> DataFrame:
         return F.when(free, more).otherwise(kept)
 
     start = F.struct(none.alias("p"), none.alias("a"))
-    chosen = F.aggregate(F.sort_array(F.collect_list(ranked)), start, take, lambda kept: F.size(kept["p"]))
-    return pairs.groupBy("key", "label").agg(chosen.cast("long").alias("n"))
+    chosen = F.aggregate(F.sort_array(pairs), start, take, lambda kept: F.size(kept["p"]))
+    return F.when(F.size(pairs) > 1, chosen).otherwise(F.size(pairs)).cast("long")
+
+
+def _text_counts(sides: DataFrame) -> DataFrame:
+    """``label`` and the four counts of every text and label."""
+    # A span without characters has its cell, too, so that it is counted; pairs leave it out.
+    last = F.greatest(F.floor((F.col("end") - 1) / CELL), F.floor(F.col("start") / CELL))
+    dealt = sides.select("*", F.posexplode(F.sequence(F.floor(F.col("start") / CELL), last)).alias("number", "cell"))
+    once = lambda c: F.sum(F.when(F.col("number") == 0, c).otherwise(0))
+    spans = F.collect_list(F.when(F.col("end") > F.col("start"), F.struct("start", "end", "p", "a")))
+    cells = dealt.groupBy("key", "label", "cell").agg(
+        once(F.col("p")).alias("predicted"), once(F.col("a")).alias("annotated"),
+        once(F.least("p", "a")).alias("exact"), spans.alias("spans"),
+    )
+    cells = cells.select("*", _pairs(F.col("spans"), F.col("cell")).alias("pairs"))
+    sums = [F.sum(c).alias(c) for c in ("predicted", "annotated", "exact")]
+    texts = cells.groupBy("key", "label").agg(*sums, F.flatten(F.collect_list("pairs")).alias("pairs"))
+    return texts.select("label", "predicted", "annotated", "exact", _matched(F.col("pairs")).alias("overlap"))
 
 
 def span_quality(predicted: DataFrame, annotated: DataFrame) -> DataFrame:
@@ -79,20 +114,10 @@ def span_quality(predicted: DataFrame, annotated: DataFrame) -> DataFrame:
     Spans that lack a key, label or offset count for neither side; empty spans can only match exactly.
     A rate without anything to divide by is NULL.
     """
-    p, a = _told_apart(predicted), _told_apart(annotated)
-    one = F.lit(1).cast("long")
-    counts = [
-        p.select("label", F.lit("predicted").alias("what"), one.alias("n")),
-        a.select("label", F.lit("annotated").alias("what"), one.alias("n")),
-        p.join(a, ["key", "label", "start", "end", "twin"]).select("label", F.lit("exact").alias("what"), one.alias("n")),
-        matched(overlapping(p, a)).select("label", F.lit("overlap").alias("what"), "n"),
-    ]
-    rows = counts[0]
-    for more in counts[1:]:
-        rows = rows.union(more)
     names = ["predicted", "annotated", "exact", "overlap"]
-    per_label = rows.groupBy("label", "what").agg(F.sum("n").alias("n"))
-    total = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0)).alias(what)
+    counts = _text_counts(_sides(predicted, annotated))
+    per_label = counts.groupBy("label").agg(*[F.sum(n).alias(n) for n in names])
+    total = lambda what: F.coalesce(F.sum(what), F.lit(0)).alias(what)
     table = per_label.rollup("label").agg(F.grouping("label").alias("_all"), *[total(n) for n in names])
 
     def rate(part: Column, whole: Column) -> Column:
