@@ -132,3 +132,19 @@ def test_log_rows(spark):
     df = spark.createDataFrame([("a/b c", "URGENT", "low")], "raw_text string, urgency string, severity string")
     df = df.withColumn("cleaned", normalize_text(F.col("raw_text")))
     assert tuple(enrich.log_rows(df).first()) == ("", "", "Low", "Urgent", "", "a/b c")
+
+
+def test_words_are_counted_in_one_shuffle(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("wall road wall", "x", 1), ("road", None, 0)], "t string, a string, b int")
+    plans, write = [], type(df).write
+
+    def seen(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return write.fget(frame)
+
+    monkeypatch.setattr(type(df), "write", property(seen))
+    model = heads.train_naive_bayes(df, "t", {"a": ["x", "y"], "b": ["0", "1"]}, str(tmp_path))
+    assert plans[0].count("Exchange") == 1
+    counts = {r.term: (r.a, r.b) for r in spark.read.parquet(str(tmp_path / "counts")).collect()}
+    assert counts == {"": ([1, 0], [1, 1]), "wall": ([2, 0], [0, 2]), "road": ([1, 0], [1, 1])}
+    assert model.weights.count() == 3

@@ -49,23 +49,20 @@ def train_naive_bayes(
     """Multinomial naive Bayes for several heads in one pass over the words.
 
     Each head is a column of ``df`` with its possible labels; a NULL label leaves the row out of
-    that head. Words are counted per combination of labels first, which combines before its shuffle
-    and spreads a frequent word over those combinations, and then set out by label. The counts are
-    written below ``path``, as are the weights: a lost executor costs no retraining, and scoring reads
+    that head. Words are counted by label of every head in one shuffle, of one row per word and task, so
+    a frequent word is as many rows as there are tasks. The counts are written below ``path``, as are the weights: a lost executor costs no retraining, and scoring reads
     the stored model. Only the totals, one number per label, pass through the driver. A head without
     a labelled row has NULL weights.
     """
     def hits(head: str) -> Column:
         value = F.col(f"`{head}`").cast("string")
         return F.array(
-            *[F.sum(F.when(value == x, F.col("_n")).otherwise(0)) for x in heads[head]]
+            *[F.sum(F.when(value == x, F.lit(1).cast("long")).otherwise(0)) for x in heads[head]]
         ).alias(head)
 
     every_text = F.when(F.col(text).isNotNull(), F.array(F.lit("")))
     counts = (
         df.select(*heads, F.explode(F.concat(words(F.col(text)), every_text)).alias("term"))
-        .groupBy("term", *heads)
-        .agg(F.count(F.lit(1)).alias("_n"))
         .groupBy("term")
         .agg(*[hits(head) for head in heads])
     )
