@@ -43,6 +43,7 @@ class LineRuns:
         self.scratch, self.fanout = scratch, fanout
         self.buckets = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
+        self.written: list[str] = []
 
     def runs(self) -> list[DataFrame]:
         return [self.scratch.spark.table(name) for level in self.levels for name in level]
@@ -51,6 +52,7 @@ class LineRuns:
         name = f"line_run_{uuid.uuid4().hex}"
         out = keys.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet")
         out.option("path", self.scratch.path(name)).saveAsTable(name)
+        self.written.append(name)
         return name
 
     def add(self, entries: DataFrame) -> DataFrame:
@@ -81,11 +83,12 @@ class LineRuns:
             self._push(new, level + 1)
 
     def close(self) -> None:
-        """Forget the runs; their files stay for frames that still read them."""
+        """Forget the runs and remove their files: what they led to is stored."""
         for level in self.levels:
             for run in level:
                 self.scratch.spark.sql(f"DROP TABLE {run}")
-        self.levels = [[]]
+        self.scratch.drop(*self.written)
+        self.levels, self.written = [[]], []
 
 
 def dedup_lines(
@@ -114,6 +117,7 @@ def dedup_lines(
         scratch.save(dropped, "dropped", "append")
         schema = dropped.schema
     runs.close()
+    scratch.drop("entries")
     lists = scratch.read(schema, "dropped").groupBy("_rid").agg(F.collect_list("pos").alias("_drop"))
     return kept_lines(rows.join(lists, "_rid", "left"), body)
 

@@ -131,6 +131,7 @@ def fit(
             learner = LogisticRegression(labelCol=h, featuresCol=f"f_{h}", maxIter=25, regParam=1e-5)
             model.heads[h] = learner.fit(ready.where(F.col(h).isNotNull()))
             model.base[h] = math.log(positives / (number - positives))
+    scratch.drop("sample", "fitted", "features")
     return model
 
 
