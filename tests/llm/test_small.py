@@ -1,5 +1,6 @@
 """Each operator on small frames: nulls, empty and long texts, ties, repeats, empty tables, odd columns."""
 
+import os
 import random
 
 import brute
@@ -500,3 +501,35 @@ def test_quality_without_labels_keeps_all(spark):
     assert quality.kept_documents(docs, labels.limit(0), HEADS).count() == docs.count()
     assert quality.kept_documents(docs, labels.where("toxic = 0 and quality = 1"), HEADS).count() == docs.count()
     assert quality.kept_documents(docs.limit(0), labels, HEADS).count() == 0
+
+
+def test_window_hashes_need_no_copies_of_windows(spark):
+    frame = documents(spark, ["in May, Maria sold 24 kg of pears to the old baker on Monday"])
+    body = F.col("text")
+    tokens = frame.select(decontaminate.template_tokens(body).alias("t"), decontaminate.raw_tokens(body).alias("r"))
+    tokens = spark.createDataFrame(tokens.collect(), tokens.schema)
+    wanted = [(n, same) for n in (1, 2, 3, 5, 8) for same in (True, False)]
+    hashes = decontaminate._hashes(F.col("t"), F.col("r"), wanted)
+    assert "slice" not in hashes._jc.toString().lower()
+    got = {x for x in tokens.select(hashes.alias("h")).first().h if x is not None}
+    items = tokens.select(F.lit(1).alias("item"), F.col("t").alias("template"), F.col("r").alias("raw"))
+    for size in (1, 2, 3, 5, 8):
+        windows = decontaminate.benchmark_windows(items, size).collect()
+        assert windows and {w.h for w in windows} <= got
+        assert len({w.h for w in windows if w.same}) == len({w.ipos for w in windows})
+
+
+def test_documents_of_plain_benchmarks_are_not_made_templates(spark, monkeypatch):
+    calls, templates = [], decontaminate.template_tokens
+    monkeypatch.setattr(decontaminate, "template_tokens", lambda text: calls.append(1) or templates(text))
+    item = "why do old rivers bend more than young ones in flat country"
+    assert leaked(spark, item, [f"they ask {item} and so on", "rivers bend"]) == {0: ("exact", 12)}
+    assert len(calls) == 1  # for the items
+
+
+def test_line_runs_leave_no_files(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(line_dedup, "Scratch", lambda spark, name: made.append(Scratch(spark, name)) or made[-1])
+    done = line_dedup.dedup_lines(documents(spark, ["a line of its own\nshared by two", "shared by two\nanother line"]))
+    assert [r._kept for r in done.orderBy("_row.doc_id").collect()] == ["a line of its own\nshared by two", "another line"]
+    assert os.listdir(made[0].root) == ["dropped"]

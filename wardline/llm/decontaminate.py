@@ -22,6 +22,8 @@ or null ids are judged one by one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,8 +74,50 @@ def _by_context(token: Column) -> Column:
     return F.rlike(token, F.lit(f"[{NAME}{UNIT}]")) & ~token.contains(NUMBER)
 
 
-def _joined(first: Column, rest: Column) -> Column:
-    return F.xxhash64(F.concat(F.array(first), rest))
+def _codes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def _half(size: int) -> int:
+    """The largest power of two below ``size``: two blocks of it, which may overlap, make a window."""
+    return 1 << (size - 1).bit_length() - 1
+
+
+def _blocks(codes: Column, most: int, body: Callable[[dict[int, Column]], Column]) -> Column:
+    """``body`` of the hashes of blocks of 1, 2, 4 ... codes from every place on, below ``most``.
+
+    Each doubling looks at two hashes, so that a window costs the logarithm of its size and no copy of it.
+    Blocks cut off by the end hold anything.
+    """
+
+    def doubled(known: dict[int, Column]) -> Column:
+        p = max(known)
+        if 2 * p >= most:
+            return body(known)
+        wide = F.transform(known[p], lambda h, i: F.xxhash64(h, F.get(known[p], i + p)))
+        return let(wide, lambda more: doubled({**known, 2 * p: more}))
+
+    return doubled({1: codes})
+
+
+def _windows(blocks: dict[int, Column], size: int) -> Column:
+    """Hashes of the windows from every place on; null where one is cut off."""
+    if size == 1:
+        return blocks[1]
+    half = blocks[_half(size)]
+    return F.transform(half, lambda h, i: F.when(i + size <= F.size(half), F.xxhash64(h, F.get(half, i + size - _half(size)))))
+
+
+def _bare_windows(blocks: dict[int, Column], raw: Column, told: Column, size: int) -> Column:
+    """The same with the first token as the plain word that it is, where ``told`` says so."""
+
+    def window(c: Column, i: Column) -> Column:
+        h, p = c, 1
+        while 2 * p < size:
+            h, p = F.xxhash64(h, F.get(blocks[p], i + p)), 2 * p
+        return F.xxhash64(h, F.get(blocks[p], i + size - p)) if size > 1 else h
+
+    return F.transform(raw, lambda c, i: F.when(F.get(told, i) & (i + size <= F.size(raw)), window(c, i)))
 
 
 def _hashes(template: Column, raw: Column, wanted: list[tuple[int, bool]]) -> Column:
@@ -81,42 +125,52 @@ def _hashes(template: Column, raw: Column, wanted: list[tuple[int, bool]]) -> Co
 
     Raw windows hold no placeholder, so that a hash never mixes the two kinds. A template window that
     starts with a name or unit comes a second time with its first token as a plain word, as the text
-    before a passage is not part of it.
+    before a passage is not part of it. Where the benchmark has no window with a placeholder, ``template``
+    is not looked at.
     """
+    plain, typed = [n for n, same in wanted if same], [n for n, same in wanted if not same]
 
-    def of(codes: Column, size: int) -> Column:
-        return F.transform(codes, lambda _, i: F.when(i + size <= F.size(codes), F.xxhash64(F.slice(codes, i + 1, size))))
+    def of_raw(codes: Column) -> Column:
+        return _blocks(codes, max(plain), lambda blocks: F.concat(*[_windows(blocks, n) for n in plain]))
 
-    def bare(codes: Column, size: int) -> Column:
-        rest = lambda i: F.slice(codes["template"], i + 2, size - 1)
-        fits = lambda c, i: F.get(codes["told"], i) & (i + size <= F.size(codes["raw"]))
-        return F.transform(codes["raw"], lambda c, i: F.when(fits(c, i), _joined(c, rest(i))))
+    def of_template(codes: Column, own: Column) -> Column:
+        def both(blocks: dict[int, Column]) -> Column:
+            arrays = [[_windows(blocks, n), _bare_windows(blocks, own, codes["told"], n)] for n in typed]
+            return F.concat(*sum(arrays, []))
 
-    def all_of(codes: Column) -> Column:
-        arrays = [[of(codes["raw"], n)] if same else [of(codes["template"], n), bare(codes, n)] for n, same in wanted]
-        return F.concat(*sum(arrays, []))
+        return let(codes["codes"], lambda c: _blocks(c, max(typed), both))
 
-    code = lambda tokens: F.transform(tokens, lambda t: F.xxhash64(t))
-    told = F.transform(template, _by_context)
-    return let(F.struct(code(raw).alias("raw"), code(template).alias("template"), told.alias("told")), all_of)
+    def all_of(own: Column) -> Column:
+        parts = [of_raw(own)] if plain else []
+        if typed:
+            codes = F.struct(_codes(template).alias("codes"), F.transform(template, _by_context).alias("told"))
+            parts.append(let(codes, lambda c: of_template(c, own)))
+        return F.concat(*parts)
+
+    return let(_codes(raw), all_of)
 
 
 def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
     """``item, n, size, ipos, h, same`` from ``item, template, raw``; ``same`` tells raw windows."""
     n = F.size("template")
     sized = items.withColumn("n", n).withColumn("size", F.least(n, F.lit(window))).where(n > 0)
+    sized = sized.withColumns({"told": F.transform("template", _by_context), "_raw": _codes(F.col("raw")), "_template": _codes(F.col("template"))})
+
+    def by_size(hashes: Callable[[int], Column]) -> Column:
+        return F.coalesce(*[F.when(F.col("size") == k, hashes(k)) for k in range(1, window + 1)])
+
+    def plain(name: str) -> Column:
+        return by_size(lambda k: _blocks(F.col(name), k, lambda blocks: _windows(blocks, k)))
+
+    bare = by_size(lambda k: _blocks(F.col("_template"), k, lambda blocks: _bare_windows(blocks, F.col("_raw"), F.col("told"), k)))
+    hashed = sized.withColumns({"_h_raw": plain("_raw"), "_h_template": plain("_template"), "_h_bare": bare})
 
     def one(i: Column) -> Column:
-        part, raw = F.slice("template", i, F.col("size")), F.slice("raw", i, F.col("size"))
-        code = lambda tokens: F.transform(tokens, lambda t: F.xxhash64(t))
-        marks = F.size(F.filter(part, _is_slot))
-        bare = F.when(_by_context(F.get(part, F.lit(0))), _joined(F.xxhash64(F.get(raw, F.lit(0))), F.slice(code(part), 2, F.col("size"))))
-        return F.struct(
-            (i - 1).alias("ipos"), F.xxhash64(code(raw)).alias("raw"), F.xxhash64(code(part)).alias("template"), bare.alias("bare"),
-            marks.alias("marks"),
-        )
-
-    rows = sized.select("item", "n", "size", F.explode(F.transform(F.sequence(F.lit(1), n - F.col("size") + 1), one)).alias("w"))
+        marks = F.size(F.filter(F.slice("template", i, F.col("size")), _is_slot))
+        hashes = [F.get(f"_h_{c}", i - 1).alias(c) for c in ("raw", "template", "bare")]
+        return F.struct((i - 1).alias("ipos"), *hashes, marks.alias("marks"))
+
+    rows = hashed.select("item", "n", "size", F.explode(F.transform(F.sequence(F.lit(1), n - F.col("size") + 1), one)).alias("w"))
     judged = (F.col("w.marks") > 0) & (2 * F.col("w.marks") <= F.col("size")) & (F.col("n") >= SHORTEST)
     kinds = F.when(judged, F.array("w.raw", "w.template", "w.bare")).otherwise(F.array("w.raw"))
     rows = rows.select("item", "n", "size", "w.ipos", F.posexplode(kinds).alias("kind", "h"))
@@ -150,7 +204,10 @@ def _leaks(rows, benchmark, key, text, item_key, item_text, window, min_cover, m
     wanted = sorted((r["size"], r["same"]) for r in grams.select("size", "same").distinct().collect())  # two a size
     if wanted:
         own = small(grams.select("h", "item", "n", "size", "ipos", "same"), 64)
-        told = slim.select("_rid", template_tokens(F.col("_text")).alias("t"), raw_tokens(F.col("_text")).alias("r"))
+        # Without a window that holds a placeholder the words as they are say all.
+        typed = any(not same for _, same in wanted)
+        kinds = (template_tokens if typed else raw_tokens)(F.col("_text")).alias("t"), raw_tokens(F.col("_text")).alias("r")
+        told = slim.select("_rid", *kinds)
         flat = told.select("_rid", F.size("r").alias("length"), F.posexplode(_hashes(F.col("t"), F.col("r"), wanted)).alias("at", "h"))
         found = flat.join(own, "h").withColumn("diagonal", (F.col("at") % F.col("length")).cast("int") - F.col("ipos"))
     else:
