@@ -5,6 +5,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,6 +302,29 @@ def test_packing(spark, capacity, part_size):
         assert len(sequences) <= packing.lower_bound(lengths, capacity) * 1.1 + 1
 
 
+def test_encoder_forgets_only_what_is_not_met_again(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    with open(public_file(PACK_TOKENIZER), encoding="utf-8") as file:
+        encoder = packing.Encoder(file.read())
+    learned, learn = [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda chunks: (learned.extend(chunks), learn(chunks)))
+    for turn in range(20):
+        text = "often met words " + " ".join(f"w{turn}x{i}" for i in range(20))
+        ids, ends = encoder.encode(pa.array([text, "often met"]))
+        assert ids.tolist() == [*encoder.whole(text), 0, *encoder.whole("often met"), 0] and ends[-1] == len(ids)
+        assert len(encoder.seen) <= 50 and len(encoder.before) <= 50
+    assert learned.count("often") == learned.count(" words") == 1
+
+
+def test_documents_reach_the_encoder_in_bounded_batches(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, *a, f=Scratch.save, **b: (written.append((name, b)), f(self, df, name, *a, **b))[1])
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    packing.pack_documents(documents(spark, ["a text"] * 5), public_file(PACK_TOKENIZER))
+    assert int(dict(written)["pieces"]["conf"][size]) <= 1000 and spark.conf.get(size) == before
+
+
 def test_packing_of_repeated_ids_and_no_rows(spark):
     frame = documents(spark, ["same text", "same text", "other", None], [1, 1, None, None])
     rows = packing.pack_documents(frame, public_file(PACK_TOKENIZER)).collect()
