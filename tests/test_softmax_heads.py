@@ -81,3 +81,21 @@ def test_nothing_labelled(spark, tmp_path):
     df = spark.createDataFrame([(1, "a b", None, None)], "id int, text string, topic string, loud string")
     model = softmax_heads.train_softmax(df, "id", "text", HEADS, str(tmp_path), rounds=3)
     assert all(w == 0 for r in model.weights.collect() for w in r.weights)
+
+
+def test_terms_do_not_move_in_a_round(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame(_sample(), "id int, text string, topic string, loud string")
+    with softmax_heads._partitions(spark, 3):
+        problem = softmax_heads._Problem(df, "id", "text", HEADS, str(tmp_path), L2, 3)
+        state, few = problem.measured(problem.start(), "0")
+        monkeypatch.setattr(softmax_heads, "BROADCAST_BYTES", -1)
+        plan = problem._joined("term", state.select("term", "w"))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "ShuffledHashJoin" in plan
+        moved = state.selectExpr("term", "transform(g, x -> -x) as w")
+        many = problem.measured(moved, "1")
+        monkeypatch.undo()
+        again = problem.measured(moved, "2")
+        problem.close()
+    assert math.isclose(few, math.log(3) + math.log(2)) and many[1] < few and math.isclose(many[1], again[1])
+    left, right = ({r.term: r.g for r in x[0].collect()} for x in (many, again))
+    assert left.keys() == right.keys() and all(np.allclose(left[t], right[t]) for t in left)
