@@ -180,6 +180,19 @@ def test_jaccard_group_without_links_to_its_hub_and_no_rows(spark):
     assert ngram_join.link_documents(documents(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("copies,left", [(2, 0), (3, 2)])
+def test_jaccard_compares_nobody_with_a_hub_twice(spark, monkeypatch, copies, left):
+    rng = random.Random(4)
+    base, texts = words(rng, 200, 10**6).split(), []
+    for copy in range(copies):  # too far apart to link, near enough to share lists
+        texts.append(" ".join(f"e{copy}" if i % 40 == 13 * copy else w for i, w in enumerate(base)))
+    seen, real = [], ngram_join._rare_pairs
+    monkeypatch.setattr(ngram_join, "_rare_pairs", lambda members, *rest: seen.append(members.count()) or real(members, *rest))
+    got = ngram_join.link_documents(documents(spark, texts)).collect()
+    assert sorted(r.component for r in got) == list(range(copies))
+    assert seen == [left]
+
+
 def test_plan_covers_every_pair_of_sizes():
     for percent in (60, 80, 90, 100):
         plan = ngram_join.Plan(percent)

@@ -19,10 +19,11 @@ The boundary is the size at which listing subsets gets dearer than listing block
 Sets that may link across it do both.
 
 Members of a list are not paired with each other. Each is compared with the list's hub, the member
-that shares the most lists; hubs and those linked to them become one part. Members of lists
-that still hold several parts are compared across parts through inverted lists of single
-n-grams, of which each enters those of its rarest only (``_rare_pairs``). Links inside a part
-tell nothing new, so none between components is lost. Every candidate is verified on the whole sets.
+that shares the most lists; hubs and those linked to them become one part. Where the others of a list,
+without its hub, still are of several parts, they are compared across parts through inverted lists
+of single n-grams, of which each enters those of its rarest only (``_rare_pairs``). Links inside a part
+tell nothing new, so none between components is lost. Every candidate is verified on the whole sets,
+after short codes of the members have told apart those that lack too many (``_verified``).
 
 Defined cases: null and empty texts have no n-grams, link with nothing and are their own component;
 a text with fewer than n words is one n-gram; rows with equal or null ids are documents of their own.
@@ -36,7 +37,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.common import Scratch, components, numbered, small, unpacked
@@ -170,17 +171,32 @@ def _sets(rows: DataFrame, n: int, plan: Plan | None) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The linked ones of ``pairs`` (``src, dst``), from the whole sets of the texts involved only."""
-    ids = pairs.select(F.col("src").alias("_rid")).union(pairs.select(F.col("dst").alias("_rid"))).distinct()
-    ids = scratch.save(ids, f"{name}-ids")
-    involved = _sets(rows.join(small(ids, 16), "_rid", "left_semi"), n, None)
-    sets = scratch.save(involved.select("_rid", F.col("keys").alias("grams")), f"{name}-sets")
-    left = sets.select(F.col("_rid").alias("src"), F.col("grams").alias("a"))
-    right = sets.select(F.col("_rid").alias("dst"), F.col("grams").alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    both = pairs.join(left, "src").join(right, "dst").where(100 * shared >= percent * (F.size("a") + F.size("b") - shared))
-    out = scratch.save(both.select("src", "dst"), f"{name}-links")
-    scratch.drop(f"{name}-sets", f"{name}-ids")
+    """The linked ones of ``pairs`` (``src, dst``), from the whole sets of the texts involved only.
+
+    Codes are the first 16 bits of the members. A code that the other side has not stands for at least
+    one member that it has not, which bounds what is shared; only pairs within that bound move whole sets.
+    """
+
+    def only(rows: DataFrame, pairs: DataFrame, ids: str) -> DataFrame:
+        both = pairs.select(F.col("src").alias("_rid")).union(pairs.select(F.col("dst").alias("_rid"))).distinct()
+        return rows.join(small(scratch.save(both, ids), 16), "_rid", "left_semi")
+
+    involved = _sets(only(rows, pairs, f"{name}-ids"), n, None)
+    codes = F.array_distinct(F.transform("keys", lambda gram: F.shiftright(gram, 48).cast("smallint")))
+    sets = scratch.save(involved.select("_rid", "size", F.col("keys").alias("grams"), codes.alias("codes")), f"{name}-sets")
+
+    def within(pairs: DataFrame, sets: DataFrame, column: str, shared: Column) -> DataFrame:
+        left = sets.select(F.col("_rid").alias("src"), F.col("size").alias("a_size"), F.col(column).alias("a"))
+        right = sets.select(F.col("_rid").alias("dst"), F.col("size").alias("b_size"), F.col(column).alias("b"))
+        both = pairs.join(left, "src").join(right, "dst")
+        linked = 100 * shared >= percent * (F.col("a_size") + F.col("b_size") - shared)
+        return both.where(linked).select("src", "dst")
+
+    equal = F.size(F.array_intersect("a", "b"))
+    most = F.least(F.col("a_size") - F.size("a"), F.col("b_size") - F.size("b")) + equal
+    near = scratch.save(within(pairs, sets, "codes", most), f"{name}-near")
+    out = scratch.save(within(near, only(sets, near, f"{name}-near-ids"), "grams", equal), f"{name}-links")
+    scratch.drop(f"{name}-sets", f"{name}-ids", f"{name}-near", f"{name}-near-ids")
     return out
 
 
@@ -249,11 +265,11 @@ def _components(rows: DataFrame, text: str, n: int, percent: int, scratch: Scrat
     # Representatives carry their lists; the class is joined by the set's name.
     members = sets.where("size > 0").join(classes, ["s1", "s2"]).select("_rid", "class")
     members = scratch.save(members, "members")
-    firsts = members.where("_rid = class").select("_rid")
-    entries = sets.join(firsts, "_rid", "left_semi").select(F.explode("keys").alias("list"), "_rid")
-    entries = scratch.save(entries, "entries")
+    # Copies are fewer than firsts; while their numbers are few, no lists are shuffled for this.
+    copies = small(members.where("_rid != class").select("_rid"), 16)
+    entries = sets.join(copies, "_rid", "left_anti").select(F.explode("keys").alias("list"), "_rid")
     sizes = scratch.save(sets.select("_rid", F.col("size").alias("n_shingles")), "sizes")
-    scratch.drop("sets", "classes")
+    scratch.drop("classes")
     slices = 1 if entries.count() <= ENTRIES else SLICES
 
     def by_slice(df: DataFrame, step: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
@@ -264,10 +280,12 @@ def _components(rows: DataFrame, text: str, n: int, percent: int, scratch: Scrat
 
     def shared(part: DataFrame) -> DataFrame:
         counts = part.groupBy("list").agg(F.count("*").alias("many")).where("many > 1")
+        # Most lists have one member: what the few others count is sent to the entries while it is small.
+        counts = small(scratch.save(counts, "shared", "overwrite"), 24)
         return part.join(counts, "list").select("list", "_rid", "many")
 
     met = by_slice(entries, shared, "met")
-    scratch.drop("entries")
+    scratch.drop("sets", "shared")
     # The hub of a list: the member that meets most others over all its lists.
     weight = scratch.save(met.groupBy("_rid").agg(F.sum("many").alias("weight")), "weight")
     known = small(weight, 24)
@@ -275,22 +293,24 @@ def _components(rows: DataFrame, text: str, n: int, percent: int, scratch: Scrat
     def to_hub(part: DataFrame) -> DataFrame:
         weighed = part.join(known, "_rid")
         hubs = weighed.groupBy("list").agg(F.max_by("_rid", F.struct("weight", -F.col("_rid"))).alias("hub"))
-        first = part.join(hubs, "list").where("_rid != hub")
-        return first.select(F.least("_rid", "hub").alias("src"), F.greatest("_rid", "hub").alias("dst")).distinct()
+        return part.join(hubs, "list").where("_rid != hub").select("list", "_rid", "hub", "many")
 
-    pairs = scratch.save(by_slice(met, to_hub, "to-hub").distinct(), "pairs")
-    scratch.drop("to-hub", "weight")
+    spokes = by_slice(met, to_hub, "spokes")
+    scratch.drop("met", "weight")
+    pairs = spokes.select(F.least("_rid", "hub").alias("src"), F.greatest("_rid", "hub").alias("dst"))
+    pairs = scratch.save(pairs.distinct(), "pairs")
     links = _verified(pairs, slim, n, percent, scratch, "hub")
     parts = small(scratch.save(_nearest_hub(links), "parts"), 24)
 
     def mixed(part: DataFrame) -> DataFrame:
-        named = part.join(parts, "_rid", "left").select("list", "_rid", F.coalesce("part", "_rid").alias("part"))
+        # The hub has been compared with all others of its list, so two members ask for nothing more.
+        named = part.where("many > 2").join(parts, "_rid", "left").select("list", "_rid", F.coalesce("part", "_rid").alias("part"))
         several = named.groupBy("list").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
         return named.join(several.select("list"), "list", "left_semi").groupBy("_rid").agg(F.min("part").alias("part"))
 
-    open_ = by_slice(met, mixed, "mixed").groupBy("_rid").agg(F.min("part").alias("part"))
+    open_ = by_slice(spokes, mixed, "mixed").groupBy("_rid").agg(F.min("part").alias("part"))
     open_ = scratch.save(open_, "open")
-    scratch.drop("met", "mixed", "parts")
+    scratch.drop("spokes", "mixed", "parts")
     rest = _rare_pairs(open_, slim, n, percent, scratch).join(pairs, ["src", "dst"], "left_anti")
     rest = scratch.save(rest, "rest")
     scratch.drop("front", "pairs", "open")
