@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from wardline.operators import softmax_heads
+from wardline.plans import catalog
 
 HEADS = {"topic": ["road", "water", "light"], "loud": ["0", "1"]}
 L2 = 1e-2
@@ -99,3 +100,29 @@ def test_terms_do_not_move_in_a_round(spark, tmp_path, monkeypatch):
     assert math.isclose(few, math.log(3) + math.log(2)) and many[1] < few and math.isclose(many[1], again[1])
     left, right = ({r.term: r.g for r in x[0].collect()} for x in (many, again))
     assert left.keys() == right.keys() and all(np.allclose(left[t], right[t]) for t in left)
+
+
+def test_the_query_trains_until_the_loss_stays(spark, monkeypatch):
+    rows = [(i, "pothole lane" if i % 2 else "leak tap", i % 2, i % 3 % 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int, toxic int")
+    monkeypatch.setattr(catalog, "_labelled_documents", lambda *_: df)
+    seen, descend = [], softmax_heads._descend
+
+    def watched(problem, rounds, tolerance):
+        seen.append((rounds, tolerance))
+        return descend(problem, 0, tolerance)  # the rounds themselves are compared with a dense solver above
+
+    monkeypatch.setattr(softmax_heads, "_descend", watched)
+    catalog.QUERIES["softmax_eval"](spark, "")
+    assert seen == [(None, 1e-7)]
+
+
+def test_a_step_that_leads_nowhere_ends_the_training(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame(_sample(n=12), "id int, text string, topic string, loud string")
+    measured = softmax_heads._Problem.measured
+    monkeypatch.setattr(softmax_heads, "SHORTEST", 0.3)
+    monkeypatch.setattr(softmax_heads._Problem, "measured", lambda self, state, name: (measured(self, state, name)[0], 1.0 if name == "0" else math.nan))
+    model = softmax_heads.train_softmax(df, "id", "text", HEADS, str(tmp_path))
+    assert (model.loss, model.rounds) == (1.0, 1)
+    assert all(w == 0 for r in model.weights.collect() for w in r.weights)
+    assert [p.name for p in tmp_path.iterdir()] == ["weights"]
