@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wardline import vocab
 from wardline.functions.rules import any_word, keyword_category
-from wardline.operators import rule_tables
+from wardline.operators import joins, rule_tables
 
 BOTH = pytest.mark.parametrize("most_bytes", [10**9, 0])
 
@@ -96,3 +96,36 @@ def test_no_rules_and_no_rows(spark, most_bytes):
     ranked = rule_tables.match_rules(df, rule_tables.rule_table(spark, {"a": ["x"], "b": ["leak"], "c": ["water"]}), "text", most_bytes)
     best = ranked.select(rule_tables.most_hits(F.col("rule_matches"))["category"]).collect()
     assert [r[0] for r in best] == ["b", None]  # equal hits: the smaller priority
+
+
+@pytest.mark.parametrize("bound", [10**9, 8000, -1])
+def test_texts_longer_than_a_piece(spark, monkeypatch, bound):
+    """Rules sent out, only their first characters sent out, and nothing sent out."""
+    monkeypatch.setattr(rule_tables, "PIECE", 4)
+    monkeypatch.setattr(rule_tables, "BROADCAST_BYTES", bound)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", bound)
+    rng = random.Random(11)
+    pieces = ["water", "leak", " ", "-", "--", "é", "Street", "_", "1", "😀", "?", "\n", "a"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(60))) for _ in range(120)] + ["😀a", "?a", "--"]
+    rules = [(f"c{p}", p, "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 7))), rng.random() < 0.5) for p in [rng.randrange(9) for _ in range(120)]]
+    rules += [("c1", 1, "?a", False), ("c2", 2, "--", True), ("c3", 3, "-", False), ("c4", 4, texts[0], False), ("c5", 5, texts[1], True)]
+    df = spark.createDataFrame([*enumerate(texts), *enumerate(texts[:5])], "id int, text string")
+    table = spark.createDataFrame(rules, rule_tables.RULES)
+    if bound == 8000:
+        needles = rule_tables._needles(table)
+        assert joins.measured_bytes(needles.selectExpr(f"left(needle, {rule_tables.GRAM}) as gram").distinct()) <= bound < joins.measured_bytes(needles)
+    assert _matches(df, table, -2) == {i: _brute(t, rules) for i, t in enumerate(texts)}
+
+
+def _nodes(plan):
+    return [plan, *[n for i in range(plan.children().size()) for n in _nodes(plan.children().apply(i))]]
+
+
+def test_texts_do_not_meet_their_matches(spark):
+    df = spark.createDataFrame([(1, "water leak"), (2, None)], "id int, text string")
+    rules = rule_tables.rule_table(spark, {"a": ["leak"], "b": ["water"]}, whole_words=True)
+    plan = rule_tables.match_rules(df, rules, "text", 0).select("id", "rule_matches")._jdf.queryExecution().optimizedPlan()
+    met = [n.children().apply(i).output().mkString(" ") for n in _nodes(plan) if n.nodeName() == "Join" for i in (0, 1)]
+    grouped = [n.child().output().mkString(" ") for n in _nodes(plan) if n.nodeName() == "Aggregate"]
+    assert len(met) == 4 and grouped
+    assert not any(f"{name}#" in side for side in met + grouped for name in ("text", "_plain", "_marked", "_piece"))

@@ -9,8 +9,9 @@ alike, and the marked keyword is looked for in the marked text. So one search se
 
 * While the rules' bytes are few they go to the workers once, as an automaton over all keywords. A text
   is read once, whatever the number of keywords, and rows stay where they are.
-* Beyond that, texts and keywords meet in an equi-join on the first characters of a keyword, and what
-  meets is checked in full. Rows are numbered and stored first; texts are shuffled once.
+* Beyond that, texts and keywords meet in an equi-join on the first characters of a keyword. A place of a text
+  brings as many characters as the longest keyword has, so what meets is checked in full right there. Rows are
+  numbered and stored first; only what matched is shuffled, no text beyond what the caller reads again.
 
 ``match_rules`` gives all matches of a text; ``most_hits`` and ``first_level`` pick a category from them.
 """
@@ -32,6 +33,7 @@ RULES = "category string, priority int, keyword string, whole_words boolean"
 MATCHES = "array<struct<priority:int,category:string,hits:int,keywords:array<string>>>"
 MARK = "\x01"
 GRAM = 6  # first characters of a keyword that a text has to share
+PIECE = 2000  # characters of a text whose places are listed at a time
 _ENTRY = pa.struct(
     [("priority", pa.int32()), ("category", pa.string()), ("hits", pa.int32()), ("keywords", pa.list_(pa.string()))]
 )
@@ -135,25 +137,49 @@ def _scanned(df: DataFrame, needles: DataFrame, text: str) -> DataFrame:
     return df.select("*", *_haystacks(text, any(matcher.columns["whole"]))).mapInArrow(scan, schema)
 
 
+def _places(needles: DataFrame) -> tuple[dict[bool, list[Column]], dict[bool, int]]:
+    """What to look at in the places of a piece, by whether needles have marks, and the longest such needle.
+
+    A needle without marks is found in the plain text wherever it is found in the marked one. Each match takes one
+    character and looks ahead for the others, so that a piece is read in one pass.
+    """
+    has_mark, first = F.contains("needle", F.lit(MARK)).alias("has_mark"), F.startswith("needle", F.lit(MARK)).alias("first")
+    shapes = needles.groupBy(has_mark, first, F.length("gram").alias("n")).agg(F.max(F.length("needle")).alias("most"))
+    found: dict[bool, list[Column]] = {}
+    longest: dict[bool, int] = {}
+    for s in shapes.collect():  # 3 * GRAM at most
+        one = MARK if s.first else "."
+        pattern = f"(?s)(?=({one}.{{{s.n - 1},{s.most - 1}}})){one}"
+        found.setdefault(s.has_mark, []).append(F.regexp_extract_all("_piece", F.lit(pattern), F.lit(1)))
+        longest[s.has_mark] = max(longest.get(s.has_mark, 0), s.most)
+    return found, longest
+
+
 def _joined(df: DataFrame, needles: DataFrame, text: str) -> DataFrame:
     spark = df.sparkSession
     folder = shared_dir(spark, "rules")
     needles.withColumn("gram", F.left("needle", F.lit(GRAM))).write.parquet(f"{folder}/needles")
     needles = spark.read.parquet(f"{folder}/needles")
-    df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(f"{folder}/rows")
-    rows = spark.read.parquet(f"{folder}/rows").select("*", *_haystacks(text, True))
-    shapes = needles.select("whole", F.length("gram").alias("n")).distinct().collect()  # 2 * GRAM at most
-    # A match without width at every place, so that texts are cut in one pass.
-    grams = [
-        F.regexp_extract_all("_marked" if s.whole else "_plain", F.lit(f"(?s)(?=(.{{{s.n}}}))"), F.lit(1)) for s in shapes
-    ]
-    if not grams:
+    found, longest = _places(needles)
+    if not found:
         return df.withColumn("rule_matches", F.when(F.col(f"`{text}`").isNotNull(), F.array().cast(MATCHES)))
-    facts = rows.select("_row", F.explode(F.array_distinct(F.concat(*grams))).alias("gram"))
-    near = lookup_join(facts, needles, "gram")
-    rule = F.struct("priority", "category", "keyword", "whole", "needle")
-    near = near.groupBy("_row").agg(F.collect_set(rule).alias("_near"))
-    hit = F.filter("_near", lambda r: F.contains(F.when(r["whole"], F.col("_marked")).otherwise(F.col("_plain")), r["needle"]))
+    df.withColumn("_row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    plain, with_marks = _haystacks(text, True)
+    # Pieces overlap by what the longest needle needs.
+    pieces = [
+        F.regexp_extract_all(with_marks if has_mark else plain, F.lit(f"(?s)(?=(.{{1,{PIECE + most - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+        for has_mark, most in longest.items()
+    ]
+    nothing = F.array().cast("array<string>")
+    places = F.when(F.contains("_piece", F.lit(MARK)), F.concat(*found.get(True, [nothing]))).otherwise(F.concat(*found.get(False, [nothing])))
+    facts = rows.select("_row", F.explode(F.concat(*pieces)).alias("_piece")).select("_row", F.explode(places).alias("_place"))
+    facts = facts.withColumn("gram", F.left("_place", F.lit(GRAM)))
+    grams = needles.select("gram").distinct()
+    if measured_bytes(needles) > BROADCAST_BYTES >= measured_bytes(grams):  # most places are left out before they move
+        facts = facts.join(F.broadcast(grams), "gram", "left_semi")
+    hits = lookup_join(facts, needles, "gram").where(F.startswith("_place", "needle"))
+    near = hits.groupBy("_row").agg(F.collect_set(F.struct("priority", "category", "keyword")).alias("_near"))
 
     def grouped(found: Column) -> Column:
         def one(c: Column) -> Column:
@@ -168,9 +194,10 @@ def _joined(df: DataFrame, needles: DataFrame, text: str) -> DataFrame:
         return F.transform(F.array_sort(F.array_distinct(categories)), one)
 
     none = F.array().cast(MATCHES)
-    matches = F.when(F.col("_plain").isNotNull(), F.coalesce(let(hit, grouped).cast(MATCHES), none))
+    matches = F.when(F.col("_given"), F.coalesce(let(F.col("_near"), grouped).cast(MATCHES), none))
     names = [F.col(f"`{c}`") for c in df.columns]
-    return rows.join(near, "_row", "left").select(*names, matches.alias("rule_matches"))
+    given = rows.select("*", F.col(f"`{text}`").isNotNull().alias("_given"))
+    return given.join(near, "_row", "left").select(*names, matches.alias("rule_matches"))
 
 
 def most_hits(matches: Column) -> Column:
